@@ -288,10 +288,10 @@ def _(t):
 
 @query(
     "vpn_identify_user",
-    """select username from {v_vpn} where date = date '2024-01-10' and remoteip = '7.7.2.1'""",
+    """select username from {v_vpn} where date = date '2024-01-10' and remoteip = '203.0.113.9'""",
 )
 def _(t):
-    return vpn.identify_user(t["v_vpn"], "7.7.2.1", "2024-01-10")
+    return vpn.identify_user(t["v_vpn"], "203.0.113.9", "2024-01-10")
 
 
 @query(

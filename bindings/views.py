@@ -51,7 +51,9 @@ VIEWS: dict[str, str | tuple[str, str]] = {
           case e.event_type when 'error' then '403' else '200' end as scstatus,
           cast(floor(e.value * 10) as bigint) as scbytes,
           cast(floor(e.value * 100) as bigint) as csbytes,
-          {_HOST.replace('url', 'p.url')} as host, cast(443 as bigint) as port, p.url as path,
+          case when e.event_type = 'error' and e.user_id % 3 = 0
+            then concat(substring(md5(p.url), 1, 18), '.example.net')
+            else {_HOST.replace('url', 'p.url')} end as host, cast(443 as bigint) as port, p.url as path,
           replace(replace(e.props, ' ', ''), '"', '') as query,
           concat('u', cast(e.user_id as string)) as username,
           case e.user_id % 5 when 0 then 'Mozilla/4.0 (Windows NT 5.1)'

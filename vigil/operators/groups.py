@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators.ranking import count_by, top
 from vigil.operators.sizing import small
+from vigil.session import settle
 
 
 def rare_groups(df: DataFrame, *keys: str, below: int) -> DataFrame:
@@ -28,7 +29,8 @@ def rows_in(df: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
     """Rows of ``df`` whose group was picked.
 
     A count and a join rather than a window count: a window would gather a hot group
-    in one task.  Picked groups are broadcast when measured small; otherwise AQE
-    splits the hot keys of ``df``.
+    in one task.  The groups are counted once and kept, then broadcast when measured
+    small; otherwise AQE splits the hot keys of ``df``.
     """
-    return df.join(small(groups.select(*keys)), list(keys), "left_semi")
+    picked = settle(groups.select(*keys), "groups")
+    return df.join(small(picked), list(keys), "left_semi")

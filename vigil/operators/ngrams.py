@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.text import char_ngrams
 from vigil.operators.sizing import fits_broadcast
+from vigil.session import settle
 
 _SALTS = 64
 
@@ -56,10 +57,11 @@ def ngram_score(
     tagged = [
         vocabularies[name].select("gram", "weight", F.lit(name).alias("vocab")) for name in names
     ]
-    weights = (
+    weights = settle(
         reduce(DataFrame.unionByName, tagged)
         .groupBy("gram")
-        .agg(*[F.max(F.when(F.col("vocab") == n, F.col("weight"))).alias(f"_w_{n}") for n in names])
+        .agg(*[F.max(F.when(F.col("vocab") == n, F.col("weight"))).alias(f"_w_{n}") for n in names]),
+        "weights",
     )
     rows = df.distinct()
     keys = rows.columns

@@ -55,15 +55,15 @@ def fields_by_kind(kind: Column, value: Column) -> Column:
 def event_date(fields: Column, table: str, asof: Column | None, year: int | Column | None) -> Column:
     """Date of an event from its raw fields; null when impossible."""
     if table == "proxysg":
-        return F.try_to_timestamp(fields[0], F.lit("y-M-d")).cast("date")
+        return F.try_to_timestamp(F.get(fields, F.lit(0)), F.lit("y-M-d")).cast("date")
     if table == "apache":
-        return F.try_to_timestamp(F.substring(fields[3], 1, 11), F.lit("dd/MMM/yyyy")).cast("date")
-    return dates.syslog_date(fields[0], asof, year)
+        return F.try_to_timestamp(F.substring(F.get(fields, F.lit(3)), 1, 11), F.lit("dd/MMM/yyyy")).cast("date")
+    return dates.syslog_date(F.get(fields, F.lit(0)), asof, year)
 
 
 def _typed(exploded: DataFrame, table: str) -> DataFrame:
     """(fields, date) to the declared columns of ``table``."""
-    raw = {name: F.col("fields")[i] for i, name in enumerate(RAW_FIELDS[table])}
+    raw = {name: F.get("fields", F.lit(i)) for i, name in enumerate(RAW_FIELDS[table])}
     derived = {"date": F.col("date")}
     if "time" in raw:
         derived["event_ts"] = dates.clock_time(F.col("date"), raw["time"])

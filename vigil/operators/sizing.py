@@ -36,6 +36,16 @@ def fits_broadcast(
     )
 
 
+def training_rows(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """A settled table in partitions big enough to pay for a task.
+
+    Training runs a job per iteration, so tiny partitions cost more than they
+    compute.  ``coalesce`` never makes more partitions than the table has.
+    """
+    rows = df.count()
+    return df.coalesce(max(1, -(-rows // rows_per_task)))
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` hinted for broadcast when it fits.
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.operators.groups import largest_groups, rare_groups, rows_in
+from vigil.operators.sizing import training_rows
+from vigil.session import settle
 
 # Model sizes and cluster-size thresholds.
 CLUSTERS = 650
@@ -56,20 +58,21 @@ def _word_stages(
         F.approx_count_distinct("w").alias("n")
     ).first()["n"]
     bounded = different <= 0.9 * max_vocabulary
+    cores = df.sparkSession.sparkContext.defaultParallelism
     trainer = Word2Vec(
         vectorSize=size,
         minCount=1,
         seed=seed,
         inputCol="tokens",
         outputCol="features",
-        numPartitions=max(1, math.ceil(counted / ROWS_PER_TRAINER)),
+        numPartitions=max(1, min(math.ceil(counted / ROWS_PER_TRAINER), cores)),
     )
     return [_tokenizer(bounded, separator, max_vocabulary), trainer], counted
 
 
 def _fit(stages: list, df: DataFrame) -> PipelineModel:
-    # Training passes over the rows many times; lost blocks are recomputed.
-    rows = df.persist()
+    # Training passes over the rows many times; lost blocks are read again.
+    rows = training_rows(settle(df, "training")).persist()
     try:
         return Pipeline(stages=stages).fit(rows)
     finally:
@@ -126,8 +129,10 @@ def load(spark, path: str) -> tuple[PipelineModel, DataFrame]:
 
 def outliers(clustered: DataFrame, max_size: int = RARE_SERVING, cluster_col: str = "prediction") -> DataFrame:
     """Different rows of clusters with fewer than ``max_size`` rows."""
-    rare = rare_groups(clustered, cluster_col, below=max_size)
-    return rows_in(clustered, rare, cluster_col).distinct()
+    # Tokens and vector follow from the command, so they cannot tell rows apart.
+    rows = clustered.drop("tokens", "features")
+    rare = rare_groups(rows, cluster_col, below=max_size)
+    return rows_in(rows, rare, cluster_col).distinct()
 
 
 def outlier_lines(found: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from vigil.functions.patterns import HOST_IS_ADDRESS
 from vigil.functions.text import entropy
 from vigil.operators.ngrams import ngram_score
-from vigil.operators.sizing import small
+from vigil.operators.sizing import small, training_rows
+from vigil.session import settle
 
 FEATURES = ("length", "entropy", "high_entropy", "high_length", "legit_grams", "word_grams")
 
@@ -134,6 +135,7 @@ def fit(
     folds: int = FOLDS,
     seed: int = 42,
     metric: str = "rmse",
+    parallelism: int = 4,
 ) -> CrossValidatorModel:
     """Cross-validated model over the feature columns.
 
@@ -158,9 +160,11 @@ def fit(
         numFolds=folds,
         foldCol="fold",
         seed=seed,
+        parallelism=parallelism,
     )
-    # Read once per grid point and fold; lost blocks are recomputed.
-    ready = df.withColumn("fold", _share_of(seed + 1, folds)).persist()
+    # Read once per grid point, fold and iteration; lost blocks are read again.
+    kept = settle(df.withColumn("fold", _share_of(seed + 1, folds)), "training")
+    ready = training_rows(kept).persist()
     try:
         return search.fit(ready)
     finally:
@@ -204,6 +208,7 @@ def clients_of(hosts: DataFrame, px: DataFrame) -> DataFrame:
     Small host lists are broadcast and filter the scan.  Otherwise visits are made
     distinct first, so a hot host brings its different clients only, and AQE splits it.
     """
+    # The hosts come out of a scan and a model: computed once, then measured.
     columns = [c for c in ("host", "clientip", "proxyip", "username") if c in px.columns]
-    wanted = small(hosts.select(F.col("domain").alias("host")).distinct())
+    wanted = small(settle(hosts.select(F.col("domain").alias("host")).distinct(), "hosts"))
     return px.select(*columns).distinct().join(wanted, "host", "left_semi")

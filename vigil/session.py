@@ -1,11 +1,11 @@
-"""Session settings the jobs rely on, and the shared scratch folder."""
+"""Session settings the jobs rely on, and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Everything here is a default of current Spark or a correctness pin.  Cluster
 # sizing (executors, memory, shuffle partitions) belongs to spark-submit.
@@ -45,3 +45,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="vigil-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    For results that are costly to compute and used more than once, such as being
+    measured before they are joined.  A lost executor does not lose them.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vigil.operators import parse
+from vigil.session import scratch_path
 from vigil.sinks import tables
 from vigil.sources import feeds
 from vigil.sources.lines import read_lines
@@ -17,6 +20,7 @@ LOG_KINDS = {
     "ciscovpn": "ciscovpn",
     "apacheAccessLog": "apache",
 }
+ROUTED = ("proxysg", "fw", "ciscovpn", "bash")
 FEED_KINDS = {"alienvault_otx": "otx", "c2": "c2", "openphish": "openphish"}
 ALL = "all"
 
@@ -43,15 +47,32 @@ def ingest_logs(
             left = parse.rejects_of(lines, table, asof, year)
             tables.save_rejects(left.selectExpr(f"'{table}' as kind", "value"), rejects)
         return
-    # Several tables from one reading of the files.
-    split = parse.split_routed(lines, asof, year).persist()
-    try:
-        for table in ("proxysg", "fw", "ciscovpn", "bash"):
-            tables.append_path(parse.events_of(split, table), f"{root}/{table}")
-        if rejects:
-            tables.save_rejects(parse.rejects(split), rejects)
-    finally:
-        split.unpersist()
+    split = _staged(parse.split_routed(lines, asof, year))
+    for table in ROUTED:
+        tables.append_path(parse.events_of(split, table), f"{root}/{table}")
+    if rejects:
+        tables.save_rejects(parse.rejects(split), rejects)
+
+
+def _staged(split: DataFrame) -> DataFrame:
+    """Routed lines cut once and kept by kind, so each table reads its own part only.
+
+    A written table rather than a cache: it is a fraction of the raw text, does not
+    need the cluster's memory and outlives lost executors.
+    """
+    spark = split.sparkSession
+    path = scratch_path(spark, "routed")
+    kept = split.select(
+        "kind",
+        F.col("date").isNotNull().alias("read"),
+        "date",
+        "fields",
+        F.when(F.col("date").isNull(), F.col("value")).alias("value"),
+    )
+    kept.write.partitionBy("kind", "read").parquet(path)
+    schema = StructType([f for f in kept.schema if f.name not in ("kind", "read")])
+    schema = schema.add("kind", "string").add("read", "boolean")
+    return spark.read.schema(schema).parquet(path)
 
 
 def feed_table(lines: DataFrame, kind: str) -> DataFrame:

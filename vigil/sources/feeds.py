@@ -20,7 +20,7 @@ def parse_otx(lines: DataFrame) -> DataFrame:
     """(ip, reason) from ``ip#..#..#reason#..``; shorter lines yield nothing."""
     fields = F.split("value", "#")
     return lines.filter(F.size(fields) >= 4).select(
-        fields[0].alias("ip"), fields[3].alias("reason")
+        F.get(fields, F.lit(0)).alias("ip"), F.get(fields, F.lit(3)).alias("reason")
     )
 
 
@@ -43,21 +43,21 @@ def parse_openphish(lines: DataFrame) -> DataFrame:
 def feed_rules(lines: DataFrame) -> DataFrame:
     """Firewall rules: the sixth of exactly eight words, when an address or CIDR."""
     words = lines.select(_words(F.col("value")).alias("w")).filter(F.size("w") == 8)
-    return words.select(F.col("w")[5].alias("value")).filter(F.col("value").rlike(RULE_ADDRESS))
+    return words.select(F.get("w", F.lit(5)).alias("value")).filter(F.col("value").rlike(RULE_ADDRESS))
 
 
 def feed_hostsfile(lines: DataFrame) -> DataFrame:
     """Hosts file: second tab field; lines with a lone ``#`` field are comments."""
     fields = lines.select(F.split("value", "\t").alias("f"))
     return fields.filter((F.size("f") >= 2) & ~F.array_contains("f", "#")).select(
-        F.col("f")[1].alias("value")
+        F.get("f", F.lit(1)).alias("value")
     )
 
 
 def feed_domains(lines: DataFrame) -> DataFrame:
     """Domain list: third of at least six tab fields."""
     fields = lines.select(F.split("value", "\t").alias("f"))
-    return fields.filter(F.size("f") >= 6).select(F.col("f")[2].alias("value"))
+    return fields.filter(F.size("f") >= 6).select(F.get("f", F.lit(2)).alias("value"))
 
 
 def feed_csvlist(lines: DataFrame) -> DataFrame:
