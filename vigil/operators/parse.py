@@ -1,13 +1,15 @@
 """Raw lines to typed events, by column expressions only.
 
 Every function takes lines (``value``) and yields rows of a table in
-``schemas.EVENT_TABLES``.  The raw fields leave a generator (``explode``) so that
+``schemas.EVENT_TABLES``.  Raw fields and date leave a generator (``inline``) so that
 the regular expression runs once per line: a plain filter on the outcome would be
 pushed below the projection and match every line again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,12 +57,19 @@ def fields_by_kind(kind: Column, value: Column) -> Column:
 def event_date(fields: Column, table: str, asof: Column | None, year: int | Column | None) -> Column:
     """Date of an event from its raw fields; null when impossible."""
     if table == "proxysg":
-        return F.try_to_timestamp(F.get(fields, F.lit(0)), F.lit("y-M-d")).cast("date")
+        return F.get(fields, F.lit(0)).try_cast("date")
     if table == "apache":
         return F.try_to_timestamp(F.substring(F.get(fields, F.lit(3)), 1, 11), F.lit("dd/MMM/yyyy")).cast("date")
     return dates.syslog_date(F.get(fields, F.lit(0)), asof, year)
 
 
+def _dated(fields: Column, date_of: Callable[[Column], Column]) -> Column:
+    """One (fields, date) in an array, for ``inline``: each worked out once per line."""
+    return F.transform(
+        F.array(fields), lambda f: F.struct(f.alias("fields"), date_of(f).alias("date"))
+    )
+
+
 def _typed(exploded: DataFrame, table: str) -> DataFrame:
     """(fields, date) to the declared columns of ``table``."""
     raw = {name: F.get("fields", F.lit(i)) for i, name in enumerate(RAW_FIELDS[table])}
@@ -90,26 +99,8 @@ def parse(
 
     ``asof`` (a column of ``lines``) or ``year`` dates the year-less syslog stamps.
     """
-    fields = line_fields(F.col("value"), table)
-    when = {}
-    if table not in ("proxysg", "apache"):
-        if year is not None:
-            when["y"] = (year if isinstance(year, Column) else F.lit(year)).alias("y")
-        else:
-            when["asof"] = (F.current_date() if asof is None else asof).alias("asof")
-    found = lines.select(
-        F.explode(F.filter(F.array(fields), lambda f: f.isNotNull())).alias("fields"), *when.values()
-    )
-    dated = found.withColumn(
-        "date",
-        event_date(
-            F.col("fields"),
-            table,
-            F.col("asof") if "asof" in when else None,
-            F.col("y") if "y" in when else None,
-        ),
-    )
-    return _typed(dated.filter(F.col("date").isNotNull()), table)
+    read = _dated(line_fields(F.col("value"), table), lambda f: event_date(f, table, asof, year))
+    return _typed(lines.select(F.inline(F.filter(read, lambda r: r["date"].isNotNull()))), table)
 
 
 def parse_proxy(lines: DataFrame) -> DataFrame:
@@ -140,20 +131,14 @@ def split_routed(
     ``date`` is null exactly for lines that could not be read, so the parsed
     tables (``events_of``) and the rejects are both plain filters of the result.
     """
-    # Catalyst would push those filters below the projection and match each line
-    # again; the generator keeps them above it.
-    routed = route(lines)
-    cut = routed.select(
-        *routed.columns,
-        F.explode(F.array(fields_by_kind(F.col("kind"), F.col("value")))).alias("fields"),
-    )
-    kind, fields = F.col("kind"), F.col("fields")
-    return cut.withColumn(
-        "date",
-        F.when(kind == "proxysg", event_date(fields, "proxysg", None, None)).when(
-            kind != UNKNOWN, event_date(fields, "bash", asof, year)
+    kind, value = F.col("kind"), F.col("value")
+    dated = _dated(
+        fields_by_kind(kind, value),
+        lambda f: F.when(kind == "proxysg", event_date(f, "proxysg", None, None)).when(
+            kind != UNKNOWN, event_date(f, "bash", asof, year)
         ),
     )
+    return route(lines).select("value", "kind", F.inline(dated))
 
 
 def events_of(split: DataFrame, table: str) -> DataFrame:
@@ -170,8 +155,5 @@ def rejects_of(
     lines: DataFrame, table: str, asof: Column | None = None, year: int | Column | None = None
 ) -> DataFrame:
     """Lines that ``parse(lines, table)`` leaves out."""
-    cut = lines.select(
-        "*", F.explode(F.array(line_fields(F.col("value"), table))).alias("_fields")
-    )
-    bad = event_date(F.col("_fields"), table, asof, year).isNull()
-    return cut.filter(bad).drop("_fields")
+    read = _dated(line_fields(F.col("value"), table), lambda f: event_date(f, table, asof, year))
+    return lines.select("value", F.inline(read)).filter(F.col("date").isNull()).select("value")
