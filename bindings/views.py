@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigil.session import settle
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -157,6 +159,9 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     ),
 }
 
+# Lists that a real deployment holds as tables; made once, since they are read often.
+SETTLED = ("v_words", "v_domains")
+
 _STAMP = "concat(date_format(date, 'MMM'), ' ', lpad(cast(day(date) as string), 2, ' '))"
 
 # Raw log lines of a view, with the day they arrived; Spark only, the view itself
@@ -230,7 +235,8 @@ class Tables:
             else:
                 text = LINES.get(name) or VIEWS[name]
                 text = text if isinstance(text, str) else text[0]
-                self._made[name] = self.spark.sql(text, **{n: self[n] for n in _names(text)})
+                made = self.spark.sql(text, **{n: self[n] for n in _names(text)})
+                self._made[name] = settle(made, name) if name in SETTLED else made
         return self._made[name]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigil.functions.network import cidr_parts, ip_to_long, network_of
 from vigil.operators.ranking import count_by
 from vigil.operators.sizing import fits_broadcast
+from vigil.session import settle
 
 
 def feed_weights(feeds: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -84,15 +85,18 @@ def ioc_cidr_hits(events: DataFrame, key: str, indicators: DataFrame, column: st
     in use (at most 33) by the network it would belong to, an equi-join.  Events are
     counted per address first.
     """
-    ranges = (
+    ranges = settle(
         cidr_ranges(indicators, column)
         .groupBy("network", "prefix")
-        .agg(F.count(F.lit(1)).alias("copies"))
+        .agg(F.count(F.lit(1)).alias("copies")),
+        "ranges",
     )
     # At most 33 rows: prefix lengths run from 0 to 32.
     prefixes = sorted(r["prefix"] for r in ranges.select("prefix").distinct().collect())
     counted = count_by(events.filter(F.col(key).isNotNull()), key, name="n")
-    address = counted.withColumn("_ip", ip_to_long(F.col(key))).filter("_ip is not null")
+    # Malformed addresses get null networks, which join nothing.  A filter here would
+    # be pushed below the count and read every event's address instead.
+    address = counted.withColumn("_ip", ip_to_long(F.col(key)))
     candidates = address.select(
         key,
         "n",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.text import char_ngrams
@@ -14,6 +14,22 @@ from vigil.session import settle
 _SALTS = 64
 
 
+def _with_first(grams: Column) -> Column:
+    """Grams as (gram, first), ``first`` being 1 for the first occurrence in the row.
+
+    Most rows repeat no gram and skip the search for earlier occurrences.
+    """
+
+    def mark(first_of) -> Column:
+        return F.transform(
+            grams, lambda g, i: F.struct(g.alias("gram"), first_of(g, i).alias("first"))
+        )
+
+    return F.when(
+        F.size(F.array_distinct(grams)) == F.size(grams), mark(lambda g, i: F.lit(1))
+    ).otherwise(mark(lambda g, i: (F.array_position(grams, g) == i + 1).cast("int")))
+
+
 def ngram_vocab(df: DataFrame, col: str, min_df: float, lo: int = 3, hi: int = 5) -> DataFrame:
     """(gram, docs, total, weight) of grams in at least ``min_df`` of the rows.
 
@@ -23,17 +39,7 @@ def ngram_vocab(df: DataFrame, col: str, min_df: float, lo: int = 3, hi: int = 5
     """
     texts = df.filter(F.col(col).isNotNull()).select(col)
     grams = texts.select(char_ngrams(F.col(col), lo, hi).alias("grams"))
-    marked = grams.select(
-        F.explode(
-            F.transform(
-                "grams",
-                lambda g, i: F.struct(
-                    g.alias("gram"),
-                    (F.array_position(F.col("grams"), g) == i + 1).cast("int").alias("first"),
-                ),
-            )
-        ).alias("m")
-    )
+    marked = grams.select(F.explode(_with_first(F.col("grams"))).alias("m"))
     least = min_df * texts.count()
     return (
         marked.groupBy(F.col("m.gram").alias("gram"))

@@ -28,7 +28,7 @@ LINE_SAMPLE = 10_000
 # The trainer keeps its vocabulary on the driver; beyond this many words they are
 # hashed into this many buckets.
 MAX_VOCABULARY = 1 << 18
-ROWS_PER_TRAINER = 500_000
+WORDS_PER_TRAINER = 100_000
 
 
 def _tokenizer(bounded: bool, separator: str, max_vocabulary: int) -> SQLTransformer:
@@ -53,11 +53,11 @@ def _word_stages(
     and the driver holds at most ``max_vocabulary`` vectors.
     """
     words = F.split("command", separator)
-    counted = df.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
-    different = df.select(F.explode(words).alias("w")).agg(
-        F.approx_count_distinct("w").alias("n")
-    ).first()["n"]
-    bounded = different <= 0.9 * max_vocabulary
+    counted = df.count()
+    spread = df.select(F.explode(words).alias("w")).agg(
+        F.approx_count_distinct("w").alias("different"), F.count(F.lit(1)).alias("total")
+    ).first()
+    bounded = spread["different"] <= 0.9 * max_vocabulary
     cores = df.sparkSession.sparkContext.defaultParallelism
     trainer = Word2Vec(
         vectorSize=size,
@@ -65,7 +65,7 @@ def _word_stages(
         seed=seed,
         inputCol="tokens",
         outputCol="features",
-        numPartitions=max(1, min(math.ceil(counted / ROWS_PER_TRAINER), cores)),
+        numPartitions=max(1, min(math.ceil(spread["total"] / WORDS_PER_TRAINER), cores)),
     )
     return [_tokenizer(bounded, separator, max_vocabulary), trainer], counted
 
