@@ -558,7 +558,7 @@ def _(t):
 )
 def _(t):
     rows = parse.parse_apache(t["l_apache"])
-    return rows.withColumn("time", F.date_format("event_ts", "HH:mm:ss")).drop("event_ts", "date_time")
+    return rows.withColumn("time", F.substring("date_time", 13, 8)).drop("event_ts", "date_time")
 
 
 def _mixed(t: Tables) -> DataFrame:

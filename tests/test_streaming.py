@@ -6,6 +6,7 @@ from conftest import rows_of
 from test_parse import FW, LOGIN, LOGOUT, PLAIN, SHELL
 from vigil import schemas
 from vigil.operators import parse
+from vigil.sources.lines import read_hosted_lines
 from vigil.streaming import ingest
 from vigil.streaming.listener import BatchInfo
 
@@ -87,3 +88,10 @@ def test_processing_time_trigger(spark, tmp_path):
     finally:
         query.stop()
     assert ingest.read_ingested(spark, str(tmp_path / "out"), "bash").count() == 1
+
+
+def test_landed_hosted_lines(spark, tmp_path):
+    land(tmp_path / "in", "x", "a.log", f"dc1-net-bc\t{PLAIN}", "no tab")
+    landed = read_hosted_lines(spark, str(tmp_path / "in"))
+    assert rows_of(landed, "host", "value") == [("dc1-net-bc", PLAIN), ("no tab", "no tab")]
+    assert landed.filter("arrived_at is null").count() == 0

@@ -69,7 +69,11 @@ def corpus(lists: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 
 def host_candidates(px: DataFrame) -> DataFrame:
-    """Different proxy hosts worth scoring, as (domain, length, entropy)."""
+    """Different proxy hosts worth scoring, as (domain, length, entropy).
+
+    The different hosts are kept as a table: filters on scores would otherwise be
+    pushed below the distinct and score every request.
+    """
     host = F.col("host")
     wanted = px.filter(
         host.isNotNull()
@@ -78,11 +82,11 @@ def host_candidates(px: DataFrame) -> DataFrame:
         & ~host.rlike(HOST_IS_ADDRESS)
         & (F.length(host) > 6)
     )
-    return (
-        wanted.select(host.alias("domain"))
-        .distinct()
-        .select("domain", F.length("domain").cast("double").alias("length"),
-                entropy(F.col("domain")).alias("entropy"))
+    names = settle(wanted.select(host.alias("domain")).distinct(), "candidates")
+    return names.select(
+        "domain",
+        F.length("domain").cast("double").alias("length"),
+        entropy(F.col("domain")).alias("entropy"),
     )
 
 
