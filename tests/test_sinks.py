@@ -33,6 +33,14 @@ def test_append_and_replace(spark, tmp_path, dated):
     assert rows_of(read.select("v", F.col("date").cast("string"))) == [(1, "2024-01-01"), (4, "2024-01-02")]
 
 
+def test_files_by_day_need_no_shuffle(spark, tmp_path, dated):
+    rows = dated((1, "2024-01-01"), (2, "2024-01-02"))
+    tables.append_path(rows, str(tmp_path / "t"), by_day=True)
+    assert sources.read_table(spark, str(tmp_path / "t")).count() == 2
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in tables.by_date(rows)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_append_to_catalog(spark, tmp_path, dated):
     for day in ("2024-01-01", "2024-01-02"):
         tables.append(dated((1, day)), "appended", str(tmp_path / "c"))
@@ -126,6 +134,7 @@ def test_ingest_of_mixed_lines(spark, tmp_path):
 def test_command_line(spark, tmp_path, kind, line, table):
     raw = write_lines(tmp_path / "raw", line, "noise")
     args = ["-i", kind, "-p", raw, "--root", str(tmp_path / "db"), "--rejects", str(tmp_path / "rej"), "--year", "2024"]
+    args += ["--by-day"] if kind == "iptables" else []
     cli.main(args)
     stored = sources.read_table(spark, str(tmp_path / "db" / table), schemas.EVENT_TABLES[table])
     assert stored.count() == 1 and stored.filter("year(date) = 2024").count() == 1

@@ -22,6 +22,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument(
         "--asof", type=datetime.date.fromisoformat, help="day the logs arrived (default: today)"
     )
+    parser.add_argument(
+        "--by-day", action="store_true", help="each input file holds one day: write without a shuffle"
+    )
     args = parser.parse_args(argv)
     spark = build_session("vigil ingest")
     asof = F.lit(args.asof) if args.asof else None
@@ -29,7 +32,9 @@ def main(argv: list[str] | None = None) -> None:
         if kind in ingest.FEED_KINDS:
             ingest.ingest_feed(spark, kind, args.path, args.root)
         else:
-            ingest.ingest_logs(spark, kind, args.path, args.root, asof, args.year, args.rejects)
+            ingest.ingest_logs(
+                spark, kind, args.path, args.root, asof, args.year, args.rejects, args.by_day
+            )
 
 
 if __name__ == "__main__":

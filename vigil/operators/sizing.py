@@ -36,14 +36,17 @@ def fits_broadcast(
     )
 
 
-def training_rows(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+def training_rows(df: DataFrame, *unique: str, rows_per_task: int = 50_000) -> DataFrame:
     """A settled table in partitions big enough to pay for a task.
 
     Training runs a job per iteration, so tiny partitions cost more than they
-    compute.  ``coalesce`` never makes more partitions than the table has.
+    compute.  With ``unique`` columns, which no two rows share, partitions also hold
+    the same rows in the same order each time, so training can be repeated.
     """
-    rows = df.count()
-    return df.coalesce(max(1, -(-rows // rows_per_task)))
+    parts = max(1, -(-df.count() // rows_per_task))
+    if unique:
+        return df.repartition(parts, *unique).sortWithinPartitions(*unique)
+    return df.coalesce(parts)
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -168,7 +168,7 @@ def fit(
     )
     # Read once per grid point, fold and iteration; lost blocks are read again.
     kept = settle(df.withColumn("fold", _share_of(seed + 1, folds)), "training")
-    ready = training_rows(kept).persist()
+    ready = training_rows(kept, "domain", "category").persist()
     try:
         return search.fit(ready)
     finally:

@@ -33,23 +33,25 @@ def ingest_logs(
     asof: Column | None = None,
     year: int | Column | None = None,
     rejects: str | None = None,
+    by_day: bool = False,
 ) -> None:
     """Parse the files below ``path`` and append them to the tables below ``root``.
 
     ``all`` routes mixed files by their marks.  Lines no format fits go to
-    ``rejects`` when it is given.
+    ``rejects`` when it is given.  Files that hold a day each (``by_day``) are written
+    without a shuffle.
     """
     lines = read_lines(spark, path)
     if kind != ALL:
         table = LOG_KINDS[kind]
-        tables.append_path(parse.parse(lines, table, asof, year), f"{root}/{table}")
+        tables.append_path(parse.parse(lines, table, asof, year), f"{root}/{table}", by_day)
         if rejects:
             left = parse.rejects_of(lines, table, asof, year)
             tables.save_rejects(left.selectExpr(f"'{table}' as kind", "value"), rejects)
         return
     split = _staged(parse.split_routed(lines, asof, year))
     for table in ROUTED:
-        tables.append_path(parse.events_of(split, table), f"{root}/{table}")
+        tables.append_path(parse.events_of(split, table), f"{root}/{table}", by_day)
     if rejects:
         tables.save_rejects(parse.rejects(split), rejects)
 

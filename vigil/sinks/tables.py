@@ -15,17 +15,21 @@ def by_date(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", F.col("date"))
 
 
-def append(df: DataFrame, table: str, path: str | None = None) -> None:
-    """Append to a catalog table partitioned by date, made on first use."""
-    writer = by_date(df).write.format("parquet").mode("append").partitionBy("date")
+def append(df: DataFrame, table: str, path: str | None = None, by_day: bool = False) -> None:
+    """Append to a catalog table partitioned by date, made on first use.
+
+    ``by_day`` says that each input file already belongs to one day: rows are then
+    written where they were read, without a shuffle.
+    """
+    writer = (df if by_day else by_date(df)).write.format("parquet").mode("append").partitionBy("date")
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(table)
 
 
-def append_path(df: DataFrame, path: str) -> None:
-    """Append to a table given by its folder."""
-    by_date(df).write.mode("append").partitionBy("date").parquet(path)
+def append_path(df: DataFrame, path: str, by_day: bool = False) -> None:
+    """``append`` to a table given by its folder."""
+    (df if by_day else by_date(df)).write.mode("append").partitionBy("date").parquet(path)
 
 
 def replace_dates(df: DataFrame, path: str) -> None:
