@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.text import char_ngrams
-from vigil.operators.sizing import fits_broadcast
+from vigil.operators.sizing import fits_broadcast, spread
 from vigil.session import settle
 
 _SALTS = 64
@@ -38,7 +38,7 @@ def ngram_vocab(df: DataFrame, col: str, min_df: float, lo: int = 3, hi: int = 5
     both counts come from one aggregate by gram, combined map-side.
     """
     texts = df.filter(F.col(col).isNotNull()).select(col)
-    grams = texts.select(char_ngrams(F.col(col), lo, hi).alias("grams"))
+    grams = spread(texts).select(char_ngrams(F.col(col), lo, hi).alias("grams"))
     marked = grams.select(F.explode(_with_first(F.col("grams"))).alias("m"))
     least = min_df * texts.count()
     return (
@@ -69,8 +69,8 @@ def ngram_score(
         .agg(*[F.max(F.when(F.col("vocab") == n, F.col("weight"))).alias(f"_w_{n}") for n in names]),
         "weights",
     )
-    rows = df.distinct()
-    keys = rows.columns
+    keys = df.columns
+    rows = spread(df.distinct(), *keys)
     grams = rows.select(
         *keys, F.explode_outer(char_ngrams(F.col(col), lo, hi)).alias("gram")
     )

@@ -36,6 +36,17 @@ def fits_broadcast(
     )
 
 
+def spread(df: DataFrame, *unique: str) -> DataFrame:
+    """Rows over all shuffle partitions, ahead of a step that makes many rows of each.
+
+    AQE sizes tasks by the short rows it sees and would leave that step to a few of
+    them.  With ``unique`` columns, which no two rows share, a later aggregate by them
+    needs no shuffle.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *unique)
+
+
 def training_rows(df: DataFrame, *unique: str, rows_per_task: int = 50_000) -> DataFrame:
     """A settled table in partitions big enough to pay for a task.
 
