@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,10 @@ SETTINGS = {
 }
 
 
+# Scratch folders by application, in the order they were named.
+_made: dict[str, list[str]] = {}
+
+
 def build_session(app: str = "vigil", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the library's settings; ``extra`` uses ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -32,19 +37,40 @@ def build_session(app: str = "vigil", master: str | None = None, **extra: str) -
     return builder.getOrCreate()
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or one in the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder for data one job writes and a later one reads.
+    """A fresh folder below ``scratch_root`` for data one job writes and a later one reads."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
-    It lies in the shared folder named by ``spark.checkpoint.dir``, so every
-    executor sees it and a lost executor costs nothing.  Only a local master may
-    run without that setting; it then gets a temporary folder.
+
+def drop_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete what this application has kept in scratch folders, from the ``since``-th on.
+
+    Call it after the last write that reads a result; ``scratch`` does so for a block.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="vigil-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    made = _made.get(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in made[since:]:
+        place = hadoop(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    del made[since:]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables kept inside the block live until its end; write results inside it."""
+    since = len(_made.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        drop_scratch(spark, since)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
