@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,32 +101,38 @@ def mix(values: np.ndarray) -> np.ndarray:
     return x
 
 
+# Longer words are digested one by one.
+_LONG = 256
+_IS_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes, their starts and ends.
 
-    A word's hash is the sum of its bytes times a random odd number for their place,
-    then mixed; no loop over words.
+    Words are read eight bytes at a time, all at once.
     """
-    raw = np.frombuffer(data, np.uint8)
-    inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, ends
-    place = np.arange(len(raw), dtype=np.int64)
-    first = np.zeros(len(raw), np.int64)
-    first[starts] = starts
-    place -= np.maximum.accumulate(first)
-    part = (raw.astype(np.uint64) + np.uint64(1)) * _PLACES[place % len(_PLACES)]
-    long = place >= len(_PLACES)
-    if long.any():
-        part[long] = mix(part[long] + mix(place[long].astype(np.uint64)))
-    part[~inside] = 0
-    sums = np.add.reduceat(part, starts)
-    return mix(sums + np.uint64(0x9E3779B97F4A7C15) * (ends - starts).astype(np.uint64)), starts, ends
-
-
-_PLACES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    inside = _IS_WORD[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edges = np.concatenate([[0], edges])
+    if len(inside) and inside[-1]:
+        edges = np.append(edges, len(inside))
+    starts, ends = edges[0::2], edges[1::2]
+    lengths = ends - starts
+    hashes = mix(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    # The eight bytes from every place on; behind the end there are zeros.
+    eight = np.ndarray((len(data) + 1,), "<u8", data + bytes(9), strides=(1,))
+    active, at = np.flatnonzero(lengths <= _LONG), 0
+    while len(active):
+        part = eight[starts[active] + at] & _MASKS[np.minimum(lengths[active] - at, 8)]
+        hashes[active] = mix(hashes[active] * np.uint64(0xC2B2AE3D27D4EB4F) + part)
+        at += 8
+        active = active[lengths[active] > at]
+    for i in np.flatnonzero(lengths > _LONG):
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return hashes, starts, ends
+
 
 # A-Z in lower case, all other bytes as they are.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))

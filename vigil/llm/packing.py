@@ -37,9 +37,9 @@ from vigil.session import settle
 
 CAPACITY = 1024
 END_ID = 2
-GROUPS = 48
+GROUPS = 256
 # Lengths over this share of a sequence are large.
-LARGE = 1 / 8
+LARGE = 0.4
 # Word forms whose ids a task remembers.
 REMEMBERED = 200_000
 
@@ -139,26 +139,29 @@ def pieces(docs: DataFrame, tokenizer_file: str | None = None, capacity: int = C
 
 def _best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The most valuable sizes that fit one sequence (each any number of times)."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        fits = np.flatnonzero((sizes <= room) & (values > 0))
-        if len(fits):
-            worth = values[fits] + best[room - sizes[fits]]
-            i = int(np.argmax(worth))
-            if worth[i] > best[room] + 1e-12:
-                best[room], took[room] = worth[i], fits[i]
+    useful = np.flatnonzero(values > 0)
+    best, layers = np.zeros(capacity + 1), []
+    # One more piece in each layer; sizes are large, so there are few layers.
+    for _ in range(capacity // int(sizes.min())):
+        worth = np.full((len(useful), capacity + 1), -1.0)
+        for row, i in enumerate(useful):
+            worth[row, sizes[i] :] = best[: capacity + 1 - sizes[i]] + values[i]
+        last = worth.argmax(axis=0)
+        top = worth[last, np.arange(capacity + 1)]
+        more = top > best + 1e-12
+        layers.append(np.where(more, useful[last], -1))
+        if not more.any():
+            break
+        best = np.where(more, top, best)
     counts, room = np.zeros(len(sizes), int), capacity
-    while room > 0:
-        if took[room] < 0:
-            room -= 1
-        else:
+    for took in reversed(layers):
+        if took[room] >= 0:
             counts[took[room]] += 1
             room -= sizes[took[room]]
     return best[capacity], counts
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
     """Configurations and how often to use each, so that every size is placed ``demand`` times."""
     n = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from vigil.llm import chat, exact, packing, warc
+from vigil.llm import chat, decontam, exact, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +91,16 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM keep THEN keep END AS refers_to
 FROM g
 """
+
+
+@_query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality score."""
+    docs = _table(spark, folder, "documents")
+    return quality.score_documents(docs, quality.learn(docs, _table(spark, folder, "labels")))
+
+
+@_query
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the alignment's score."""
+    return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
