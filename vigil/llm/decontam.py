@@ -212,7 +212,7 @@ def _finders(docs: DataFrame, benchmark: DataFrame, threshold: float, block: int
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     last = None
     while True:
-        after = items if last is None else items.where(F.struct("item_id", "text") > F.struct(F.lit(last[0]), F.lit(last[1])))
+        after = items if last is None else items.where(F.struct("item_id", "text") > F.struct(F.lit(last[0]).cast("long").alias("item_id"), F.lit(last[1]).alias("text")))
         rows = [tuple(r) for r in after.distinct().orderBy("item_id", "text").limit(block).collect()]
         if not rows:
             return
