@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import chat, decontam, exact, packing, quality, warc
+from vigil.llm import chat, decontam, exact, jaccard, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,9 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item and the alignment's score."""
     return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query
+def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its set's size and the smallest document its links lead to."""
+    return jaccard.near_duplicates(_table(spark, folder, "documents"))
