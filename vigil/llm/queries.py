@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import chat, decontam, exact, jaccard, packing, quality, warc
+from vigil.llm import chat, ctw, decontam, exact, jaccard, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,9 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its set's size and the smallest document its links lead to."""
     return jaccard.near_duplicates(_table(spark, folder, "documents"))
+
+
+@_query
+def op4_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's log probability under the byte tree and under the unigram base."""
+    return ctw.score_documents(_table(spark, folder, "documents"))
