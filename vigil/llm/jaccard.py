@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vigil.llm.common import LOWER, components, join_groups, mix, text_of, word_hashes
 from vigil.session import settle
@@ -232,6 +233,14 @@ def _close(size_a: Column, size_b: Column, percent: int) -> Column:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row of ``docs``."""
+    members, classes = _classes(docs, words, percent)
+    alone = members.where("set is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    found = join_groups(members.where("set is not null"), classes.select("set", "component_id", "copies"), "set", "copies")
+    return found.select("doc_id", F.col("size").cast("long").alias("n_shingles"), "component_id").unionByName(alone)
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Documents ``(doc_id, set, size)``, and sets ``(set, root, low, copies, component_id)``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     kept = settle(prefixes(texts, sketch(texts, words), words, percent), "prefixes")
     members = kept.where("gram is null").select("doc_id", "set", "size")
@@ -265,7 +274,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     found = settle(verified(pairs.select("a", "b"), sets, percent), "links")
     if found.take(1):
         groups = components(links.unionByName(found), "groups")
-    return _per_document(members, groups)
+    # A class for each set, however many documents have it, before documents are joined.
+    of_set = members.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
+    of_set = of_set.join(groups.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    of_set = settle(of_set, "classes")
+    lowest = of_set.groupBy("root").agg(F.min("low").alias("component_id"))
+    return members, settle(of_set.join(lowest, "root"), "classes")
 
 
 def _labelled(lists: DataFrame, groups: DataFrame) -> DataFrame:
@@ -274,20 +288,24 @@ def _labelled(lists: DataFrame, groups: DataFrame) -> DataFrame:
     return lists.withColumn("root", F.coalesce("root", "set"))
 
 
-def _per_document(members: DataFrame, groups: DataFrame) -> DataFrame:
-    # A class for each set, however many documents have it, before the documents are joined.
-    of_set = members.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
-    of_set = settle(of_set.join(groups.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set")), "sets")
-    lowest = of_set.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_set = settle(of_set.join(lowest, "root").select("set", "component_id", "copies"), "classes")
-    alone = members.where("set is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    with_set = members.where("set is not null")
-    return join_groups(with_set, of_set, "set", "copies").select("doc_id", F.col("size").cast("long").alias("n_shingles"), "component_id").unionByName(alone)
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Of each group of ``docs`` the row with the smallest id, with all its columns.
 
+    Rows without words are in no group and stay.
+    """
+    _, classes = _classes(docs, words, percent)
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "set")).alias("first")
+    stays = settle(classes.groupBy("root").agg(first).select("first.low", F.col("first.set").alias("__stays")), "stays")
+    place = docs.columns.index("text")
 
-def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all their columns."""
-    found = near_duplicates(docs, words, percent)
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    dropped = settle(dropped.distinct(), "dropped")
-    return docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [grams(text or "", words) for text in batch.column(place).to_pylist()]
+            yield batch.append_column("__set", pa.array([_set_id(x) if len(x) else None for x in found], pa.int64()))
+
+    fields = StructType([*docs.schema.fields, StructField("__set", LongType())])
+    some_word = text_of().rlike(r"[^\x20\x09-\x0D]")
+    named = docs.where(some_word).mapInArrow(run, fields)
+    # The id is part of the key, so many documents with one set are not one task.
+    same = (F.col("__set") == F.col("__stays")) & F.col("doc_id").cast("long").eqNullSafe(F.col("low"))
+    return named.join(stays, same, "left_semi").drop("__set").unionByName(docs.where(~some_word))

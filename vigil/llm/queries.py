@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import chat, ctw, decontam, exact, jaccard, packing, quality, warc
+from vigil.llm import chat, ctw, decontam, exact, html, jaccard, packing, quality, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,15 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 def op4_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's log probability under the byte tree and under the unigram base."""
     return ctw.score_documents(_table(spark, folder, "documents"))
+
+
+@_query
+def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html.main_text(_table(spark, folder, "pages"))
+
+
+@_query
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in the documents, without what only looks like one."""
+    return secrets.scan(_table(spark, folder, "documents"))
