@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.session import settle
@@ -90,6 +91,34 @@ def ranked(rows: DataFrame, by: str, uid: str, shards: int = 64) -> DataFrame:
     )
 
 
+BLOOM_BITS = 1 << 24
+
+
+def bloom(rows: DataFrame, column: str) -> np.ndarray:
+    """BLOOM_BITS bits in 32-bit words, set for the values of a column of 64-bit hashes."""
+    bits = rows.select(F.pmod(F.col(column), F.lit(BLOOM_BITS)).alias("bit"))
+    words = bits.groupBy(F.expr("int(bit div 32)").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, int(bit % 32)))").alias("bits")
+    )
+    out = np.zeros(BLOOM_BITS // 32, np.uint32)
+    # At most BLOOM_BITS / 32 rows, whatever the input.
+    found = words.toPandas()
+    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return out
+
+
+def may_hold(spark: SparkSession, bits: np.ndarray, column: Column) -> Column:
+    """Whether a hash may be among those ``bits`` were made of; never false for one that is."""
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        bit = hashes.to_numpy(dtype=np.int64) % BLOOM_BITS
+        return pd.Series((shared.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool))
+
+    return test(column)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit integers (the finaliser of splitmix64)."""
     x = values.astype(np.uint64, copy=True)

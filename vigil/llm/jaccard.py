@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from vigil.llm.common import LOWER, components, join_groups, mix, text_of, word_hashes
+from vigil.llm.common import BLOOM_BITS, LOWER, bloom, components, join_groups, mix, text_of, word_hashes
 from vigil.session import settle
 
 WORDS = 3
@@ -49,7 +49,6 @@ LONGEST = 4
 # Grams read for the price of one list entry, when a pair is verified.
 VERIFY_SHARE = 0.25
 STARS = 2
-BLOOM_BITS = 1 << 24
 
 
 def grams(text: str, n: int) -> np.ndarray:
@@ -176,20 +175,9 @@ def _shared_lists(lists: DataFrame, by: str) -> DataFrame:
     return lists.join(mixed, "gram", "left_semi")
 
 
-def _bloom(sets: DataFrame) -> np.ndarray:
-    """A fixed number of bits, set for the hashes of the set ids."""
-    bits = sets.select(F.pmod(F.col("set"), F.lit(BLOOM_BITS)).alias("bit"))
-    words = bits.groupBy(F.expr("int(bit div 32)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 32)))").alias("bits"))
-    out = np.zeros(BLOOM_BITS // 32, np.uint32)
-    # At most BLOOM_BITS / 32 rows.
-    found = words.toPandas()
-    out[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
-    return out
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``(set, grams)`` of the wanted sets, each once."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "set"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, given = shared.value, set()

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigil.llm.common import bloom, may_hold
 from vigil.session import scratch_path, settle
 
 # Fixed values of the format.
@@ -60,7 +61,13 @@ def with_types(pages: DataFrame, shortest: int = SHORTEST_REVISITED) -> DataFram
         .select("digest", F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("page"), F.col("keep").alias("refers_to"))
         .distinct()
     )
-    return told.withColumn("page", _page()).join(revisits, ["digest", "page"], "left").drop("page")
+    revisits = settle(revisits, "revisits")
+    told = told.withColumn("page", _page())
+    # Pages that surely are no revisit stay where they are; only the others meet the list.
+    key = F.xxhash64("digest", "page")
+    maybe = may_hold(pages.sparkSession, bloom(revisits.select(key.alias("key")), "key"), key)
+    alone = told.where(~maybe).withColumn("refers_to", F.lit(None).cast("long"))
+    return told.where(maybe).join(revisits, ["digest", "page"], "left").unionByName(alone).drop("page")
 
 
 def write_archives(pages: DataFrame, path: str, shortest: int = SHORTEST_REVISITED) -> None:
