@@ -283,7 +283,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """
     _, classes = _classes(docs, words, percent)
     first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "set")).alias("first")
-    stays = settle(classes.groupBy("root").agg(first).select("first.low", F.col("first.set").alias("__stays")), "stays")
+    stays = settle(classes.groupBy("root").agg(first).select(F.col("first.low").alias("__low"), F.col("first.set").alias("__stays")), "stays")
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,5 +295,5 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     some_word = text_of().rlike(r"[^\x20\x09-\x0D]")
     named = docs.where(some_word).mapInArrow(run, fields)
     # The id is part of the key, so many documents with one set are not one task.
-    same = (F.col("__set") == F.col("__stays")) & F.col("doc_id").cast("long").eqNullSafe(F.col("low"))
+    same = (F.col("__set") == F.col("__stays")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__low"))
     return named.join(stays, same, "left_semi").drop("__set").unionByName(docs.where(~some_word))
