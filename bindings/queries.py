@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -581,7 +582,7 @@ def _(t):
 @query("ingest_rejects", "select 'unknown' as kind, value from {v_doc_lines}")
 def _(t):
     path = scratch_path(t.spark, "rejects")
-    tables.save_rejects(parse.rejects(parse.split_routed(_mixed(t), year=2024)), path)
+    tables.store_rejects(parse.rejects(parse.split_routed(_mixed(t), year=2024)), path, "only")
     return t.spark.read.schema("value string, kind string").text(path).select("kind", "value")
 
 
@@ -829,7 +830,7 @@ def _(t):
     path = scratch_path(t.spark, "batch")
     t["l_vpn"].select("value").write.text(f"{path}/raw")
     ingest.ingest_logs(t.spark, "ciscovpn", f"{path}/raw", path, year=2024)
-    read = source_tables.read_table(t.spark, f"{path}/ciscovpn", schemas.CISCOVPN)
+    read = source_tables.read_events(t.spark, path, "ciscovpn")
     return read.select("date", *_VPN_COLUMNS.split(", "))
 
 
@@ -1161,13 +1162,39 @@ def _(t):
     out = scratch_path(t.spark, "streamed")
     landed = streaming.stream_lines(t.spark, f"{path}/dt=*")
     streaming.start_ingest(landed, out, f"{out}/checkpoint", None, year=2024).awaitTermination()
-    counted = None
-    for table in streaming.ROUTED:
-        rows = streaming.read_ingested(t.spark, out, table).groupBy(F.lit(table).alias("kind"), "date").agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        counted = rows if counted is None else counted.unionByName(rows)
-    return counted
+    return _stored_counts(t, out)
+
+
+def _stored_counts(t: Tables, root: str) -> DataFrame:
+    """Rows by kind and day of all routed tables below ``root``."""
+    return reduce(
+        DataFrame.unionByName,
+        [
+            ranking.count_by(source_tables.read_events(t.spark, root, table).withColumn("kind", F.lit(table)), "kind", "date", name="n")
+            for table in streaming.ROUTED
+        ],
+    )
+
+
+@query("stream_two_sources", _STREAMED)
+def _(t):
+    path, out = _landed_logs(t), scratch_path(t.spark, "streamed")
+    # Two streams with checkpoints of their own fill the same tables.
+    for day in ("20240101", "20240102"):
+        landed = streaming.stream_lines(t.spark, f"{path}/dt={day}")
+        streaming.start_ingest(landed, out, f"{out}/checkpoint-{day}", None, year=2024).awaitTermination()
+    return _stored_counts(t, out)
+
+
+@query("ingest_batch_and_stream", _STREAMED)
+def _(t):
+    path, out = _landed_logs(t), scratch_path(t.spark, "mixed")
+    landed = streaming.stream_lines(t.spark, f"{path}/dt=20240101")
+    streaming.start_ingest(landed, out, f"{out}/checkpoint", None, year=2024).awaitTermination()
+    # The batch run is done twice and counts once.
+    for _run in range(2):
+        ingest.ingest_logs(t.spark, ingest.ALL, f"{path}/dt=20240102", out, year=2024, run="second")
+    return _stored_counts(t, out)
 
 
 def _file_sink(t: Tables, events_of, path: str) -> None:
@@ -1180,7 +1207,7 @@ def _(t):
     t["l_vpn"].select("value").write.text(f"{path}/raw")
     events = parse.parse_vpn(streaming.stream_lines(t.spark, f"{path}/raw"), year=2024)
     _file_sink(t, events, f"{path}/out")
-    read = source_tables.read_table(t.spark, f"{path}/out", schemas.CISCOVPN)
+    read = source_tables.read_table(t.spark, f"{path}/out", schemas.CISCOVPN).drop("batch")
     return read.select("date", *_VPN_COLUMNS.split(", "))
 
 
@@ -1203,7 +1230,7 @@ def _(t):
     _mixed(t).write.text(f"{path}/raw")
     split = parse.split_routed(streaming.stream_lines(t.spark, f"{path}/raw"), year=2024)
     _file_sink(t, parse.events_of(split, "bash"), f"{path}/out")
-    return source_tables.read_table(t.spark, f"{path}/out", schemas.BASH)
+    return source_tables.read_table(t.spark, f"{path}/out", schemas.BASH).drop("batch")
 
 
 @query(
@@ -1221,5 +1248,5 @@ def _(t):
     second = streaming.stream_hosted_lines(t.spark, f"{path}/b")
     whole = streaming.with_prefix(first.unionByName(second))
     _file_sink(t, parse.parse_proxy(whole), f"{path}/out")
-    rows = source_tables.read_table(t.spark, f"{path}/out", schemas.PROXYSG)
+    rows = source_tables.read_table(t.spark, f"{path}/out", schemas.PROXYSG).drop("batch")
     return ranking.count_by(rows.withColumn("host", F.col("source")), "host", "date", name="n")

@@ -11,7 +11,7 @@ from conftest import rows_of
 from test_parse import FW, LOGIN, LOGOUT, PLAIN, SHELL, TLS, WEB
 from vigil import cli, schemas
 from vigil.operators import parse
-from vigil.session import scratch_path
+from vigil.session import scratch, scratch_path, settle
 from vigil.sinks import catalog, export, ingest, tables
 from vigil.sources import tables as sources
 
@@ -159,9 +159,34 @@ def test_staged_table_reads_own_part_only(spark, lines):
     assert "PartitionFilters: [isnotnull(kind" in plan and "regexp" not in plan.lower()
 
 
+def test_rejects_are_kept_by_default(spark, tmp_path):
+    raw = write_lines(tmp_path / "raw", SHELL, "noise")
+    for _ in range(2):
+        ingest.ingest_logs(spark, "bashlog", raw, str(tmp_path / "db"), year=2024, run="r")
+    left = spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "db" / "rejects"))
+    assert [r["value"] for r in left.collect()] == ["noise"]
+
+
+def test_compacted_days_hold_the_same_rows(spark, tmp_path, dated):
+    path, schema = str(tmp_path / "t"), schemas.BASH
+    event = spark.createDataFrame([(None,) * len(schema.fields)], schema)
+    for i in range(3):
+        tables.store(event.withColumn("date", F.lit("2024-01-02").cast("date")).withColumn("command", F.lit(str(i))), path, f"run-{i}")
+    tables.compact(spark, path, schema, ("2024-01-01", "2024-01-31"), "whole")
+    assert [p.name for p in (tmp_path / "t" / "date=2024-01-02").iterdir()] == ["batch=whole"]
+    assert rows_of(sources.read_table(spark, path), "command") == [("0",), ("1",), ("2",)]
+
+
+def test_scratch_lives_for_its_block(spark):
+    with scratch(spark):
+        kept = settle(spark.range(3), "kept")
+        place = Path(kept.inputFiles()[0].removeprefix("file:")).parent
+        assert place.exists()
+    assert not place.exists()
+
+
 def test_scratch_follows_the_session(spark):
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert first != second
-    if root:
-        assert first.startswith(f"{root.rstrip('/')}/x-")
+    assert first.startswith(f"{root.rstrip('/')}/x-")

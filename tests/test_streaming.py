@@ -6,7 +6,9 @@ from conftest import rows_of
 from test_parse import FW, LOGIN, LOGOUT, PLAIN, SHELL
 from vigil import schemas
 from vigil.operators import parse
+from vigil.sinks import ingest as batch
 from vigil.sources.lines import read_hosted_lines
+from vigil.sources.tables import date_slice, read_events
 from vigil.streaming import ingest
 from vigil.streaming.listener import BatchInfo
 
@@ -24,7 +26,7 @@ def run(spark, tmp_path, **options):
     out = str(tmp_path / "out")
     query = ingest.start_ingest(stream, out, str(tmp_path / "ck"), None, year=2024)
     query.awaitTermination()
-    return {t: ingest.read_ingested(spark, out, t) if (tmp_path / "out" / t).exists() else None for t in ingest.ROUTED}
+    return {t: read_events(spark, out, t) if (tmp_path / "out" / t).exists() else None for t in ingest.ROUTED}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -53,7 +55,7 @@ def test_repeated_batch_replaces_itself(spark, tmp_path, lines):
     save = ingest.save_batch(str(tmp_path / "out"), year=2024)
     for _ in range(2):
         save(lines(SHELL, "noise"), 7)
-    assert ingest.read_ingested(spark, str(tmp_path / "out"), "bash").count() == 1
+    assert read_events(spark, str(tmp_path / "out"), "bash").count() == 1
     left = spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "out" / "rejects"))
     assert left.count() == 1
 
@@ -87,7 +89,7 @@ def test_processing_time_trigger(spark, tmp_path):
         query.processAllAvailable()
     finally:
         query.stop()
-    assert ingest.read_ingested(spark, str(tmp_path / "out"), "bash").count() == 1
+    assert read_events(spark, str(tmp_path / "out"), "bash").count() == 1
 
 
 def test_landed_hosted_lines(spark, tmp_path):
@@ -95,3 +97,48 @@ def test_landed_hosted_lines(spark, tmp_path):
     landed = read_hosted_lines(spark, str(tmp_path / "in"))
     assert rows_of(landed, "host", "value") == [("dc1-net-bc", PLAIN), ("no tab", "no tab")]
     assert landed.filter("arrived_at is null").count() == 0
+
+
+def test_streams_add_up(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for name, lines in (("a", [SHELL, SHELL, LOGIN]), ("b", [SHELL, "noise"])):
+        land(tmp_path / name, "20240101", "x.log", *lines)
+        stream = ingest.stream_lines(spark, str(tmp_path / name / "dt=*"))
+        ingest.start_ingest(stream, out, str(tmp_path / f"ck-{name}"), None, year=2024).awaitTermination()
+    assert read_events(spark, out, "bash").count() == 3 and read_events(spark, out, "ciscovpn").count() == 1
+
+
+def test_new_checkpoint_at_the_same_place_adds_up(spark, tmp_path):
+    land(tmp_path / "in", "20240101", "a.log", SHELL)
+    assert run(spark, tmp_path)["bash"].count() == 1
+    (tmp_path / "ck").rename(tmp_path / "old")
+    land(tmp_path / "in", "20240101", "b.log", SHELL)
+    assert run(spark, tmp_path)["bash"].count() == 3
+
+
+def test_batch_and_stream_fill_one_table(spark, tmp_path):
+    land(tmp_path / "in", "20240101", "a.log", SHELL)
+    run(spark, tmp_path)
+    for _ in range(2):
+        batch.ingest_logs(spark, "bashlog", str(tmp_path / "in"), str(tmp_path / "out"), year=2024, run="r1")
+    stored = read_events(spark, str(tmp_path / "out"), "bash")
+    assert stored.count() == 2
+    day = date_slice(stored, "2020-01-01", "2020-01-02")
+    assert day.count() == 0
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "batch" not in day.columns
+
+
+def test_sinks_into_one_folder_add_up(spark, tmp_path):
+    for name in ("a", "b"):
+        land(tmp_path / name, "20240101", "x.log", LOGIN)
+        events = parse.parse_vpn(ingest.stream_lines(spark, str(tmp_path / name / "dt=*")), year=2024)
+        ingest.start_file_sink(events, str(tmp_path / "out" / "ciscovpn"), str(tmp_path / f"ck{name}"), None).awaitTermination()
+    assert read_events(spark, str(tmp_path / "out"), "ciscovpn").count() == 2
+
+
+def test_keyed_records(spark):
+    records = spark.createDataFrame([(b"gw", b"line", 1)], "key binary, value binary, n int").selectExpr(
+        "key", "value", "timestamp'2024-01-05 10:00:00' AS timestamp"
+    )
+    assert [tuple(r)[:1] + tuple(r)[2:] for r in ingest.keyed_lines(records).collect()] == [("gw", "line")]

@@ -17,7 +17,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("-i", "--ingest", action="append", choices=kinds, required=True)
     parser.add_argument("-p", "--path", action="append", required=True)
     parser.add_argument("--root", required=True, help="folder of the tables")
-    parser.add_argument("--rejects", help="folder for lines no format fits")
+    parser.add_argument("--rejects", help="folder for lines no format fits (default: below the root)")
     parser.add_argument("--year", type=int, help="year of syslog stamps")
     parser.add_argument(
         "--asof", type=datetime.date.fromisoformat, help="day the logs arrived (default: today)"
@@ -25,6 +25,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument(
         "--by-day", action="store_true", help="each input file holds one day: write without a shuffle"
     )
+    parser.add_argument("--run", help="name of the run: the same one again replaces what it wrote")
     args = parser.parse_args(argv)
     spark = build_session("vigil ingest")
     asof = F.lit(args.asof) if args.asof else None
@@ -33,7 +34,7 @@ def main(argv: list[str] | None = None) -> None:
             ingest.ingest_feed(spark, kind, args.path, args.root)
         else:
             ingest.ingest_logs(
-                spark, kind, args.path, args.root, asof, args.year, args.rejects, args.by_day
+                spark, kind, args.path, args.root, asof, args.year, args.rejects, args.by_day, args.run
             )
 
 

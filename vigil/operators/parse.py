@@ -141,6 +141,14 @@ def split_routed(
     return route(lines).select("value", "kind", F.inline(dated))
 
 
+def split_as(
+    lines: DataFrame, table: str, asof: Column | None = None, year: int | Column | None = None
+) -> DataFrame:
+    """``split_routed`` for lines that are all taken for one table."""
+    read = _dated(line_fields(F.col("value"), table), lambda f: event_date(f, table, asof, year))
+    return lines.select("value", F.lit(table).alias("kind"), F.inline(read))
+
+
 def events_of(split: DataFrame, table: str) -> DataFrame:
     """Typed rows of one table out of ``split_routed``."""
     return _typed(split.filter((F.col("kind") == table) & F.col("date").isNotNull()), table)

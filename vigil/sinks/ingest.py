@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vigil.operators import parse
-from vigil.session import scratch_path
+from vigil.session import scratch, scratch_path
 from vigil.sinks import tables
 from vigil.sources import feeds
 from vigil.sources.lines import read_lines
@@ -34,26 +36,24 @@ def ingest_logs(
     year: int | Column | None = None,
     rejects: str | None = None,
     by_day: bool = False,
+    run: str | None = None,
 ) -> None:
-    """Parse the files below ``path`` and append them to the tables below ``root``.
+    """Parse the files below ``path`` and add them to the tables below ``root``.
 
-    ``all`` routes mixed files by their marks.  Lines no format fits go to
-    ``rejects`` when it is given.  Files that hold a day each (``by_day``) are written
-    without a shuffle.
+    ``all`` routes mixed files by their marks.  Lines no format fits go to ``rejects``,
+    by default below ``root``.  Each line is matched once.  Files that hold a day each
+    (``by_day``) are written without a shuffle.  ``run`` names what is written: doing a
+    run again replaces it, and without a name each call adds up.
     """
+    run = run or f"run-{uuid.uuid4().hex}"
     lines = read_lines(spark, path)
-    if kind != ALL:
-        table = LOG_KINDS[kind]
-        tables.append_path(parse.parse(lines, table, asof, year), f"{root}/{table}", by_day)
-        if rejects:
-            left = parse.rejects_of(lines, table, asof, year)
-            tables.save_rejects(left.selectExpr(f"'{table}' as kind", "value"), rejects)
-        return
-    split = _staged(parse.split_routed(lines, asof, year))
-    for table in ROUTED:
-        tables.append_path(parse.events_of(split, table), f"{root}/{table}", by_day)
-    if rejects:
-        tables.save_rejects(parse.rejects(split), rejects)
+    chosen = ROUTED if kind == ALL else (LOG_KINDS[kind],)
+    split = parse.split_routed(lines, asof, year) if kind == ALL else parse.split_as(lines, chosen[0], asof, year)
+    with scratch(spark):
+        split = _staged(split)
+        for table in chosen:
+            tables.store(parse.events_of(split, table), f"{root}/{table}", run, by_day)
+        tables.store_rejects(parse.rejects(split), rejects or f"{root}/rejects", run)
 
 
 def _staged(split: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+# The innermost partition of a stored table: which run wrote a file.
+BATCH = "batch"
 
 
 def by_date(df: DataFrame) -> DataFrame:
@@ -48,31 +52,46 @@ def snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
-def save_rejects(rejected: DataFrame, path: str) -> None:
-    """Unread lines as gzip text, a folder per kind."""
-    rejected.select("kind", "value").write.mode("append").partitionBy("kind").option(
-        "compression", "gzip"
-    ).text(path)
-
+def store(df: DataFrame, path: str, run: str, by_day: bool = False) -> None:
+    """Add the rows of one run (a micro-batch, a batch job) to a date-partitioned table.
 
-def replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one micro-batch below ``batch=<id>``, replacing an earlier try."""
+    Rows land below ``date=<day>/batch=<run>``, so a date filter prunes first, runs add
+    up, and a run that is done again replaces exactly what it wrote before.
+    """
     (
-        by_date(df)
+        (df if by_day else by_date(df))
+        .withColumn(BATCH, F.lit(run))
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy("date")
-        .parquet(f"{path}/batch={batch_id}")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("date", BATCH)
+        .parquet(path)
     )
 
 
-def replace_batch_text(rejected: DataFrame, path: str, batch_id: int) -> None:
-    """The unread lines of one micro-batch, replacing an earlier try."""
+def store_rejects(rejected: DataFrame, path: str, run: str) -> None:
+    """Unread lines of one run as gzip text, a folder per kind; a repeated run replaces its own."""
     (
-        rejected.select("kind", "value")
+        rejected.select("kind", F.lit(run).alias(BATCH), "value")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
+        .option("partitionOverwriteMode", "dynamic")
         .option("compression", "gzip")
-        .partitionBy("kind")
-        .text(f"{path}/batch={batch_id}")
+        .partitionBy("kind", BATCH)
+        .text(path)
     )
+
+
+def compact(spark: SparkSession, path: str, schema: StructType, days: tuple[str, str], run: str) -> None:
+    """Rewrite the stored runs of some closed days as one run each, in few files.
+
+    The new run is written before the old ones are dropped; a reader in between sees
+    rows twice, so compact days that no report reads meanwhile.
+    """
+    whole = StructType([*schema.fields, StructField(BATCH, StringType())])
+    stored = spark.read.schema(whole).parquet(path).where(F.col("date").between(*[F.lit(d).cast("date") for d in days]))
+    # At most as many rows as the days have folders.
+    old = [r for r in stored.select("date", BATCH).distinct().collect() if r[BATCH] != run]
+    store(stored.drop(BATCH), path, run)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for row in old:
+        place = hadoop(f"{path}/date={row['date']}/{BATCH}={row[BATCH]}")
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from vigil import schemas
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -13,6 +15,12 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None)
     return reader.parquet(path)
 
 
+def read_events(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """An event table below ``root``, whatever runs and streams have filled it."""
+    schema = StructType([*schemas.EVENT_TABLES[table].fields, StructField("batch", StringType())])
+    return spark.read.schema(schema).parquet(f"{root}/{table}").drop("batch")
+
+
 def date_slice(df: DataFrame, start: str, end: str) -> DataFrame:
     """Rows from ``start`` to ``end``, both days included.
 

@@ -7,9 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
-from vigil import schemas
 from vigil.operators import parse
 from vigil.sinks import tables
 from vigil.sources.lines import hosted, prefixed
@@ -41,16 +39,16 @@ def stream_hosted_lines(spark: SparkSession, glob: str, max_files: int | None =
 
 def kafka_hosted_lines(spark: SparkSession, servers: str, topics: str) -> DataFrame:
     """The same from Kafka topics keyed by host (needs the Kafka package)."""
-    return (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topics)
-        .load()
-        .select(
-            F.col("key").cast("string").alias("host"),
-            F.col("timestamp").alias("arrived_at"),
-            F.col("value").cast("string").alias("value"),
-        )
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
+    return keyed_lines(reader.option("subscribe", topics).load())
+
+
+def keyed_lines(records: DataFrame) -> DataFrame:
+    """(host, arrived_at, value) of records with binary ``key`` and ``value`` and a ``timestamp``."""
+    return records.select(
+        F.col("key").cast("string").alias("host"),
+        F.col("timestamp").alias("arrived_at"),
+        F.col("value").cast("string").alias("value"),
     )
 
 
@@ -65,24 +63,35 @@ def _start(writer, trigger: str | None):
     return writer.trigger(processingTime=trigger).start()
 
 
+def run_of(batch: DataFrame, batch_id: int) -> str:
+    """Names a micro-batch by its query and number.
+
+    The query's id is kept in its checkpoint: it stays the same over restarts, and a
+    new checkpoint, whose batches count from 0 again, has another one.
+    """
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{query or 'unnamed'}-{batch_id}"
+
+
 def save_batch(
     root: str, asof: Column | None = None, year: int | Column | None = None
 ) -> Callable[[DataFrame, int], None]:
     """Write one micro-batch: a table per kind, rejects as text.
 
-    A batch writes below ``batch=<id>`` and overwrites it, so a batch that is run
-    again after a failure replaces its own output: every line lands exactly once.
+    A batch that is run again after a failure replaces its own output, and nobody
+    else's: every line lands exactly once, however many streams fill a table.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        run = run_of(batch, batch_id)
         split = parse.split_routed(batch, asof, year).persist()
         try:
             # At most five kinds, each read or not.
             kinds = split.groupBy("kind", F.col("date").isNull().alias("bad")).count().collect()
             for table in {r["kind"] for r in kinds if not r["bad"]}:
-                tables.replace_batch(parse.events_of(split, table), f"{root}/{table}", batch_id)
+                tables.store(parse.events_of(split, table), f"{root}/{table}", run)
             if any(r["bad"] for r in kinds):
-                tables.replace_batch_text(parse.rejects(split), f"{root}/rejects", batch_id)
+                tables.store_rejects(parse.rejects(split), f"{root}/rejects", run)
         finally:
             split.unpersist()
 
@@ -107,22 +116,16 @@ def start_ingest(
     return _start(writer, trigger)
 
 
-def read_ingested(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """All batches of a streamed table."""
-    fields = schemas.EVENT_TABLES[table].fields
-    schema = StructType([*fields, StructField("batch", LongType())])
-    return spark.read.schema(schema).parquet(f"{root}/{table}").drop("batch")
-
-
 def start_file_sink(
     events: DataFrame, path: str, checkpoint: str, trigger: str | None = PUSH_CADENCE
 ) -> StreamingQuery:
-    """Append one parsed stream to a date-partitioned folder, exactly once."""
-    writer = (
-        events.writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("date")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-    )
-    return _start(writer, trigger)
+    """Add one parsed stream to a date-partitioned table, exactly once.
+
+    The layout is that of ``tables.store``, so batch jobs and other streams may fill the
+    same table.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        tables.store(batch, path, run_of(batch, batch_id))
+
+    return _start(events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint), trigger)
