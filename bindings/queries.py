@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
@@ -15,7 +16,7 @@ from vigil.functions import dates, network
 from vigil.functions.text import entropy
 from vigil.operators import enrich, forensics, groups, indicators, ngrams, parse, ranking
 from vigil.plans import commands, dga, firewall, patch, proxy, search, shell, timeline, vpn
-from vigil.session import scratch_path
+from vigil.session import scratch_path, settle
 from vigil.sinks import catalog, export, ingest, tables
 from vigil.sources import feeds, inventory, lines
 from vigil.sources import tables as source_tables
@@ -1035,12 +1036,14 @@ def _(t):
     return rows.withColumns({c: F.round(c, 6) for c in ("entropy", "legit_grams", "word_grams")})
 
 
-_CANDIDATES = """select distinct host as domain from {v_proxy} where host is not null
+_OCTET = "(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+_ADDRESS = "^" + r"\.".join([_OCTET] * 4) + "$"
+_CANDIDATES = f"""select distinct host as domain from {{v_proxy}} where host is not null
     and host not like 'www.%' and host like '%.%' and length(host) > 6
-    and not regexp_matches(host, '[0-9]{1,3}.[0-9]{1,3}.[0-9]{1,3}.[0-9]{1,3}')""".replace("{1,3}", "{{1,3}}")
+    and not regexp_matches(host, '{_ADDRESS}')"""
 
 
-@query("dga_host_candidates", (_ENTROPY % _CANDIDATES).replace("{{1,3}}", "{1,3}"))
+@query("dga_host_candidates", _ENTROPY % _CANDIDATES)
 def _(t):
     return dga.host_candidates(t["v_proxy"]).select("domain", F.round("entropy", 6).alias("entropy"))
 
@@ -1048,7 +1051,7 @@ def _(t):
 @query(
     "dga_host_clients",
     f"""select distinct p.host, p.clientip, p.username from {{v_proxy}} p
-        join ({(_ENTROPY % _CANDIDATES).replace('{{1,3}}', '{1,3}')}) e on e.domain = p.host
+        join ({_ENTROPY % _CANDIDATES}) e on e.domain = p.host
         where e.entropy > 3.5""",
 )
 def _(t):
@@ -1056,76 +1059,144 @@ def _(t):
     return dga.clients_of(suspects, t["v_proxy"])
 
 
-# --- models: no SQL counterpart ---------------------------------------------------
+# --- models: what any right model has to meet -------------------------------------
 
 _SMALL_GRID = {"layers": [[6, 10, 2]], "maxIter": [10, 50]}
+_NO_DIFFERENCE = "select 0::bigint as missing, 0::bigint as extra"
 
 
-def _trained(t: Tables):
+def _difference(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """How many rows of ``expected`` are missing, and how many of ``found`` are extra."""
+    names = found.columns
+    counts = (
+        expected.select(*names).withColumn("side", F.lit(1))
+        .unionByName(found.withColumn("side", F.lit(-1)))
+        .groupBy(*names).agg(F.sum("side").alias("more"))
+    )
+    return counts.agg(
+        F.coalesce(F.sum(F.greatest("more", F.lit(0))), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(F.greatest(-F.col("more"), F.lit(0))), F.lit(0)).alias("extra"),
+    )
+
+
+def _trained(t: Tables, kind: str = "mlp", grid: dict | None = None):
     legit, words = _vocabularies(t)
     train, held_out = dga.split(dga.features(dga.corpus(_lists(t)), legit, words))
-    return dga.fit(train, grid=_SMALL_GRID, folds=3), held_out, (legit, words)
+    return dga.fit(train, kind, grid or _SMALL_GRID, folds=3), held_out, (legit, words)
+
+
+_HELD_OUT = """select category, count(*) as held_out, true as accurate from {v_domains}
+    where ('0x' || substr(md5(domain || ':42'), 1, 8))::bigint % 1000 >= 700 group by category"""
+
+
+def _accuracy(t: Tables, *model) -> DataFrame:
+    """Held-out names by category, and whether nine of ten are told apart."""
+    fitted, held_out, _ = _trained(t, *model)
+    right = F.sum(F.when(F.col("category") == F.col("predicted"), F.col("hits")).otherwise(0))
+    return dga.evaluate(fitted, held_out).groupBy("category").agg(
+        F.sum("hits").alias("held_out"), (right >= 0.9 * F.sum("hits")).alias("accurate")
+    )
+
+
+@query("dga_model_eval", _HELD_OUT)
+def _(t):
+    return _accuracy(t)
 
 
-@query("dga_model_eval")
+@query("dga_forest_eval", _HELD_OUT)
 def _(t):
-    model, held_out, _ = _trained(t)
-    return dga.evaluate(model, held_out)
+    return _accuracy(t, "forest", {"numTrees": [15], "maxDepth": [5]})
 
 
-@query("dga_flagged_clients")
+@query("dga_logistic_eval", _HELD_OUT)
+def _(t):
+    return _accuracy(t, "logistic", {"regParam": [0.05], "elasticNetParam": [0.0]})
+
+
+@query("dga_flagged_clients", _NO_DIFFERENCE)
 def _(t):
     model, _, vocabularies = _trained(t)
-    hosts = dga.features(dga.host_candidates(t["v_proxy"]), *vocabularies)
-    return dga.clients_of(dga.flag_hosts(model, hosts), t["v_proxy"])
+    flagged = settle(dga.flag_hosts(model, dga.features(dga.host_candidates(t["v_proxy"]), *vocabularies)), "flagged")
+    # The plain route: all requests of the hosts first, made distinct afterwards.
+    plain = t["v_proxy"].join(flagged.withColumnRenamed("domain", "host"), "host").select("host", "clientip", "username").distinct()
+    return _difference(dga.clients_of(flagged, t["v_proxy"]), plain)
 
 
 _CLUSTERS = 25
 
 
-@query("cmd_vectors")
+@query(
+    "cmd_vectors",
+    """select source, username, len(string_split(command, ' ')) as words, 100::bigint as size from {v_bash}
+       where command is not null""",
+)
 def _(t):
     model = commands.train(t["v_bash"], k=_CLUSTERS)
     return commands.vectors(model, t["v_bash"]).select(
-        "source", "username", F.size("tokens").alias("words"), F.col("features").cast("string").alias("vector")
+        "source", "username", F.size("tokens").cast("bigint").alias("words"),
+        F.size(vector_to_array("features")).cast("bigint").alias("size"),
     )
 
 
-@query("cmd_clusters")
+@query(
+    "cmd_clusters",
+    """select count(*) as clustered, 0::bigint as without_cluster, 0::bigint as beyond_k from {v_bash}
+       where command is not null""",
+)
 def _(t):
     model, rows = commands.cluster(t["v_bash"], k=_CLUSTERS)
     path = scratch_path(t.spark, "clusters")
     commands.save(model, rows, path)
-    return ranking.count_by(commands.load(t.spark, path)[1], "prediction")
+    found = F.col("prediction")
+    return commands.load(t.spark, path)[1].agg(
+        F.count(F.lit(1)).alias("clustered"),
+        F.count(F.when(found.isNull(), 1)).alias("without_cluster"),
+        F.count(F.when((found < 0) | (found >= _CLUSTERS), 1)).alias("beyond_k"),
+    )
+
 
+def _clustered(t: Tables) -> DataFrame:
+    rows = commands.cluster(t["v_bash"], k=_CLUSTERS)[1].drop("features", "tokens")
+    return settle(rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("prediction"))), "clustered")
 
-@query("cmd_outliers")
+
+@query("cmd_outliers", _NO_DIFFERENCE)
 def _(t):
-    _, rows = commands.cluster(t["v_bash"], k=_CLUSTERS)
-    found = commands.outliers(rows.drop("features", "tokens"), commands.RARE_SERVING)
-    return commands.outlier_lines(found)
+    rows = _clustered(t)
+    found = commands.outlier_lines(commands.outliers(rows.drop("size"), commands.RARE_SERVING))
+    plain = rows.where(F.col("size") < commands.RARE_SERVING).drop("size").distinct()
+    return _difference(found, commands.outlier_lines(plain))
 
 
-@query("cmd_score_new")
+@query("cmd_score_new", "select concat('wget ', url) as command, true as has_cluster from {pages}")
 def _(t):
     path = scratch_path(t.spark, "model")
     commands.save(*commands.cluster(t["v_bash"], k=_CLUSTERS), path)
     model, known = commands.load(t.spark, path)
     fresh = t["pages"].selectExpr("concat('wget ', url) as command")
-    sizes = ranking.count_by(known, "prediction", name="cluster_size")
-    return commands.score(model, fresh).select("command", "prediction").join(sizes, "prediction")
+    scored = commands.score_new(model, known, fresh)
+    return scored.select("command", (F.col("prediction").isNotNull() & (F.col("cluster_size") >= 0)).alias("has_cluster"))
 
 
-@query("cmd_largest")
+@query("cmd_largest", _NO_DIFFERENCE)
 def _(t):
-    _, rows = commands.cluster(t["v_bash"], k=_CLUSTERS)
-    return commands.largest(rows)
+    rows = _clustered(t)
+    order = Window.orderBy(F.desc("size"), "prediction")
+    largest = rows.select("prediction", "size").distinct().withColumn("place", F.row_number().over(order)).where("place <= 10")
+    plain = rows.join(largest.select("prediction"), "prediction", "left_semi").select("command").distinct()
+    return _difference(commands.largest(rows.drop("size")), plain)
 
 
-@query("cmd_clusters_small")
+@query(
+    "cmd_clusters_small",
+    """select command, count(*) as hits, 1::bigint as clusters from (
+         select unnest(string_split(command, chr(10))) as command from {v_bash} where command is not null) l
+       group by command""",
+)
 def _(t):
     _, rows = commands.cluster_lines(t["v_bash"])
-    return commands.members(rows)
+    # The same line is always in the same cluster, and no line is lost.
+    return commands.members(rows).groupBy("command").agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("clusters"))
 
 
 # --- streaming ------------------------------------------------------------------

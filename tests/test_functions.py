@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import ipaddress
 import math
+import random
+import time
 from collections import Counter
 
 import pytest
@@ -72,3 +74,16 @@ def test_date_spine(spark):
     days = [str(r["date"]) for r in dates.date_spine(spark, "2024-02-27", "2024-03-01").collect()]
     assert days == ["2024-02-27", "2024-02-28", "2024-02-29", "2024-03-01"]
     assert dates.date_spine(spark, "2024-03-01", "2024-02-27").count() == 0
+
+
+def test_long_tokens_take_linear_time(spark):
+    from vigil.operators.ngrams import ngram_vocab
+
+    rng = random.Random(1)
+    blob = "".join(rng.choice("abcdefgh") for _ in range(100_000))
+    ngram_vocab(spark.createDataFrame([("warm",)], "t string"), "t", 0.0).count()
+    start = time.perf_counter()
+    found = {r["gram"]: (r["docs"], r["total"]) for r in ngram_vocab(spark.createDataFrame([(blob,)], "t string"), "t", 0.0).collect()}
+    assert time.perf_counter() - start < 6
+    grams = Counter(blob[i : i + n] for n in (3, 4, 5) for i in range(len(blob) - n + 1))
+    assert found == {g: (1, n) for g, n in grams.items()}

@@ -54,9 +54,11 @@ def test_split_does_not_depend_on_row_order(material):
 
 
 def test_candidates(spark):
-    hosts = ["www.example.com", "short", "a.b", "mail.example.com", "10.20.30.40", "x10.20.30.40.example", None, "nodotsinhere"]
+    hosts = ["www.example.com", "short", "a.b", "mail.example.com", "10.20.30.40", "x10.20.30.40.example", "1a2b3c4d.example.net", None, "nodotsinhere"]
     px = spark.createDataFrame([(h,) for h in hosts] * 2, "host string")
-    assert rows_of(dga.host_candidates(px), "domain") == [("mail.example.com",)]
+    assert rows_of(dga.host_candidates(px), "domain") == [
+        ("1a2b3c4d.example.net",), ("mail.example.com",), ("x10.20.30.40.example",)
+    ]
 
 
 @pytest.fixture(scope="module")
@@ -91,8 +93,8 @@ def test_clusters_saved_and_loaded(spark, shell_rows, tmp_path):
     assert commands.score(again, fresh).filter("prediction is not null").count() == 2
 
 
-def test_vocabulary_beyond_the_bound_is_hashed(spark, shell_rows, tmp_path):
-    model = commands.train(shell_rows, k=3, vector_size=5, max_vocabulary=8)
+def test_words_are_hashed(spark, shell_rows):
+    model = commands.train(shell_rows, k=3, vector_size=5, buckets=8)
     words = model.stages[1].getVectors()
     assert words.count() <= 8 and words.filter("word not like '#%'").count() == 0
     # No row and no word is lost.
@@ -101,8 +103,25 @@ def test_vocabulary_beyond_the_bound_is_hashed(spark, shell_rows, tmp_path):
     assert vectors.filter(F.size("tokens") != F.size(F.split("command", " "))).count() == 0
 
 
+def test_vectors_do_not_depend_on_file_layout(shell_rows):
+    first = commands.train(shell_rows, k=3, vector_size=5)
+    other = commands.train(shell_rows.repartition(7).orderBy(F.desc("command")).coalesce(3), k=3, vector_size=5)
+    vectors = [{r["word"]: tuple(r["vector"]) for r in m.stages[1].getVectors().collect()} for m in (first, other)]
+    assert vectors[0] == vectors[1]
+    assert rows_of(commands.score(first, shell_rows), "command", "prediction") == rows_of(
+        commands.score(other, shell_rows), "command", "prediction"
+    )
+
+
+def test_new_commands_in_unknown_clusters_stay(spark, shell_rows):
+    model, known = commands.cluster(shell_rows, k=4, vector_size=10)
+    fresh = spark.createDataFrame([("gcc hack.c -o hack",), ("cat /etc/hosts",), ("x y",)], "command string")
+    found = commands.score_new(model, known.filter("command = 'cat /etc/hosts'"), fresh).collect()
+    assert len(found) == 3 and {r["cluster_size"] for r in found if r["command"] == "cat /etc/hosts"} == {40}
+
+
 def test_whole_lines_as_words(spark):
     rows = spark.createDataFrame([("a b\nc d\na b",), ("c d",), ("x",)] * 10, "command string")
-    _, clustered = commands.cluster_lines(rows)
+    _, clustered = commands.cluster_lines(rows, k=2)
     held = commands.members(clustered)
     assert {(r["command"], r["hits"]) for r in held.collect()} == {("a b", 20), ("c d", 20), ("x", 10)}

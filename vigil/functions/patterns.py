@@ -18,7 +18,6 @@ VPN_LOGOUT = r'<\d{1,3}>(\S+\s+\d{1,2}) (\d\d:\d\d:\d\d) (\S+)(\s|\s\S\s)%ASA-\d
 WEB_SERVER = r'^(\S+) (\S+) (\S+) \[([\w:/]+\s[+\-]\d{4})\] "(\S+) (\S+) (\S+)" (\d{3}) (\d+)'
 C2_HOST = r'(\d+.\d+.\d+.\d+|(\S+\.\S+)|(\S+\.\S+\.\S+))'
 RULE_ADDRESS = r'(\d+.\d+.\d+.\d+)|(\d+.\d+.\d+.\d+\/\d+)'
-HOST_IS_ADDRESS = r'(\d{1,3}.\d{1,3}.\d{1,3}.\d{1,3})'
 IMAGE_PROFILE = r'(\w+)(\s)(\w+)(\S+)(\s)(\:)(\s)(\S+)'
 IMAGE_KDBG = r'(KDBG)(\s:\s)(\w+)'
 PROCESS_ROW = r'(\w+)(\s+)(\w+.+)(\s+)(\d+)(\s+)(\d+)(\s+)(\d+)(\s+)(\d+)(\s+)(\d+)(\s+)(\d+)(\s+)(\d{4}-\d\d-\d\d\s\d\d:\d\d:\d\d)'

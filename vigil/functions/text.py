@@ -22,15 +22,26 @@ def entropy(text: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).when(size > 0, bits)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def char_ngrams(text: Column, lo: int = 3, hi: int = 5) -> Column:
-    """All ``lo``- to ``hi``-character pieces, lower-cased, runs of blanks as one."""
+    """All ``lo``- to ``hi``-character pieces, lower-cased, runs of blanks as one.
+
+    The text is cut into characters once, so the work is linear in its length.
+    """
     clean = F.regexp_replace(F.lower(text), r"\s\s+", " ")
 
-    def pieces(n: int) -> Column:
-        starts = F.when(F.length(clean) >= n, F.sequence(F.lit(1), F.length(clean) - (n - 1)))
+    def pieces(chars: Column, n: int) -> Column:
+        starts = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n))
         return F.transform(
             F.coalesce(starts, F.array().cast("array<int>")),
-            lambda start: F.substring(clean, start, F.lit(n)),
+            lambda at: F.concat(*[F.get(chars, at + k) for k in range(n)]),
         )
 
-    return F.concat(*[pieces(n) for n in range(lo, hi + 1)])
+    return F.when(
+        text.isNotNull(),
+        let(F.split(clean, ""), lambda chars: F.concat(*[pieces(chars, n) for n in range(lo, hi + 1)])),
+    )

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.text import char_ngrams
+from vigil.functions.text import char_ngrams, let
 from vigil.operators.sizing import fits_broadcast, spread
 from vigil.session import settle
 
@@ -15,19 +15,20 @@ _SALTS = 64
 
 
 def _with_first(grams: Column) -> Column:
-    """Grams as (gram, first), ``first`` being 1 for the first occurrence in the row.
+    """Grams as (gram, first), ``first`` being 1 once for each different gram of the row.
 
-    Most rows repeat no gram and skip the search for earlier occurrences.
+    In sorted order equal grams are neighbours, so each is compared with one other.
     """
 
-    def mark(first_of) -> Column:
+    def mark(ordered: Column) -> Column:
         return F.transform(
-            grams, lambda g, i: F.struct(g.alias("gram"), first_of(g, i).alias("first"))
+            ordered,
+            lambda g, i: F.struct(
+                g.alias("gram"), ((i == 0) | (g != F.get(ordered, i - 1))).cast("int").alias("first")
+            ),
         )
 
-    return F.when(
-        F.size(F.array_distinct(grams)) == F.size(grams), mark(lambda g, i: F.lit(1))
-    ).otherwise(mark(lambda g, i: (F.array_position(grams, g) == i + 1).cast("int")))
+    return let(F.sort_array(grams), mark)
 
 
 def ngram_vocab(df: DataFrame, col: str, min_df: float, lo: int = 3, hi: int = 5) -> DataFrame:

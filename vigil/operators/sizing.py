@@ -51,13 +51,11 @@ def training_rows(df: DataFrame, *unique: str, rows_per_task: int = 50_000) -> D
     """A settled table in partitions big enough to pay for a task.
 
     Training runs a job per iteration, so tiny partitions cost more than they
-    compute.  With ``unique`` columns, which no two rows share, partitions also hold
-    the same rows in the same order each time, so training can be repeated.
+    compute.  No two rows share the ``unique`` columns, so partitions hold the same
+    rows in the same order each time, and training can be repeated.
     """
     parts = max(1, -(-df.count() // rows_per_task))
-    if unique:
-        return df.repartition(parts, *unique).sortWithinPartitions(*unique)
-    return df.coalesce(parts)
+    return df.repartition(parts, *unique).sortWithinPartitions(*unique)
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import SQLTransformer, Word2Vec
@@ -11,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.operators.groups import largest_groups, rare_groups, rows_in
-from vigil.operators.sizing import training_rows
 from vigil.session import settle
 
 # Model sizes and cluster-size thresholds.
@@ -23,56 +20,32 @@ SEED = 42
 RARE_TRAINING = 10
 RARE_SERVING = 20
 LINE_VECTOR_SIZE = 2
-LINE_SAMPLE = 10_000
-
-# The trainer keeps its vocabulary on the driver; beyond this many words they are
-# hashed into this many buckets.
-MAX_VOCABULARY = 1 << 18
-WORDS_PER_TRAINER = 100_000
-
-
-def _tokenizer(bounded: bool, separator: str, max_vocabulary: int) -> SQLTransformer:
-    """``command`` cut into ``tokens``, hashed to a bounded vocabulary if asked.
+LINE_CLUSTERS = 70
 
-    A SQL stage, so a saved pipeline carries the choice along.
-    """
-    tokens = f"split(command, '{separator}')"
-    if not bounded:
-        hashed = f"concat('#', cast(pmod(xxhash64(w), {max_vocabulary}) as string))"
-        tokens = f"transform({tokens}, w -> {hashed})"
-    return SQLTransformer(statement=f"SELECT *, {tokens} AS tokens FROM __THIS__")
+# Words are hashed into this many buckets whatever the data, as the trainer keeps a
+# vector for each on the driver.
+BUCKETS = 1 << 18
+# Training partitions; each trains a copy of the vectors, and the copies are merged.
+TRAINERS = 4
 
 
-def _word_stages(
-    df: DataFrame, separator: str, size: int, seed: int, max_vocabulary: int
-) -> tuple[list, int]:
-    """Tokenizer and Word2Vec for ``df``, and its row count.
+def _word_stages(separator: str, size: int, seed: int, buckets: int, trainers: int) -> list:
+    """``command`` cut into hashed ``tokens``, and word vectors over them.
 
-    The number of different words is measured first (HyperLogLog): all words are
-    kept as they are up to the bound, and hashed beyond it, so no word is dropped
-    and the driver holds at most ``max_vocabulary`` vectors.
+    A SQL stage, so a saved pipeline carries the buckets along.
     """
-    words = F.split("command", separator)
-    counted = df.count()
-    spread = df.select(F.explode(words).alias("w")).agg(
-        F.approx_count_distinct("w").alias("different"), F.count(F.lit(1)).alias("total")
-    ).first()
-    bounded = spread["different"] <= 0.9 * max_vocabulary
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    trainer = Word2Vec(
-        vectorSize=size,
-        minCount=1,
-        seed=seed,
-        inputCol="tokens",
-        outputCol="features",
-        numPartitions=max(1, min(math.ceil(spread["total"] / WORDS_PER_TRAINER), cores)),
-    )
-    return [_tokenizer(bounded, separator, max_vocabulary), trainer], counted
+    hashed = f"concat('#', cast(pmod(xxhash64(w), {buckets}) as string))"
+    tokens = f"transform(split(command, '{separator}'), w -> {hashed})"
+    return [
+        SQLTransformer(statement=f"SELECT *, {tokens} AS tokens FROM __THIS__"),
+        Word2Vec(vectorSize=size, minCount=1, seed=seed, inputCol="tokens", outputCol="features", numPartitions=trainers),
+    ]
 
 
-def _fit(stages: list, df: DataFrame) -> PipelineModel:
+def _fit(stages: list, df: DataFrame, trainers: int) -> PipelineModel:
+    """Fit on the rows in an order of their own, so that file layout and cores do not matter."""
     # Training passes over the rows many times; lost blocks are read again.
-    rows = training_rows(settle(df, "training")).persist()
+    rows = settle(df, "training").repartition(trainers, "command").sortWithinPartitions("command").persist()
     try:
         return Pipeline(stages=stages).fit(rows)
     finally:
@@ -84,16 +57,17 @@ def train(
     k: int = CLUSTERS,
     vector_size: int = VECTOR_SIZE,
     seed: int = SEED,
-    max_vocabulary: int = MAX_VOCABULARY,
+    buckets: int = BUCKETS,
+    trainers: int = TRAINERS,
 ) -> PipelineModel:
     """Word vectors over blank-separated words, then k-means on their means."""
     commands = bash.filter(F.col("command").isNotNull())
-    stages, _ = _word_stages(commands.select("command"), " ", vector_size, seed, max_vocabulary)
+    stages = _word_stages(" ", vector_size, seed, buckets, trainers)
     clusters = KMeans(
         k=k, seed=seed, maxIter=MAX_ITERATIONS, initSteps=INIT_STEPS,
         featuresCol="features", predictionCol="prediction",
     )
-    return _fit([*stages, clusters], commands.select("command"))
+    return _fit([*stages, clusters], commands.select("command"), trainers)
 
 
 def vectors(model: PipelineModel, bash: DataFrame) -> DataFrame:
@@ -109,6 +83,14 @@ def score(model: PipelineModel, bash: DataFrame) -> DataFrame:
     return model.transform(bash.filter(F.col("command").isNotNull()))
 
 
+def score_new(model: PipelineModel, known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``fresh`` commands with their cluster and how many ``known`` rows it has, 0 for none."""
+    # At most as many rows as there are clusters.
+    sizes = F.broadcast(known.groupBy("prediction").agg(F.count(F.lit(1)).alias("cluster_size")))
+    found = score(model, fresh).select("command", "prediction").join(sizes, "prediction", "left")
+    return found.withColumn("cluster_size", F.coalesce("cluster_size", F.lit(0)))
+
+
 def cluster(
     bash: DataFrame, k: int = CLUSTERS, vector_size: int = VECTOR_SIZE, seed: int = SEED
 ) -> tuple[PipelineModel, DataFrame]:
@@ -149,23 +131,20 @@ def largest(clustered: DataFrame, n: int = 10, cluster_col: str = "prediction")
 
 
 def cluster_lines(
-    bash: DataFrame, seed: int = SEED, max_vocabulary: int = MAX_VOCABULARY
+    bash: DataFrame, k: int = LINE_CLUSTERS, seed: int = SEED, buckets: int = BUCKETS, trainers: int = TRAINERS
 ) -> tuple[PipelineModel, DataFrame]:
     """The variant where a whole command line is one word.
 
-    Two-dimensional vectors, random start, and k as for the sample size of
-    ``LINE_SAMPLE`` at most, while every line is clustered.
+    Two-dimensional vectors and a random start; every line is clustered.
     """
     lines = bash.filter(F.col("command").isNotNull()).select(
         F.explode(F.split("command", "\n")).alias("command")
     )
-    stages, counted = _word_stages(lines, "\n", LINE_VECTOR_SIZE, seed, max_vocabulary)
-    k = max(2, int(math.sqrt(min(counted, LINE_SAMPLE) / 2)))
     clusters = KMeans(
         k=k, seed=seed, maxIter=MAX_ITERATIONS, initMode="random",
         featuresCol="features", predictionCol="prediction",
     )
-    model = _fit([*stages, clusters], lines)
+    model = _fit([*_word_stages("\n", LINE_VECTOR_SIZE, seed, buckets, trainers), clusters], lines, trainers)
     return model, model.transform(lines)
 
 

@@ -21,7 +21,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.patterns import HOST_IS_ADDRESS
+from vigil.functions.network import IPV4
 from vigil.functions.text import entropy
 from vigil.operators.ngrams import ngram_score
 from vigil.operators.sizing import small, training_rows
@@ -79,7 +79,7 @@ def host_candidates(px: DataFrame) -> DataFrame:
         host.isNotNull()
         & ~host.like("www.%")
         & host.like("%.%")
-        & ~host.rlike(HOST_IS_ADDRESS)
+        & ~host.rlike(IPV4)
         & (F.length(host) > 6)
     )
     names = settle(wanted.select(host.alias("domain")).distinct(), "candidates")
@@ -102,8 +102,9 @@ def features(df: DataFrame, legit_vocab: DataFrame, word_vocab: DataFrame) -> Da
 
 
 def _share_of(seed: int, parts: int) -> Column:
-    """A part number per domain: fixed by its text, so a recomputed task agrees."""
-    return F.pmod(F.xxhash64("domain", F.lit(seed)), F.lit(parts)).cast("int")
+    """A part number per domain: fixed by its text, so a recomputed task and SQL agree."""
+    digest = F.md5(F.concat(F.col("domain"), F.lit(f":{seed}")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(parts)).cast("int")
 
 
 def split(df: DataFrame, seed: int = 42, train: float = TRAIN_SHARE) -> tuple[DataFrame, DataFrame]:
