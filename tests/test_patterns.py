@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +61,23 @@ def test_formats_fill_every_field(table):
     for form in FORMATS[table]:
         assert len(form.captures) == len(RAW_FIELDS[table])
         assert max(form.captures) <= re.compile(form.pattern).groups
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        samples.PLAIN.replace(' "10.0.0.8"', "") + ' "x"' * 8000,
+        samples.PLAIN + ' "x"' * 8000,
+        samples.PLAIN.replace(' "10.0.0.8"', ' x "10.0.0.8"') + ' "x"' * 8000,
+        samples.TLS.replace(" 10.0.0.8", "") + ' "x" y' * 8000,
+        samples.TLS + " x" * 8000,
+    ],
+)
+def test_lines_that_nearly_fit_take_linear_time(spark, line):
+    def read(text):
+        return spark.createDataFrame([(text,)], "value string").select(line_fields(F.col("value"), "proxysg")).first()[0]
+
+    read(samples.PLAIN)
+    start = time.perf_counter()
+    read(line)
+    assert time.perf_counter() - start < 4

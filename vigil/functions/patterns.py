@@ -37,6 +37,8 @@ class LineFormat:
 
     pattern: str
     captures: tuple[int, ...]
+    # A cheap pattern that every accepted line fits too.
+    needs: str | None = None
 
     def split(self, line: Column) -> Column:
         """The fields of ``line`` as ``array<string>``, or null when it does not fit.
@@ -64,7 +66,8 @@ class LineFormat:
                 ]
             ),
         )
-        return F.when(line.contains(SEPARATOR), slow).otherwise(fast)
+        fields = F.when(line.contains(SEPARATOR), slow).otherwise(fast)
+        return F.when(line.rlike(f"(?d){self.needs}"), fields) if self.needs else fields
 
 
 # Raw fields per event table; a format lists its captures in the same order.
@@ -90,11 +93,24 @@ RAW_FIELDS = {
     ),
 }
 
+# The proxy formats hold two free texts, agent and categories, so a line that nearly fits
+# would be tried at every pair of their ends.  Whatever end of the agent fits, the first
+# possible one has the line's tail behind it as well: with that end held (an atomic
+# group), looking for the tail once tells whether the pattern is worth trying.
+_PLAIN_NEEDS = (
+    PROXY_PLAIN[: PROXY_PLAIN.index(' "([^"].*?)"')]
+    + r'(?> "[^"].*?" "\S+" ")[\s\S]*" "\S+" "\d+.\d+.\d+.\d+"'
+)
+_TLS_NEEDS = (
+    PROXY_TLS[: PROXY_TLS.index(' "?([^"].*?)"?')]
+    + r'(?> "?[^"].*?"? \S+ ")[\s\S]*" \S+ \S+ \S+ \S+ \d+.\d+.\d+.\d+'
+)
+
 # Formats per event table; the first that fits a line wins.
 FORMATS = {
     "proxysg": (
-        LineFormat(PROXY_PLAIN, (4, 3, 5, *range(7, 26), 0, 0, 0, 26, 27)),
-        LineFormat(PROXY_TLS, (4, 3, 5, *range(7, 31))),
+        LineFormat(PROXY_PLAIN, (4, 3, 5, *range(7, 26), 0, 0, 0, 26, 27), _PLAIN_NEEDS),
+        LineFormat(PROXY_TLS, (4, 3, 5, *range(7, 31)), _TLS_NEEDS),
     ),
     "fw": (LineFormat(IPTABLES, (2, 3, 4, 8, 16, 17, 18, 21, 23, 24, 25)),),
     "ciscovpn": (
