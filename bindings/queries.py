@@ -488,51 +488,58 @@ def _(t):
 
 # --- parsing --------------------------------------------------------------------
 
-_PROXY_COLUMNS = (
-    "date", "time", "source", "clientip", "scstatus", "scbytes", "csbytes", "host", "port", "path",
-    "query", "username", "agent", "categories",
-)
+# Every column of the parsed tables; the time of the event as text.
+_EVENT_TS = "strftime(cast(concat(cast(date as varchar), ' ', time) as timestamp), '%Y-%m-%d %H:%M:%S') as event_ts"
+_TLS_COLUMNS = ("tlsver", "tlscipher", "ciphersize")
 _PROXY_SQL = (
-    "select cast(date as varchar) as date, "
-    + ", ".join(_PROXY_COLUMNS[1:])
-    + ", '{tls}' as tlsver, '10.0.0.8' as proxyip from {{v_proxy}}"
+    "select cast(date as varchar) as date, " + _EVENT_TS + ", {tls}, "
+    + ", ".join(n for n in schemas.PROXYSG.names if n not in ("date", "event_ts", *_TLS_COLUMNS))
+    + " from {{v_proxy}}"
 )
 
 
-@query("parse_proxy_plain", _PROXY_SQL.format(tls=""))
+def _as_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("event_ts", F.col("event_ts").cast("string"))
+
+
+@query("parse_proxy_plain", _PROXY_SQL.format(tls="'' as tlsver, '' as tlscipher, '' as ciphersize"))
 def _(t):
-    return parse.parse_proxy(t["l_proxy_plain"]).select(*_PROXY_COLUMNS, "tlsver", "proxyip")
+    return _as_text(parse.parse_proxy(t["l_proxy_plain"]))
 
 
-@query("parse_proxy_tls", _PROXY_SQL.format(tls="TLSv1.2"))
+@query("parse_proxy_tls", _PROXY_SQL.format(tls="'TLSv1.2' as tlsver, tlscipher, ciphersize"))
 def _(t):
-    return parse.parse_proxy(t["l_proxy_tls"]).select(*_PROXY_COLUMNS, "tlsver", "proxyip")
+    return _as_text(parse.parse_proxy(t["l_proxy_tls"]))
 
 
-@query("parse_fw", "select cast(date as varchar) as date, * exclude (date) from {v_fw}")
+@query("parse_fw", f"select cast(date as varchar) as date, {_EVENT_TS}, * exclude (date) from {{v_fw}}")
 def _(t):
-    return parse.parse_fw(t["l_fw"], asof=F.col("arrived_at")).drop("event_ts")
+    return _as_text(parse.parse_fw(t["l_fw"], asof=F.col("arrived_at")))
 
 
 _VPN_COLUMNS = "time, source, username, remoteip, localip, duration, bytesxmt, bytesrcv, reason"
+_SECONDS = """coalesce(try_cast(regexp_extract(duration, '([0-9]+)d', 1) as bigint), 0) * 86400
+    + cast(regexp_extract(duration, '([0-9]+)h', 1) as bigint) * 3600
+    + cast(regexp_extract(duration, '([0-9]+)m', 1) as bigint) * 60
+    + cast(regexp_extract(duration, '([0-9]+)s', 1) as bigint)"""
 
 
 @query(
     "parse_vpn_login",
-    f"select cast(date as varchar) as date, {_VPN_COLUMNS} from {{v_vpn}} where duration = ''",
+    f"""select cast(date as varchar) as date, {_EVENT_TS}, {_VPN_COLUMNS}, cast(null as bigint) as duration_sec
+        from {{v_vpn}} where duration = ''""",
 )
 def _(t):
-    sessions = parse.parse_vpn(t["l_vpn"], asof=F.col("arrived_at"))
-    return sessions.filter("duration = ''").select("date", *_VPN_COLUMNS.split(", "))
+    return _as_text(parse.parse_vpn(t["l_vpn"], asof=F.col("arrived_at")).filter("duration = ''"))
 
 
 @query(
     "parse_vpn_logout",
-    f"select cast(date as varchar) as date, {_VPN_COLUMNS} from {{v_vpn}} where duration <> ''",
+    f"""select cast(date as varchar) as date, {_EVENT_TS}, {_VPN_COLUMNS}, {_SECONDS} as duration_sec
+        from {{v_vpn}} where duration <> ''""",
 )
 def _(t):
-    sessions = parse.parse_vpn(t["l_vpn"], asof=F.col("arrived_at"))
-    return sessions.filter("duration <> ''").select("date", *_VPN_COLUMNS.split(", "))
+    return _as_text(parse.parse_vpn(t["l_vpn"], asof=F.col("arrived_at")).filter("duration <> ''"))
 
 
 @query(
@@ -556,11 +563,13 @@ def _(t):
 @query(
     "parse_apache",
     """select cast(date as varchar) as date, ip_address, '-' as client_identd, user_id, method, endpoint,
-       'HTTP/1.1' as protocol, response_code, content_size, time from {v_apache}""",
+       'HTTP/1.1' as protocol, response_code, content_size,
+       strftime(cast(concat(cast(date as varchar), ' ', time) as timestamp), '%Y-%m-%d %H:%M:%S') as event_ts,
+       strftime(cast(concat(cast(date as varchar), ' ', time) as timestamp), '%d/%b/%Y:%H:%M:%S +0000') as date_time
+       from {v_apache}""",
 )
 def _(t):
-    rows = parse.parse_apache(t["l_apache"])
-    return rows.withColumn("time", F.substring("date_time", 13, 8)).drop("event_ts", "date_time")
+    return _as_text(parse.parse_apache(t["l_apache"]))
 
 
 def _mixed(t: Tables) -> DataFrame:
@@ -573,11 +582,13 @@ def _mixed(t: Tables) -> DataFrame:
 @query(
     "route_lines",
     """select 'fw' as kind, count(*) as n from {v_fw} union all select 'proxysg', count(*) from {v_proxy}
-       union all select 'ciscovpn', count(*) from {v_vpn} union all select 'bash', count(*) from {v_bash}
+       union all select 'ciscovpn', count(*) from {v_vpn} union all select 'bash', 2 * count(*) from {v_bash}
        union all select 'unknown', count(*) from {v_doc_lines}""",
 )
 def _(t):
-    return ranking.count_by(parse.route(_mixed(t)), "kind", name="n")
+    # Shell lines of hosts that are named like firewalls carry two marks.
+    two_marks = t["l_bash"].select(F.replace("value", F.lit(" host"), F.lit(" dc1-fw")).alias("value"))
+    return ranking.count_by(parse.route(_mixed(t).unionAll(two_marks)), "kind", name="n")
 
 
 @query("ingest_rejects", "select 'unknown' as kind, value from {v_doc_lines}")
@@ -630,18 +641,18 @@ def _as_lines(df: DataFrame, text: str) -> DataFrame:
     return df.selectExpr(f"{text} as value")
 
 
-@query("parse_otx", "select ip, reason from {v_otx}")
+@query("parse_otx", "select ip, reason from {v_otx_feed}")
 def _(t):
-    landed = _as_lines(t["v_otx"], "concat(ip, '#4#2#', reason, '#US#City#1.0,2.0#11')")
-    return feeds.parse_otx(landed.unionAll(_as_lines(t["v_otx"], "''")))
+    landed = _as_lines(t["v_otx_feed"], "concat(ip, '#4#2#', reason, '#US#City#1.0,2.0#11')")
+    return feeds.parse_otx(landed.unionAll(_as_lines(t["v_otx_feed"], "''")))
 
 
 @query(
     "parse_c2",
-    """select host, 'C2' as reason from {v_c2} union all select '' as host, '' as reason from {part}""",
+    """select host, 'C2' as reason from {v_c2_feed} union all select '' as host, '' as reason from {part}""",
 )
 def _(t):
-    return feeds.parse_c2(_as_lines(t["v_c2"], "host").unionAll(_as_lines(t["part"], "p_name")))
+    return feeds.parse_c2(_as_lines(t["v_c2_feed"], "host").unionAll(_as_lines(t["part"], "p_name")))
 
 
 @query("parse_openphish", "select url, 'OpenPhish' as reason from {pages}")
@@ -649,15 +660,15 @@ def _(t):
     return feeds.parse_openphish(_as_lines(t["pages"], "concat('  ', url, '\t ')"))
 
 
-@query("feed_rules", "select host as value from {v_cidr}")
+@query("feed_rules", "select host as value from {v_cidr_feed}")
 def _(t):
-    rules = _as_lines(t["v_cidr"], "concat('-A FEED -p ip -s ', host, ' -j DROP')")
+    rules = _as_lines(t["v_cidr_feed"], "concat('-A FEED -p ip -s ', host, ' -j DROP')")
     return feeds.feed_rules(rules.unionAll(_as_lines(t["part"], "concat('# rule for ', p_name)")))
 
 
-@query("feed_hostsfile", "select host as value from {v_c2}")
+@query("feed_hostsfile", "select host as value from {v_c2_feed}")
 def _(t):
-    entries = _as_lines(t["v_c2"], "concat('127.0.0.1\t', host, '\tlisted')")
+    entries = _as_lines(t["v_c2_feed"], "concat('127.0.0.1\t', host, '\tlisted')")
     return feeds.feed_hostsfile(entries.unionAll(_as_lines(t["part"], "concat('#\t', p_name)")))
 
 
@@ -680,13 +691,13 @@ def _(t):
 @query(
     "feed_c2_union",
     """select distinct value as host, 'C2' as reason from (
-         select host as value from {v_cidr} union all select host from {v_c2}
+         select host as value from {v_cidr_feed} union all select host from {v_c2_feed}
          union all select domain from {v_domains}) u""",
 )
 def _(t):
     every = feeds.union_indicators(
-        feeds.feed_rules(_as_lines(t["v_cidr"], "concat('-A FEED -p ip -s ', host, ' -j DROP')")),
-        feeds.feed_hostsfile(_as_lines(t["v_c2"], "concat('127.0.0.1\t', host)")),
+        feeds.feed_rules(_as_lines(t["v_cidr_feed"], "concat('-A FEED -p ip -s ', host, ' -j DROP')")),
+        feeds.feed_hostsfile(_as_lines(t["v_c2_feed"], "concat('127.0.0.1\t', host)")),
         feeds.feed_domains(_as_lines(t["v_domains"], "concat('\t\t', domain, '\ta\tb\tc')")),
         feeds.feed_csvlist(_as_lines(t["v_domains"], "concat(domain, ',x')")),
         feeds.feed_urllist(_as_lines(t["v_domains"], "concat(domain, '/x ', domain, '/y')")),
@@ -694,10 +705,10 @@ def _(t):
     return feeds.parse_c2(every)
 
 
-@query("feed_snapshot", "select ip, reason from {v_otx}")
+@query("feed_snapshot", "select ip, reason from {v_otx_feed}")
 def _(t):
     path = scratch_path(t.spark, "feed")
-    landed = _as_lines(t["v_otx"], "concat(ip, '#4#2#', reason, '#US')")
+    landed = _as_lines(t["v_otx_feed"], "concat(ip, '#4#2#', reason, '#US')")
     landed.write.text(f"{path}/raw")
     for _run in range(2):
         ingest.ingest_feed(t.spark, "alienvault_otx", f"{path}/raw", path)
@@ -821,6 +832,45 @@ def _(t):
     return inventory.read_rank_list(t.spark, path)
 
 
+_DAY = "cast(concat('2024-01-', lpad(cast(1 + srcport % 28 as {text}), 2, '0')) as date)"
+
+
+def _stored_days(t: Tables, rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Days of a table that was stored, read through its date partitions."""
+    path = scratch_path(t.spark, "days")
+    tables.store(rows, path, "one")
+    return source_tables.date_slice(source_tables.read_table(t.spark, path).drop("batch"), start, end)
+
+
+@query(
+    "top_hosts_dated",
+    """select host, count(*) as hits from {v_proxy} where date between date '2024-01-05' and date '2024-01-12'
+       group by host order by hits desc, host limit 15""",
+)
+def _(t):
+    return proxy.top_hosts(_stored_days(t, t["v_proxy"], "2024-01-05", "2024-01-12"))
+
+
+@query(
+    "fw_denied_ports_dated",
+    f"""select dstport, proto, count(*) as hits, {_LABEL} as port from {{v_fw}} where action = 'DENY'
+        and {_DAY.format(text='varchar')} between date '2024-01-10' and date '2024-01-19'
+        group by dstport, proto order by hits desc, dstport, proto limit 10""",
+)
+def _(t):
+    days = t["v_fw"].withColumn("date", F.expr(_DAY.format(text="string")))
+    return firewall.denied_ports(_stored_days(t, days, "2024-01-10", "2024-01-19"))
+
+
+@query(
+    "bash_keyword_dated",
+    """select source, username, exec_as, srcip, command from {v_bash}
+       where command like '%the%' and date between date '2024-01-02' and date '2024-01-04'""",
+)
+def _(t):
+    return shell.search(_stored_days(t, t["v_bash"], "2024-01-02", "2024-01-04"), "command", "%the%")
+
+
 # --- sinks ----------------------------------------------------------------------
 
 _VPN_SQL = f"select cast(date as varchar) as date, {_VPN_COLUMNS} from {{v_vpn}}"
@@ -860,6 +910,38 @@ def _(t):
     return ranking.count_by(t.spark.table(table), "year", "month", "day", "username", name="n")
 
 
+@query(
+    "catalog_partitions",
+    """select cast(extract(year from date) as smallint) as year, cast(extract(month from date) as smallint) as month,
+       cast(extract(day from date) as smallint) as day, username, count(*) as n from {v_bash}
+       group by 1, 2, 3, 4""",
+)
+def _(t):
+    path = scratch_path(t.spark, "partitions")
+    shell_rows = t["v_bash"]
+    shell_rows.drop("date").write.parquet(f"{path}/like")
+    table = "parts_" + path.rsplit("-", 1)[1]
+    catalog.create_like(t.spark, f"{path}/like", table, f"{path}/table")
+    # One day is loaded by itself, one is registered after another job has written it.
+    day = F.dayofmonth("date")
+    catalog.load_partition(shell_rows.where(day == 1).drop("date"), table, 2024, 1, 1)
+    shell_rows.where(day == 2).drop("date").write.parquet(f"{path}/table/year=2024/month=1/day=2")
+    catalog.add_partition(t.spark, table, 2024, 1, 2)
+    catalog.load_days(shell_rows.where(day > 2), table)
+    return ranking.count_by(t.spark.table(table), "year", "month", "day", "username", name="n")
+
+
+@query("append_by_name", _VPN_SQL)
+def _(t):
+    path = scratch_path(t.spark, "named")
+    table = "vpn_" + path.rsplit("-", 1)[1]
+    sessions = t["v_vpn"].select("date", *_VPN_COLUMNS.split(", "))
+    logins = F.col("duration") == ""
+    for part in (sessions.where(logins), sessions.where(~logins)):
+        tables.append(part, table, path)
+    return t.spark.table(table)
+
+
 @query("export_json", "select source, username, exec_as, srcip, command from {v_bash}")
 def _(t):
     documents = export.to_json_rows(t["v_bash"].drop("date"))
@@ -1201,13 +1283,10 @@ def _(t):
 
 # --- streaming ------------------------------------------------------------------
 
-_JANUARY = "cast(concat('2024-01-', lpad(cast(1 + srcport % 28 as {text}), 2, '0')) as date)"
-
-
 def _landed_logs(t: Tables) -> str:
     """Mixed lines as files below day folders."""
     path = scratch_path(t.spark, "landed")
-    january = t["v_fw"].withColumn("date", F.expr(_JANUARY.format(text="string")))
+    january = t["v_fw"].withColumn("date", F.expr(_DAY.format(text="string")))
     fw = t.spark.sql(
         """select concat('<4>Jan ', lpad(cast(day(date) as string), 2, ' '), ' ', time, ' ', source,
           ' kernel:  RULE 12 -- ', action, '    IN=eth0 OUT= MAC=aa SRC=', srcip, ' DST=', dstip, ' LEN=', len,
@@ -1222,7 +1301,7 @@ def _landed_logs(t: Tables) -> str:
 
 
 _STREAMED = f"""select kind, cast(date as varchar) as date, count(*) as n from (
-    select 'fw' as kind, {_JANUARY.format(text='varchar')} as date from {{v_fw}}
+    select 'fw' as kind, {_DAY.format(text='varchar')} as date from {{v_fw}}
     union all select 'proxysg', date from {{v_proxy}} union all select 'ciscovpn', date from {{v_vpn}}
     union all select 'bash', date from {{v_bash}}) s group by kind, date"""
 
@@ -1282,6 +1361,20 @@ def _(t):
     return read.select("date", *_VPN_COLUMNS.split(", "))
 
 
+@query(
+    "keyed_lines",
+    """select cast(date as varchar) as date, source, username, exec_as, srcip,
+       replace(command, chr(10), ' ') as command from {v_bash}""",
+)
+def _(t):
+    # Records as a broker delivers them.
+    records = t["l_bash"].select(
+        F.lit("gw").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"),
+        F.col("arrived_at").cast("timestamp").alias("timestamp"),
+    )
+    return parse.parse_bash(streaming.keyed_lines(records), asof=F.col("arrived_at").cast("date"))
+
+
 @query("stream_text", _LENGTHS % "")
 def _(t):
     landed = streaming.stream_lines(t.spark, f"{_text_folders(t)}/lang=*")

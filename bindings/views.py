@@ -58,6 +58,18 @@ VIEWS: dict[str, str | tuple[str, str]] = {
             else {_HOST.replace('url', 'p.url')} end as host, cast(443 as bigint) as port, p.url as path,
           replace(replace(e.props, ' ', ''), '"', '') as query,
           concat('u', cast(e.user_id as string)) as username,
+          concat('TCP_', upper(e.event_type)) as saction,
+          case when e.event_id % 3 = 0 then 'POST' else 'GET' end as method,
+          case when p.url like 'https%' then 'https' else 'http' end as urischeme,
+          concat('g', cast(e.user_id % 7 as string)) as user_group,
+          concat('s', cast(e.event_id % 5 as string)) as sname,
+          concat('text/t', cast(e.event_id % 4 as string)) as contenttype,
+          concat('http://r', cast(e.user_id % 11 as string), '/') as referer,
+          case when e.event_type = 'error' then 'DENIED' else 'OBSERVED' end as action,
+          concat('AES', cast(e.event_id % 6 as string), '-SHA') as tlscipher,
+          cast(128 * (1 + e.event_id % 2) as string) as ciphersize,
+          concat('m', cast(e.user_id % 4 as string)) as malware,
+          concat('10.0.0.', cast(e.event_id % 9 as string)) as proxyip,
           case e.user_id % 5 when 0 then 'Mozilla/4.0 (Windows NT 5.1)'
             when 1 then concat('rare/', cast(e.user_id as string))
             else 'Mozilla/5.0 (Windows NT 10.0)' end as agent,
@@ -105,6 +117,18 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         from {{part}} where p_size = 50 and p_type = 'PROMO'
         union all
         select {_part_ip('p_partkey')} as host from {{part}} where p_size = 7""",
+    # Feed files list everything; the indicators above are a part of it.
+    "v_otx_feed": f"""
+        select {_part_ip('p_partkey')} as ip, concat('Reason ', cast(p_size % 9 as string)) as reason from {{part}}
+        union all
+        select {_HOST} as ip, 'Malicious Host' as reason from {{pages}}""",
+    "v_c2_feed": f"""
+        select {_part_ip('p_partkey')} as host, 'C2' as reason from {{part}}
+        union all
+        select {_HOST} as host, 'C2' as reason from {{pages}}""",
+    "v_cidr_feed": f"""
+        select concat({_part_ip('(p_partkey & 16777200)')}, case p_partkey % 3 when 0 then '/28' when 1 then '/24' else '' end)
+          as host from {{part}}""",
     "v_bash": """
         select cast(concat('2024-01-', lpad(cast(turn % 28 + 1 as string), 2, '0')) as date) as date,
           concat('host', cast(conv_id % 20 as string)) as source,
@@ -142,9 +166,9 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         from {{pages}}""",
     "v_words": (
         """select distinct word from (
-             select explode(split(lower(text), '[^a-z]+')) as word from {documents}) w where word <> ''""",
+             select explode(split(lower(text), '[^\\\\pL]+')) as word from {documents}) w where word <> ''""",
         """select distinct word from (
-             select unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as word from {documents}) w
+             select unnest(regexp_split_to_array(lower(text), '[^\\pL]+')) as word from {documents}) w
            where word <> ''""",
     ),
     "v_process": f"""
@@ -174,16 +198,17 @@ LINES: dict[str, str] = {
         from {{v_fw}}""",
     "l_proxy_plain": f"""
         select date as arrived_at, concat('<9>', {_STAMP}, ' ', time, ' gw ', source, ' "', date, '" "', time,
-          '" "12" "', clientip, '" "', scstatus, '" "TCP_MISS" "', scbytes, '" "', csbytes,
-          '" "GET" "https" "', host, '" "', port, '" "', path, '" "', query, '" "', username,
-          '" "staff" "sg" "text/html" "-" "', agent, '" "OBSERVED" "', categories, '" "-" "10.0.0.8"') as value
+          '" "12" "', clientip, '" "', scstatus, '" "', saction, '" "', scbytes, '" "', csbytes,
+          '" "', method, '" "', urischeme, '" "', host, '" "', port, '" "', path, '" "', query, '" "', username,
+          '" "', user_group, '" "', sname, '" "', contenttype, '" "', referer, '" "', agent, '" "', action,
+          '" "', categories, '" "', malware, '" "', proxyip, '"') as value
         from {{v_proxy}}""",
     "l_proxy_tls": f"""
         select date as arrived_at, concat('<9>', {_STAMP}, ' ', time, ' gw ', source, ' ', date, ' ', time,
-          ' 12 ', clientip, ' ', scstatus, ' TCP_MISS ', scbytes, ' ', csbytes,
-          ' GET https ', host, ' ', port, ' ', path, ' ', query, ' ', username,
-          ' staff sg text/html - "', agent, '" OBSERVED "', categories,
-          '" TLSv1.2 AES256-SHA 256 - 10.0.0.8') as value
+          ' 12 ', clientip, ' ', scstatus, ' ', saction, ' ', scbytes, ' ', csbytes,
+          ' ', method, ' ', urischeme, ' ', host, ' ', port, ' ', path, ' ', query, ' ', username,
+          ' ', user_group, ' ', sname, ' ', contenttype, ' ', referer, ' "', agent, '" ', action, ' "', categories,
+          '" TLSv1.2 ', tlscipher, ' ', ciphersize, ' ', malware, ' ', proxyip) as value
         from {{v_proxy}}""",
     "l_vpn": f"""
         select date as arrived_at, case when duration = '' then

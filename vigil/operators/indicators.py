@@ -42,7 +42,7 @@ def ioc_hits(events: DataFrame, key: str, feeds: dict[str, tuple[DataFrame, str]
     that, events are first counted per key, so both join sides hold a key once and
     a hot key is one row.
     """
-    weights = feed_weights(feeds)
+    weights = settle(feed_weights(feeds), "weights")
     if fits_broadcast(weights):
         matched = events.join(F.broadcast(weights), events[key] == weights["indicator"])
         return matched.groupBy(key).agg(
@@ -56,7 +56,7 @@ def ioc_hits(events: DataFrame, key: str, feeds: dict[str, tuple[DataFrame, str]
 
 def ioc_groups(events: DataFrame, key: str, feed: tuple[DataFrame, str], *keys: str) -> DataFrame:
     """(keys, hits) of events whose ``key``, one of ``keys``, is an indicator."""
-    weights = feed_weights({"feed": feed})
+    weights = settle(feed_weights({"feed": feed}), "weights")
     if fits_broadcast(weights):
         matched = events.join(F.broadcast(weights), events[key] == weights["indicator"])
         return matched.groupBy(*keys).agg(F.sum("copies").alias("hits"))

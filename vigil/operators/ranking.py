@@ -18,5 +18,5 @@ def top(df: DataFrame, k: int, *ties: str, by: str = "hits", least: bool = False
 
 
 def ranked(df: DataFrame, *ties: str, by: str = "hits") -> DataFrame:
-    """All rows, highest ``by`` first."""
+    """All rows, highest ``by`` first: a sort of the whole result, for showing it, not for writing."""
     return df.orderBy(F.desc(by), *ties)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.operators.indicators import ioc_hits
-from vigil.operators.ranking import count_by, ranked, top
+from vigil.operators.ranking import count_by, top
 
 
 def denied(fw: DataFrame) -> DataFrame:
@@ -41,8 +41,8 @@ def top_talkers(fw: DataFrame, k: int = 25) -> DataFrame:
 
 
 def malware_connections(fw: DataFrame, otx: DataFrame, c2: DataFrame) -> DataFrame:
-    """Indicator matches per destination, most first."""
-    return ranked(ioc_hits(fw, "dstip", {"otx": (otx, "ip"), "c2": (c2, "host")}), "dstip")
+    """Indicator matches per destination; order them with ``ranking.ranked`` or ``top``."""
+    return ioc_hits(fw, "dstip", {"otx": (otx, "ip"), "c2": (c2, "host")})
 
 
 def dashboard_rows(fw: DataFrame, k: int = 10) -> DataFrame:

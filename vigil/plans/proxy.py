@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.operators.indicators import ioc_groups, ioc_hits
-from vigil.operators.ranking import count_by, ranked, top
+from vigil.operators.ranking import count_by, top
 
 MALWARE = "%Mal%"
 
@@ -15,7 +15,7 @@ def user_malware(px: DataFrame, user_like: str) -> DataFrame:
     """Requests of matching users to malware categories, counted."""
     keys = ("clientip", "username", "host", "port", "path", "query")
     hit = px.filter(F.col("username").like(user_like) & F.col("categories").like(MALWARE))
-    return ranked(count_by(hit, *keys), *keys)
+    return count_by(hit, *keys)
 
 
 def top_transfers(px: DataFrame, k: int = 10) -> DataFrame:
@@ -64,4 +64,4 @@ def intel_hits(px: DataFrame, otx: DataFrame, c2: DataFrame, k: int = 20) -> Dat
 def intel_users(px: DataFrame, otx: DataFrame) -> DataFrame:
     """Who visited indicator hosts, counted by client, user, host and category."""
     keys = ("clientip", "username", "host", "categories")
-    return ranked(ioc_groups(px, "host", (otx, "ip"), *keys), *keys)
+    return ioc_groups(px, "host", (otx, "ip"), *keys)

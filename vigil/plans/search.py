@@ -16,10 +16,18 @@ def sql_over(
     args: dict[str, Any] | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Run the caller's SQL over named tables; values go in as ``:name`` parameters."""
-    for name, table in tables.items():
-        table.createOrReplaceTempView(name)
-    found = spark.sql(query, args=args or {})
+    """Run the caller's SQL over named tables; values go in as ``:name`` parameters.
+
+    The tables are common table expressions of this one query, so searches of a session
+    do not see each other's tables.
+    """
+    text = query.strip().replace("{", "{{").replace("}", "}}")
+    named = ", ".join(f"`{name}` AS (SELECT * FROM {{table_{i}}})" for i, name in enumerate(tables))
+    if text[:4].lower() == "with" and not text[4:5].isalnum():
+        text = f"WITH {named}, {text[4:]}"
+    elif named:
+        text = f"WITH {named} {text}"
+    found = spark.sql(text, args=args or None, **{f"table_{i}": df for i, df in enumerate(tables.values())})
     return found if limit is None else found.limit(limit)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.operators.enrich import with_country
-from vigil.operators.ranking import count_by, ranked
+from vigil.operators.ranking import count_by
 from vigil.operators.sizing import small
 
 
@@ -44,7 +44,7 @@ def foreign_logins(
     abroad = located.join(people, located["username"] == people["emailaddress"]).filter(
         F.col("remoteipcc") != F.col("c")
     )
-    return ranked(abroad.groupBy(*by).agg(F.sum("n").alias("hits")), *by)
+    return abroad.groupBy(*by).agg(F.sum("n").alias("hits"))
 
 
 def identify_user(vpn: DataFrame, ip: str, day: str) -> DataFrame:

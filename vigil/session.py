@@ -50,23 +50,31 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession, since: int = 0) -> None:
+def drop_scratch(spark: SparkSession, since: int = 0, but: tuple[DataFrame, ...] = ()) -> None:
     """Delete what this application has kept in scratch folders, from the ``since``-th on.
 
     Call it after the last write that reads a result; ``scratch`` does so for a block.
+    The kept tables ``but`` stay.
     """
     made = _made.get(spark.sparkContext.applicationId, [])
+    stay = {path for path in made if any(path.rsplit("/", 1)[1] in file for df in but for file in df.inputFiles())}
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for path in made[since:]:
-        place = hadoop(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    del made[since:]
+        if path not in stay:
+            place = hadoop(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    made[since:] = [path for path in made[since:] if path in stay]
+
+
+def scratch_mark(spark: SparkSession) -> int:
+    """How many scratch folders there are by now, for ``drop_scratch``."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables kept inside the block live until its end; write results inside it."""
-    since = len(_made.get(spark.sparkContext.applicationId, []))
+    since = scratch_mark(spark)
     try:
         yield
     finally:
