@@ -25,7 +25,8 @@ HEADLINE = (
     "timeline_deleted", "timeline_filetypes", "adhoc_search", "parse_fw", "parse_proxy_plain",
     "parse_proxy_tls", "parse_vpn_logout", "parse_bash", "route_lines", "feed_c2_union", "rare_group_rows",
     "domain_entropy", "ngram_vocab", "ngram_score", "dga_features", "dga_host_clients", "ingest_append",
-    "scan_date_range", "stream_file_sink", "cmd_clusters",
+    "scan_date_range", "stream_file_sink", "cmd_clusters", "ingest_rejects", "src_csv_utf16", "stream_ingest",
+    "ingest_batch_and_stream", "dga_model_eval",
 )
 
 
