@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +93,43 @@ def ranked(rows: DataFrame, by: str, uid: str, shards: int = 64) -> DataFrame:
     )
 
 
+# Counters that travel as one row.
+_PART = 1 << 15
+
+
+def counters(texts: DataFrame, size: int, count: Callable[[np.ndarray, str], None]) -> np.ndarray:
+    """``size`` counters over the whole column ``text``; ``count`` adds one text to an array of them.
+
+    Each task counts by itself and gives what is not zero in parts; the parts are added
+    up by a shuffle, and the driver gets ``size`` numbers whatever the input.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.uint32)
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                count(counts, text)
+        for i in range(0, size, _PART):
+            if counts[i : i + _PART].any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i // _PART], pa.int32()), pa.array([counts[i : i + _PART].tobytes()], pa.binary())], ["part", "counts"]
+                )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = None, None
+        for batch in batches:
+            for part, counts in zip(batch["part"].to_pylist(), batch["counts"].to_pylist()):
+                more = np.frombuffer(counts, np.uint32).astype(np.uint64)
+                total = more if total is None else total + more
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+
+    out = np.zeros(size, np.uint64)
+    for row in texts.mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+        found = np.frombuffer(row["counts"], np.uint64)
+        out[row["part"] * _PART : row["part"] * _PART + len(found)] = found
+    return out
+
+
 BLOOM_BITS = 1 << 24
 
 
@@ -102,8 +141,8 @@ def bloom(rows: DataFrame, column: str) -> np.ndarray:
     )
     out = np.zeros(BLOOM_BITS // 32, np.uint32)
     # At most BLOOM_BITS / 32 rows, whatever the input.
-    found = words.toPandas()
-    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    found = words.toArrow()
+    out[found["word"].to_numpy().astype(np.int64)] = found["bits"].to_numpy().astype(np.int64).astype(np.uint32)
     return out
 
 

@@ -32,7 +32,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import LOWER, mix, text_of, word_hashes
+from vigil.llm.common import LOWER, counters, mix, text_of, word_hashes
 from vigil.session import settle
 
 SHORTEST = 16
@@ -80,24 +80,14 @@ class Usual:
 
 
 def _counts(texts: DataFrame) -> Usual:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, words = np.zeros(1 << 16, np.int64), np.zeros(1 << WORD_BITS, np.int64)
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                data = text.encode()
-                raw = np.frombuffer(data, np.uint8).astype(np.int32)
-                pairs += np.bincount(raw[:-1] << 8 | raw[1:], minlength=1 << 16) if len(raw) > 1 else 0
-                slots = (word_hashes(data.translate(LOWER))[0] >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-                np.add.at(words, slots, 1)
-        both = np.concatenate([pairs, words])
-        some = np.flatnonzero(both)
-        for i in range(0, len(some), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 100_000].astype(np.int32)), pa.array(both[some[i : i + 100_000]])], ["place", "n"])
-
-    # 2 ** 16 + 2 ** WORD_BITS rows at most, whatever the input.
-    found = texts.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    both = np.zeros((1 << 16) + (1 << WORD_BITS), np.int64)
-    both[found["place"].to_numpy()] = found["n"].to_numpy()
+    def count(counts: np.ndarray, text: str) -> None:
+        data = text.encode()
+        raw = np.frombuffer(data, np.uint8).astype(np.int64)
+        np.add.at(counts, raw[:-1] << 8 | raw[1:], np.uint32(1))
+        slots = (word_hashes(data.translate(LOWER))[0] >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        np.add.at(counts, slots + (1 << 16), np.uint32(1))
+
+    both = counters(texts, (1 << 16) + (1 << WORD_BITS), count).astype(np.int64)
     return Usual(both[: 1 << 16], both[1 << 16 :])
 
 
@@ -153,13 +143,15 @@ def candidates(docs: DataFrame, path_column: str | None = "source") -> DataFrame
         for batch in batches:
             rows = []
             for doc, text, path in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "path"))):
-                data = text.encode()
+                data, last, place = text.encode(), 0, 0
                 for start, end in _spans(data):
+                    # Code points before the candidate, counted on from the one before.
+                    place, last = place + len(data[last:start].decode()), start
                     value = data[start:end]
                     before = data[max(start - 80, 0) : start].decode("utf-8", "ignore")
                     after = data[end : end + 40].decode("utf-8", "ignore")
                     features = describe(value, before, after, path, shared.value)
-                    rows.append((doc, len(data[:start].decode()), end - start, hashlib.sha256(value).hexdigest(), features, weak_label(value, before)))
+                    rows.append((doc, place, end - start, hashlib.sha256(value).hexdigest(), features, weak_label(value, before)))
             for i in range(0, len(rows), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 5000]), kinds)], names)
 
