@@ -278,8 +278,8 @@ def gram_values(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(bit, pa.int32()), pa.array(node.astype(np.int64)), pa.array(total)], ["bit", "node", "total"])
 
     # At most 2 ** 16 contexts with 255 nodes each, in all.
-    upper = grams.groupBy("part").applyInArrow(sums, "bit int, node long, total double").groupBy("bit", "node").agg(F.sum("total").alias("total")).toPandas()
-    pairs = grams.groupBy(F.col("key").bitwiseAND(F.lit(int(_mask(TOP)))).alias("key")).agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+    upper = grams.groupBy("part").applyInArrow(sums, "bit int, node long, total double").groupBy("bit", "node").agg(F.sum("total").alias("total")).toArrow().to_pandas()
+    pairs = grams.groupBy(F.col("key").bitwiseAND(F.lit(int(_mask(TOP)))).alias("key")).agg(F.sum("n").alias("n")).toArrow().to_pandas().sort_values("key")
     by_bit = []
     for bit in range(8):
         mine = upper[upper["bit"] == bit].sort_values("node")
