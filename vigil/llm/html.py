@@ -209,12 +209,15 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-_PARSED = "page_id long, url string, host string, path string, lines_hash long, kept array<struct<at int, text string, inside boolean>>"
-_SIGNATURE = "host string, path string, lines_hash long, hashes array<long>, open_chars array<int>"
+_PARSED = "page_id long, url string, lines_key long, text string, kept array<struct<at int, text string, inside boolean>>"
+_SIGNATURE = "host string, path string, lines_key long, hashes array<long>, open_chars array<int>"
 
 
 def _parse(pages: DataFrame, with_text: bool) -> DataFrame:
-    """What ``_PARSED`` or ``_SIGNATURE`` names, of every page."""
+    """What ``_PARSED`` or ``_SIGNATURE`` names, of every page.
+
+    ``kept`` is null where no line depends on the page's neighbours; ``text`` is then final.
+    """
     kept_type = pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string()), ("inside", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,16 +227,20 @@ def _parse(pages: DataFrame, with_text: bool) -> DataFrame:
                 rows = []
                 for page, url, text in zip(*(some[c].to_pylist() for c in ("page_id", "url", "html"))):
                     found = lines(text or "")
-                    hashes = [_hash(line.text) for line in found]
-                    name = (*_place(url), _hash(repr(hashes)))
+                    place, hashes = _place(url), [_hash(line.text) for line in found]
+                    key = _hash(repr((place, hashes)))
                     if with_text:
                         kept = [{"at": i, "text": line.text, "inside": line.inside} for i, line in enumerate(found) if not line.furniture]
-                        rows.append((page, url, *name, kept))
+                        final = all(line["inside"] for line in kept)
+                        rows.append((page, url, key, "\n\n".join(line["text"] for line in kept) if final else "", None if final else kept))
                     else:
-                        rows.append((*name, hashes, [0 if line.furniture or line.inside else len(line.text) for line in found]))
-                kinds = [pa.string(), pa.string(), pa.int64()]
-                kinds = [pa.int64(), pa.string(), *kinds, kept_type] if with_text else [*kinds, pa.list_(pa.int64()), pa.list_(pa.int32())]
-                names = [field.split()[0] for field in (_PARSED if with_text else _SIGNATURE).split(", ")][: len(kinds)]
+                        rows.append((*place, key, hashes, [0 if line.furniture or line.inside else len(line.text) for line in found]))
+                if with_text:
+                    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), kept_type]
+                    names = ["page_id", "url", "lines_key", "text", "kept"]
+                else:
+                    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                    names = ["host", "path", "lines_key", "hashes", "open_chars"]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -243,7 +250,7 @@ def _parse(pages: DataFrame, with_text: bool) -> DataFrame:
 
 def _numbered(signatures: DataFrame) -> DataFrame:
     """Signatures with a gapless number ``at`` in the order of host and path."""
-    ordered = signatures.orderBy("host", "path", "lines_hash").withColumn("__id", F.monotonically_increasing_id())
+    ordered = signatures.orderBy("host", "path", "lines_key").withColumn("__id", F.monotonically_increasing_id())
     ordered = settle(ordered, "signatures").withColumn("__part", F.shiftright("__id", 33))
     # A row for each range.
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -253,8 +260,8 @@ def _numbered(signatures: DataFrame) -> DataFrame:
 
 
 def differences(pages: DataFrame) -> DataFrame:
-    """``(host, path, lines_hash, shared)``: the lines each different page shares with its nearest one."""
-    found = _parse(pages, False).groupBy("host", "path", "lines_hash").agg(F.first("hashes").alias("hashes"), F.first("open_chars").alias("open_chars"))
+    """``(lines_key, shared)``: the lines each different page shares with its nearest one."""
+    found = _parse(pages, False).groupBy("lines_key").agg(*[F.first(c).alias(c) for c in ("host", "path", "hashes", "open_chars")])
     numbered = _numbered(found)
     other = numbered.select("at", F.col("host").alias("h"), F.col("path").alias("p"), F.col("hashes").alias("o"))
     before = other.select((F.col("at") + 1).alias("at"), F.struct("h", "p", "o").alias("before"))
@@ -275,11 +282,9 @@ def differences(pages: DataFrame) -> DataFrame:
                     if 2 * sum(sizes[i] for i in shared) > sum(sizes):
                         shared = [i for i in shared if not sizes[i]]
                 out.append(shared)
-            yield pa.RecordBatch.from_arrays(
-                [batch["host"], batch["path"], batch["lines_hash"], pa.array(out, pa.list_(pa.int32()))], ["host", "path", "lines_hash", "shared"]
-            )
+            yield pa.RecordBatch.from_arrays([batch["lines_key"], pa.array(out, pa.list_(pa.int32()))], ["lines_key", "shared"])
 
-    return rows.mapInArrow(run, "host string, path string, lines_hash long, shared array<int>")
+    return rows.mapInArrow(run, "lines_key long, shared array<int>")
 
 
 def _alike(a: str, b: str) -> int:
@@ -293,11 +298,12 @@ def _alike(a: str, b: str) -> int:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, text, n_chars, n_lines, n_shared)`` of every row of ``pages``."""
-    shared = differences(pages)
-    parsed = _parse(pages, True).join(shared, ["host", "path", "lines_hash"], "left")
-    stays = F.filter("kept", lambda line: line["inside"] | ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), line["at"]))
-    text = F.array_join(F.transform(stays, lambda line: line["text"]), "\n\n")
-    return parsed.select("page_id", "url", text.alias("text"), F.size(stays).alias("n_lines"), F.size("shared").alias("n_shared")).select(
-        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", "n_shared"
+    """``(page_id, url, text, n_chars, n_shared)`` of every row of ``pages``."""
+    parsed = _parse(pages, True).join(differences(pages), "lines_key", "left")
+    shared = F.coalesce("shared", F.array().cast("array<int>"))
+    stays = F.filter("kept", lambda line: line["inside"] | ~F.array_contains(shared, line["at"]))
+    open_text = F.array_join(F.transform(stays, lambda line: line["text"]), "\n\n")
+    found = parsed.select(
+        "page_id", "url", F.when(F.col("kept").isNull(), F.col("text")).otherwise(open_text).alias("text"), F.size(shared).alias("n_shared")
     )
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared")
