@@ -53,11 +53,30 @@ def test_similar_sets_share_enough_of_every_prefix(length):
 
 def test_longer_prefixes_for_frequent_grams():
     found = np.sort(np.random.default_rng(1).integers(0, 2**63, 100).astype(np.uint64))
-    rare, common = np.ones(1 << jaccard.SKETCH_BITS, np.uint64), np.zeros(1 << jaccard.SKETCH_BITS, np.uint64)
-    common[(found >> np.uint64(64 - jaccard.SKETCH_BITS)).astype(int)] = 1_000_000
-    assert jaccard.adaptive_prefix(found, rare, 90)[1] == 1
-    prefix, length = jaccard.adaptive_prefix(found, common, 90)
+    assert jaccard.adaptive_prefix(found, np.full(100, 1e-6), 90)[1] == 1
+    prefix, length = jaccard.adaptive_prefix(found, np.full(100, 50.0), 90)
     assert length > 1 and len(prefix) == 10 + length
+    expected = np.arange(100, 0, -1.0)
+    assert jaccard.adaptive_prefix(found, expected, 90)[0][0] == found[-1]
+
+
+def test_bitmaps_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 60, 900, 6000):
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        for changed in (0, size // 30, size // 12, size // 5):
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 2**63, changed // 2).astype(np.uint64)]))
+            apart = sum(int(x).bit_count() for x in (jaccard._bitmap(a) ^ jaccard._bitmap(b)).view(np.uint64))
+            assert apart <= len(np.setxor1d(a, b))
+
+
+def test_order_knows_frequent_grams(spark):
+    rows = [(i, f"shared passage of words u{i} v{i} w{i} the") for i in range(400)]
+    order = jaccard.sketch(documents(spark, *rows).select("text"), 3)
+    found, expected = order.grams(rows[7][1], 3)
+    by = dict(zip(found.tolist(), expected.tolist()))
+    frequent = jaccard.grams("shared passage of", 3).tolist() + jaccard.grams("passage of words", 3).tolist()
+    assert min(by[g] for g in frequent) > 100 * by[jaccard.grams("u7 v7 w7", 3).tolist()[0]]
 
 
 def test_awkward_rows(spark):

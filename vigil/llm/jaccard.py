@@ -6,19 +6,22 @@ first ``size - ceil(t * size) + l`` grams, for every l.  Each set takes the l wh
 estimated cost is least: a longer prefix means more list entries to read, but more shared
 grams are asked for before a pair is verified.  A pair is held to the smaller l of the two.
 
-The order comes from a count sketch over the grams of all documents (a fixed number of
-counters, so its size is bounded; any order gives the same result).  Only prefixes are
-shuffled; grams that a single set has in its prefix fall out by a count.
+The order is by how many documents are expected to hold a gram: the product of its words'
+shares, or its own count where that stands out.  Both come from count sketches over all
+documents (a fixed number of counters; any order gives the same result), and grams whose
+lists turn out long in a first round of prefixes come last.  Only prefixes
+are shuffled; grams that a single set has in its prefix fall out by a count.
 
 The result is connected components, so pairs inside a component need no verification:
 
-1. In each of STARS rounds every set is verified against one partner, the first member of
-   the lists it is in, which is linear in the lists however large a group is.
+1. For each of STARS orders every set is verified against one partner, the first member of
+   most of the lists it is in, which is linear in the lists however large a group is.
 2. Lists whose members are by then in one component are done.  Of the others all pairs
    from different components that share enough prefix grams are verified.
 
 Both give exact links; together they miss none between components.  What is verified is
-gathered through a fixed-size Bloom filter, so sets without a candidate are not moved.
+gathered through a fixed-size Bloom filter, so sets without a candidate are not moved,
+and bitmaps of the sets rule out most pairs before.
 
 Sets and grams are known by 64-bit hashes.  Defined cases: null text is empty; without
 words a set is empty and linked with nothing; with fewer words than a gram the whole
@@ -37,30 +40,82 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from vigil.llm.common import BLOOM_BITS, LOWER, bloom, components, join_groups, mix, text_of, word_hashes
-from vigil.session import settle
+from vigil.llm.common import BLOOM_BITS, LOWER, bloom, components, counters, join_groups, mix, text_of, word_hashes
+from vigil.session import drop_scratch, scratch_mark, settle
 
 WORDS = 3
 PERCENT = 90
-# Counters of the sketch, in parts that travel as one row each.
+# Counters of each sketch.
 SKETCH_BITS = 20
-PART = 1 << 15
 LONGEST = 4
 # Grams read for the price of one list entry, when a pair is verified.
 VERIFY_SHARE = 0.25
 STARS = 2
+# A gram that more sets than this have in their first prefixes is taken for so frequent.
+LONG_LIST = 4
+FREQUENT = 1000.0
+# Hash remainders that say whether a prefix gram may be in two sets.
+SLOT_BITS = 26
+# Bits of a set's bitmap, which rules out most pairs without their grams.
+BITMAP = 2048
 
 
-def grams(text: str, n: int) -> np.ndarray:
-    """The sorted distinct n-grams of a text as 64-bit hashes."""
-    words, _, _ = word_hashes(text.encode().translate(LOWER))
+def _windows(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n words in a row; all words together where there are fewer."""
     size = min(n, len(words))
     if not size:
         return words
     hashes = mix(words[: len(words) - size + 1] + np.uint64(size))
     for k in range(1, size):
         hashes = mix(hashes * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - size + 1 + k])
-    return np.unique(hashes)
+    return hashes
+
+
+def _words(text: str) -> np.ndarray:
+    return word_hashes(text.encode().translate(LOWER))[0]
+
+
+def grams(text: str, n: int) -> np.ndarray:
+    """The sorted distinct n-grams of a text as 64-bit hashes."""
+    return np.unique(_windows(_words(text), n))
+
+
+class Order:
+    """How many documents are expected to hold a gram, from sketches of grams and words."""
+
+    def __init__(self, gram_counts: np.ndarray, word_counts: np.ndarray):
+        self.bits = len(gram_counts).bit_length() - 1
+        self.total = np.log2(max(word_counts.sum(), 1))
+        self.words = np.log2(np.maximum(word_counts, 1)).astype(np.float64)
+        # A counter holds its gram and, on average, this many others.
+        self.noise = gram_counts.sum() / len(gram_counts)
+        self.excess = np.maximum(gram_counts.astype(np.float64) - self.noise, 0)
+        self.excess[self.excess <= 6 * np.sqrt(self.noise) + 2] = 0
+        # A Bloom filter of grams that turned out to be frequent.
+        self.frequent: np.ndarray | None = None
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def grams(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct grams of a text, and how many documents should hold each."""
+        words = _words(text)
+        hashes = _windows(words, n)
+        size = min(n, len(words))
+        if not size:
+            return hashes, np.zeros(0)
+        share = self.words[self.slots(words)] - self.total
+        log = share[: len(hashes)].copy()
+        for k in range(1, size):
+            log += share[k : k + len(hashes)]
+        found, first = np.unique(hashes, return_index=True)
+        expected = np.exp2(log[first] + self.total)
+        expected = np.maximum(expected, self.excess[self.slots(found)])
+        if self.frequent is not None:
+            bit = found.view(np.int64) % BLOOM_BITS
+            held = self.frequent[bit >> 5] >> (bit & 31).astype(np.uint32) & 1
+            expected = np.where(held == 1, np.maximum(expected, FREQUENT), expected)
+        return found, expected
 
 
 def _set_id(found: np.ndarray) -> int:
@@ -72,45 +127,26 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def sketch(docs: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How many documents have a gram with a given hash remainder, over all documents."""
+def sketch(docs: DataFrame, n: int, bits: int = SKETCH_BITS) -> Order:
+    """Counts of all documents' distinct grams, and of their words, by hash remainders."""
+    size = 1 << bits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
-        for batch in batches:
-            found = [grams(text, n) for text in batch["text"].to_pylist()]
-            if found:
-                slots = (np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64)
-                counts += np.bincount(slots, minlength=1 << bits).astype(np.uint32)
-        parts = [i for i in range(0, 1 << bits, PART) if counts[i : i + PART].any()]
-        for i in parts:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i // PART], pa.int32()), pa.array([counts[i : i + PART].tobytes()], pa.binary())], ["part", "counts"]
-            )
+    def count(counts: np.ndarray, text: str) -> None:
+        words = _words(text)
+        for place, hashes in ((0, np.unique(_windows(words, n))), (size, words)):
+            np.add.at(counts, (hashes >> np.uint64(64 - bits)).astype(np.int64) + place, np.uint32(1))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, part = np.zeros(PART, np.uint64), None
-        for batch in batches:
-            for part, counts in zip(batch["part"].to_pylist(), batch["counts"].to_pylist()):
-                total += np.frombuffer(counts, np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
-
-    # 2 ** bits counters in all, whatever the input.
-    out = np.zeros(1 << bits, np.uint64)
-    for row in docs.mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
-        out[row["part"] * PART : (row["part"] + 1) * PART] = np.frombuffer(row["counts"], np.uint64)
-    return out
+    out = counters(docs, 2 * size, count)
+    return Order(out[:size], out[size:])
 
 
-def adaptive_prefix(found: np.ndarray, counts: np.ndarray, percent: int, bits: int = SKETCH_BITS) -> tuple[np.ndarray, int]:
+def adaptive_prefix(found: np.ndarray, expected: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The grams of a set's prefix, rarest first, and its l."""
-    freq = counts[(found >> np.uint64(64 - bits)).astype(np.int64)].astype(np.float64)
     size = len(found)
     base = size - needed(size, percent)
-    order = np.lexsort((found, freq))[: min(base + LONGEST, size)]
-    # A counter holds its gram and, on average, this many others.
-    noise = counts.sum() / len(counts)
-    entries = np.cumsum(np.maximum(freq[order] - noise, 0.0))
+    # Equal ones stay in the order of their hashes.
+    order = np.argsort(expected, kind="stable")[: min(base + LONGEST, size)]
+    entries = np.cumsum(expected[order])
     best, cost = 1, np.inf
     for length in range(1, LONGEST + 1):
         if base + length > size or length > needed(size, percent):
@@ -123,50 +159,110 @@ def adaptive_prefix(found: np.ndarray, counts: np.ndarray, percent: int, bits: i
     return found[order[: base + best]], best
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """Two kinds of rows: documents ``(doc_id, set, size)``, and prefix grams ``(set, size, gram, level, l)``.
+def prefixes(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
+    """Two kinds of rows: documents ``(doc_id, set, size)``, and sets ``(set, size, l, prefix, bits)``.
 
-    A task gives the prefix of a set once, however many copies it meets.
+    A prefix is its grams as 64-bit integers, rarest first; bits are all grams hashed
+    into BITMAP bits.  A task gives a set once, however many copies of it the task meets.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
-        counts = shared.value
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
             for start in range(0, len(ids), 1000):
-                docs_in, rows = [], []
+                rows = []
                 for doc, text in zip(ids[start : start + 1000], batch["text"].slice(start, 1000).to_pylist()):
-                    found = grams(text, n)
+                    found, expected = shared.value.grams(text, n)
                     which = _set_id(found) if len(found) else None
-                    docs_in.append((doc, which, len(found)))
+                    rows.append((doc, which, len(found), None, None, None))
                     if which is not None and which not in given:
                         if len(given) > 1_000_000:
                             given.clear()
                         given.add(which)
-                        prefix, length = adaptive_prefix(found, counts, percent)
-                        base = len(prefix) - length
-                        level = np.maximum(np.arange(1, len(prefix) + 1) - base, 1)
-                        rows.append((which, len(found), prefix.view(np.int64), level, length))
-                sizes = [len(r[2]) for r in rows]
-                total = sum(sizes)
-                none = lambda k, kind: pa.nulls(k, kind)
-                repeat = lambda i, kind: np.repeat(np.array([r[i] for r in rows], kind), sizes)
-                columns = list(zip(*docs_in))
+                        prefix, length = adaptive_prefix(found, expected, percent)
+                        rows.append((None, which, len(found), length, prefix.tobytes(), _bitmap(found)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "set", "size", "l", "prefix", "bits"])
+
+    return docs.mapInArrow(run, "doc_id long, set long, size int, l int, prefix binary, bits array<long>")
+
+
+def _bitmap(found: np.ndarray) -> np.ndarray:
+    out = np.zeros(BITMAP // 64, np.uint64)
+    np.bitwise_or.at(out, (found >> np.uint64(6)) % np.uint64(len(out)), np.uint64(1) << (found & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def _slots(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+
+
+def _repeated(sets: DataFrame) -> np.ndarray:
+    """For each of 2 ** SLOT_BITS hash remainders whether two prefix grams or more have it.
+
+    A gram in two prefixes always does; the few others that do fall out later.
+    """
+    part_bits = SLOT_BITS - 6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = b"".join(batch["prefix"].to_pylist())
+            slots, counts = np.unique(_slots(np.frombuffer(found, np.uint64)), return_counts=True)
+            edges = np.searchsorted(slots, np.arange(65, dtype=np.uint64) << np.uint64(part_bits))
+            for part, (a, b) in enumerate(zip(edges, edges[1:])):
+                if a < b:
+                    twice = slots[a:b][counts[a:b] > 1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part], pa.int32()), pa.array([slots[a:b].tobytes()], pa.binary()), pa.array([twice.tobytes()], pa.binary())],
+                        ["part", "once", "twice"],
+                    )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, again, part = np.zeros(1 << part_bits, bool), np.zeros(1 << part_bits, bool), None
+        low = np.uint32((1 << part_bits) - 1)
+        for batch in batches:
+            for part, once, twice in zip(*(batch[c].to_pylist() for c in ("part", "once", "twice"))):
+                slots = np.frombuffer(once, np.uint32) & low
+                again[slots[seen[slots]]] = True
+                again[np.frombuffer(twice, np.uint32) & low] = True
+                seen[slots] = True
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(again).tobytes()], pa.binary())], ["part", "bits"])
+
+    out = np.zeros(1 << SLOT_BITS - 3, np.uint8)
+    size = len(out) // 64
+    # 64 rows of a fixed size, whatever the input.
+    for row in sets.mapInArrow(run, "part int, once binary, twice binary").groupBy("part").applyInArrow(add, "part int, bits binary").collect():
+        out[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _lists(sets: DataFrame) -> DataFrame:
+    """``(gram, set, size, level, l)`` of the prefix grams that more than one set may have."""
+    shared = sets.sparkSession.sparkContext.broadcast(_repeated(sets.select("prefix")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = np.frombuffer(b"".join(batch["prefix"].to_pylist()), np.uint64)
+            counts = np.array([len(x) // 8 for x in batch["prefix"].to_pylist()], np.int64)
+            row = np.repeat(np.arange(len(counts)), counts)
+            place = np.arange(len(prefix)) - np.repeat(np.cumsum(counts) - counts, counts)
+            length = batch["l"].to_numpy().astype(np.int64)[row]
+            level = np.maximum(place + 1 - (counts[row] - length), 1)
+            slots = _slots(prefix)
+            some = np.flatnonzero(shared.value[slots >> np.uint32(3)] >> (np.uint32(7) - (slots & np.uint32(7))).astype(np.uint8) & np.uint8(1))
+            for start in range(0, len(some), 100_000):
+                at = some[start : start + 100_000]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([pa.array(columns[0], pa.int64()), none(total, pa.int64())]),
-                        pa.concat_arrays([pa.array(columns[1], pa.int64()), pa.array(repeat(0, np.int64))]),
-                        pa.concat_arrays([pa.array(columns[2], pa.int32()), pa.array(repeat(1, np.int32))]),
-                        pa.concat_arrays([none(len(docs_in), pa.int64()), pa.array(np.concatenate([r[2] for r in rows] or [np.zeros(0, np.int64)]))]),
-                        pa.concat_arrays([none(len(docs_in), pa.int32()), pa.array(np.concatenate([r[3] for r in rows] or [np.zeros(0)]).astype(np.int32))]),
-                        pa.concat_arrays([none(len(docs_in), pa.int32()), pa.array(repeat(4, np.int32))]),
+                        pa.array(prefix[at].view(np.int64)), pa.array(batch["set"].to_numpy()[row[at]]), pa.array(batch["size"].to_numpy()[row[at]]),
+                        pa.array(level[at].astype(np.int32)), pa.array(length[at].astype(np.int32)),
                     ],
-                    ["doc_id", "set", "size", "gram", "level", "l"],
+                    ["gram", "set", "size", "level", "l"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, set long, size int, gram long, level int, l int")
+    return sets.mapInArrow(run, "gram long, set long, size int, level int, l int")
 
 
 def _shared_lists(lists: DataFrame, by: str) -> DataFrame:
@@ -215,6 +311,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * F.col("both") >= F.lit(percent) * union).select("a", "b")
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps do not rule them out.
+
+    Each bit that differs is a gram that only one of the sets has, and linked sets have
+    at most ``(1 - t) / (1 + t)`` of their grams for themselves.
+    """
+    left, right = (sets.select(F.col("set").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    apart = F.aggregate(
+        F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda so_far, n: so_far + n
+    )
+    joined = pairs.join(left, "a").join(right, "b")
+    return joined.where((100 + percent) * apart <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+
+
+def _linked(texts: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of the pairs those that are linked, as a kept table."""
+    pairs = settle(_possible(pairs, sets, percent), "pairs")
+    wanted = pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct()
+    return settle(verified(pairs, settle(sets_of(texts, wanted, words), "sets"), percent), "links")
+
+
 def _close(size_a: Column, size_b: Column, percent: int) -> Column:
     return 100 * F.least(size_a, size_b) >= F.lit(percent) * F.greatest(size_a, size_b)
 
@@ -229,26 +346,34 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Documents ``(doc_id, set, size)``, and sets ``(set, root, low, copies, component_id)``."""
+    spark, mark = docs.sparkSession, scratch_mark(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    kept = settle(prefixes(texts, sketch(texts, words), words, percent), "prefixes")
-    members = kept.where("gram is null").select("doc_id", "set", "size")
-    lists = kept.where("gram is not null").select("gram", "set", "size", "level", "l")
+    order = sketch(texts, words)
+    # A passage of rare words that many documents share looks rare.  The lists of a first
+    # round of prefixes show it, and its grams go to the end of the order.
+    first = settle(prefixes(texts, order, words, percent).where("prefix is not null").select("set", "size", "l", "prefix"), "first")
+    seen = _lists(first).groupBy("gram").count().where(F.col("count") > LONG_LIST)
+    order.frequent = bloom(settle(seen.select("gram"), "frequent"), "gram")
+    drop_scratch(spark, mark)
+    kept = settle(prefixes(texts, order, words, percent), "prefixes")
+    members = settle(kept.where("prefix is null").select("doc_id", "set", "size"), "members")
+    prefixed = kept.where("prefix is not null")
+    sets = settle(prefixed.select("set", "size", "bits").dropDuplicates(["set"]), "bitmaps")
+    lists = _lists(prefixed.select("set", "size", "l", "prefix"))
     lists = settle(_shared_lists(lists, "set").distinct(), "lists")
-    sets = settle(sets_of(texts, lists.select("set").distinct(), words), "sets")
 
-    links, groups, left = None, None, lists
+    stars = None
     for star in range(STARS):
-        # The first member of each list by another order in each round.
-        place = F.struct(F.xxhash64("set", F.lit(star)).alias("order"), F.col("set").alias("b"), F.col("size").alias("size_b"))
-        first = left.groupBy("gram").agg(F.min(place).alias("first")).select("gram", "first.b", "first.size_b")
-        pairs = left.join(first, "gram").where((F.col("set") != F.col("b")) & _close(F.col("size"), F.col("size_b"), percent))
+        place = F.struct(F.xxhash64("set", F.lit(star)).alias("order"), F.col("set").alias("b"), F.col("size").alias("size_b"), F.col("l").alias("l_b"))
+        first = lists.groupBy("gram").agg(F.min(place).alias("first")).select("gram", "first.b", "first.size_b", "first.l_b")
+        pairs = lists.join(first, "gram").where((F.col("set") != F.col("b")) & _close(F.col("size"), F.col("size_b"), percent))
+        shares = pairs.groupBy(F.col("set").alias("a"), "b").agg(F.count("*").alias("shared"), F.min(F.least("l", "l_b")).alias("l"))
         # The partner that a set shares most lists with.
-        shares = pairs.groupBy(F.col("set").alias("a"), "b").count()
-        chosen = shares.groupBy("a").agg(F.max(F.struct("count", "b")).alias("best")).select("a", "best.b")
-        found = settle(verified(chosen, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        groups = components(links, "groups")
-        left = settle(_shared_lists(_labelled(lists, groups), "root"), "left")
+        chosen = shares.where("shared >= l").groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
+        stars = chosen if stars is None else stars.unionByName(chosen)
+    links = _linked(texts, sets, stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), words, percent)
+    groups = components(links, "groups")
+    left = settle(_shared_lists(_labelled(lists, groups), "root"), "left")
     a = left.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("set", "size", "level", "l", "root")])
     b = left.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("set", "size", "level", "l", "root")])
     pairs = (
@@ -259,7 +384,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         .agg(F.count("*").alias("shared"), F.min(F.least("l_a", "l_b")).alias("l"))
         .where("shared >= l")
     )
-    found = settle(verified(pairs.select("a", "b"), sets, percent), "links")
+    found = _linked(texts, sets, pairs.select("a", "b"), words, percent)
     if found.take(1):
         groups = components(links.unionByName(found), "groups")
     # A class for each set, however many documents have it, before documents are joined.
@@ -267,7 +392,9 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     of_set = of_set.join(groups.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     of_set = settle(of_set, "classes")
     lowest = of_set.groupBy("root").agg(F.min("low").alias("component_id"))
-    return members, settle(of_set.join(lowest, "root"), "classes")
+    classes = settle(of_set.join(lowest, "root"), "classes")
+    drop_scratch(spark, mark, but=(members, classes))
+    return members, classes
 
 
 def _labelled(lists: DataFrame, groups: DataFrame) -> DataFrame:
