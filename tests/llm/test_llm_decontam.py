@@ -61,6 +61,32 @@ def test_passages_that_many_documents_hold(spark):
     assert {d for d, _ in _hits(spark, docs, [(1, ITEM)])} == set(range(300))
 
 
+def _edited(words, every, first):
+    return " ".join(f"edit{i}" if i % every == first else w for i, w in enumerate(words))
+
+
+def test_an_edited_copy_alone_in_its_corpus(spark):
+    short, long = ITEM.split()[:15], [f"word{i}" for i in range(40)]
+    middle = " ".join([*short[:7], "changed", *short[8:]])
+    for n, (words, copy) in enumerate([(short, middle), *[(w, _edited(w, every, every - 1)) for w in (short, long) for every in range(4, 9)]]):
+        docs = documents(spark, (1, f"before it {copy} and after"), (2, "nothing of that kind " * 20))
+        assert set(_hits(spark, docs, [(7, " ".join(words))])) == {(1, 7)}, n
+        kept = decontam.clean_documents(docs, _benchmark(spark, [(7, " ".join(words))]))
+        assert [r.doc_id for r in kept.collect()] == [2]
+
+
+def test_an_edited_copy_beside_many_whole_ones(spark):
+    words = ITEM.split()[:15]
+    docs = documents(spark, (99, _edited(words, 4, 3)), *[(i, " ".join(words)) for i in range(30)])
+    assert set(_hits(spark, docs, [(7, " ".join(words))])) == {(i, 7) for i in [*range(30), 99]}
+
+
+def test_items_whose_words_never_come_together(spark):
+    docs = documents(spark, (1, " ".join(reversed(ITEM.split()))))
+    assert _hits(spark, docs, [(7, ITEM)]) == {}
+    assert decontam.clean_documents(docs, _benchmark(spark, [(7, ITEM)])).count() == 1
+
+
 def test_all_copies_of_the_given_tables(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: f" {decontam._plain(t).decode().strip()} "

@@ -4,18 +4,21 @@ Test items are taken in blocks of BLOCK, so what is sent to the tasks is bounded
 many items there are.  For each block:
 
 1. One pass over the documents counts every word n-gram of the items in them.
-2. Of each item's n-grams, those that are the rarest of some WINDOW neighbouring ones are
-   its seeds: any copied run of WINDOW + SEED_WORDS - 1 words holds one, however often
-   the passage as a whole occurs.
+2. Each item's n-grams that occur in a document are its seeds, so any copied run of
+   SEED_WORDS words holds one, whatever is edited around it and however often the passage
+   as a whole occurs.  Those that are the rarest of some WINDOW neighbouring ones are rare.
 3. A second pass finds the seeds in the documents.  Around each the words of the document
    are aligned with the item's by Smith-Waterman (all places of a batch at once), and the
-   best score over that of a perfect copy is the item's score in the document.
+   best score over that of a perfect copy is the item's score in the document.  Where all
+   seeds of a place are common ones, it is only aligned if so many words of the item are
+   there at all that the score could reach the threshold.
 
 Texts stay where they are; what is shuffled are counts and hits.  Only words of the items
 have numbers, so counting and alignment are exact.
 
 Defined cases: null and empty texts hold no seed; items with fewer than MIN_WORDS words
-cannot be told from chance and are not looked for; words are runs of letters and digits,
+cannot be told from chance and are not looked for; a copy without SEED_WORDS unedited
+words in a row holds no seed and is not found; words are runs of letters and digits,
 in lower case (bytes beyond ASCII count as letters, but for spaces and punctuation);
 repeated rows give repeated hits; an empty table gives no rows; other columns are passed
 through by ``clean_documents`` and ignored by ``contaminated``.
@@ -111,17 +114,17 @@ class Items:
         return some[same], at[same]
 
     def seeds(self, counts: dict[int, int], window: int = WINDOW) -> np.ndarray:
-        """Of ``grams`` those that are the rarest of some window of an item's."""
+        """Those of ``grams`` that occur; ``rare`` are the rarest of some window of an item's."""
         chosen = []
         order = np.lexsort((self.grams["at"], self.grams["item"]))
         by_item = self.grams[order]
         bounds = np.searchsorted(by_item["item"], np.arange(len(self.words) + 1))
         for a, b in zip(bounds, bounds[1:]):
-            mine = by_item[a:b]
-            rarity = [(counts.get(int(g["key"]), 0), int(g["at"])) for g in mine]
-            picked = {min(rarity[i : i + window])[1] for i in range(max(len(mine) - window + 1, 1))}
-            chosen.extend(g for g in mine if int(g["at"]) in picked)
-        return np.sort(np.array(chosen, dtype=self.grams.dtype), order=["key", "item", "at"])
+            mine = [g for g in by_item[a:b].tolist() if counts.get(g[0], 0)]
+            rarity = [(counts[key], at) for key, _, at in mine]
+            picked = {min(rarity[i : i + window])[1] for i in range(max(len(mine) - window + 1, 1))} if mine else set()
+            chosen.extend((*g, g[2] in picked) for g in mine)
+        return np.sort(np.array(chosen, dtype=[*self.grams.dtype.descr, ("rare", "?")]), order=["key", "item", "at"])
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,34 +162,40 @@ class Finder:
     def __init__(self, items: Items, seeds: np.ndarray, threshold: float):
         self.items, self.seeds, self.threshold = items, seeds, threshold
         self.seed_keys = np.unique(seeds["key"])
-        self.bounds = np.searchsorted(seeds["key"], np.append(self.seed_keys, np.iinfo(np.uint64).max))
+        bounds = np.searchsorted(seeds["key"], np.append(self.seed_keys, np.iinfo(np.uint64).max))
+        self.of_key = [seeds[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        self.word_lists = [words.tolist() for words in items.words]
+
+    def possible(self, item: int, passage: np.ndarray) -> bool:
+        """Whether so many words of the item are in the passage that its score may reach the threshold."""
+        there, mine = set(passage.tolist()), self.word_lists[item]
+        return sum(word in there for word in mine) / len(mine) >= self.threshold
 
     def places(self, words: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
         """``(text, item, from, to)``: stretches of the texts around seeds of the item."""
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        found: dict[tuple[int, int], list[tuple[int, int, bool]]] = {}
         at, which = self.items.find(words, self.seed_keys)
         owner = np.searchsorted(starts, at, "right") - 1
         for place, key, text in zip(at.tolist(), which.tolist(), owner.tolist()):
-            for seed in self.seeds[self.bounds[key] : self.bounds[key + 1]]:
-                item, offset = int(seed["item"]), int(seed["at"])
+            for _, item, offset, rare in self.of_key[key]:
                 length = len(self.items.words[item])
                 slack = length // 2 + 2
                 a = max(place - offset - slack, int(starts[text]))
                 b = min(place - offset + length + slack, int(starts[text + 1]) - 1)
-                found.setdefault((text, item), []).append((a, b))
+                found.setdefault((text, item), []).append((a, b, rare))
         out = []
         for (text, item), spans in found.items():
             spans = sorted(set(spans))
             # Overlapping stretches are one, up to a few lengths of the item.
             longest = 4 * len(self.items.words[item]) + 16
-            start, stop = spans[0]
-            for a, b in spans[1:]:
+            start, stop, sure = spans[0]
+            for a, b, rare in [*spans[1:], (len(words) + longest, 0, False)]:
                 if a <= stop and b - start <= longest:
-                    stop = max(stop, b)
+                    stop, sure = max(stop, b), sure or rare
                 else:
-                    out.append((text, item, start, stop))
-                    start, stop = a, b
-            out.append((text, item, start, stop))
+                    if sure or self.possible(item, words[start:stop]):
+                        out.append((text, item, start, stop))
+                    start, stop, sure = a, b, rare
         return out
 
     def hits(self, texts: list[str]) -> list[list[tuple[int, float, int]]]:
@@ -221,7 +230,9 @@ def _finders(docs: DataFrame, benchmark: DataFrame, threshold: float, block: int
         if known.words:
             # At most as many rows as the block has n-grams.
             counts = {r["key"]: r["n"] for r in _gram_counts(docs, known).collect()}
-            yield Finder(known, known.seeds(counts), threshold)
+            seeds = known.seeds(counts)
+            if len(seeds):
+                yield Finder(known, seeds, threshold)
 
 
 def _gram_counts(docs: DataFrame, items: Items) -> DataFrame:
