@@ -1,17 +1,21 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are runs of at least SHORTEST letters, digits and ``_+/=.-`` (no words of a
-text are dropped before this).  Each is described by its length, kinds of characters, how
-usual its character transitions are, how much of it frequent words cover, its path, and
-the words and signs next to it.  A forest is trained on labelled findings, a bounded
+Candidates are runs of at least SHORTEST letters, digits and ``_+/.-``, with up to two
+``=`` behind them (no words of a text are dropped before this), so the name in front of
+``name=value`` is no part of the value; values assigned to a name of credentials, from
+SHORTEST_ASSIGNED signs of any kind but white space; and the lines of private keys.  Each
+is described by its length, kinds of characters, how usual its character transitions are,
+how much of it frequent words cover, its path, the words and signs next to it, and whether
+it has the form of a known kind of key.  A forest is trained on labelled findings, a bounded
 sample of them; candidates it takes for secrets are findings.
 
 What is usual is learned from all documents: counts of byte pairs (2 ** 16 of them) and a
 count sketch of words (a fixed number of counters).
 
 ``weak_labels`` labels candidates of unlabelled text where the text itself tells: values
-assigned to a name of credentials that are random to look at are secrets, candidates in
-running text are not.
+assigned to a name of credentials or behind ``Bearer`` that are random to look at, known
+forms of keys, JSON web tokens and lines of private keys are secrets, others are not.
+Secrets of no known form that nothing names are left to the forest.
 
 Defined cases: null text is empty; a null path is empty; texts without candidates give no
 rows; repeated rows give repeated findings; without labels of both kinds nothing can be
@@ -36,6 +40,7 @@ from vigil.llm.common import LOWER, counters, mix, text_of, word_hashes
 from vigil.session import settle
 
 SHORTEST = 16
+SHORTEST_ASSIGNED = 6
 SAMPLE = 4000
 TREES, TREE_DEPTH = 40, 8
 THRESHOLD = 0.5
@@ -44,13 +49,32 @@ WORD_BITS = 20
 FREQUENT = 2e-6
 # Buckets for the hashed words next to a candidate and in its path.
 NEAR_BUCKETS, PATH_BUCKETS = 24, 8
-_CHARACTERS = np.array([chr(b) in "_+/=.-" or (b < 128 and chr(b).isalnum()) for b in range(256)])
+_CHARACTERS = np.array([chr(b) in "_+/.-" or (b < 128 and chr(b).isalnum()) for b in range(256)])
+_PADDING = re.compile(rb"={1,2}(?![A-Za-z0-9_+/.=\-])")
 # Kinds: 0 other, 1 digit, 2 upper case, 3 lower case.
 _KIND = np.array([1 if 48 <= b < 58 else 2 if 65 <= b < 91 else 3 if 97 <= b < 123 else 0 for b in range(256)])
 _HEX = re.compile(rb"(?:[0-9a-f]+|[0-9A-F]+)\Z")
+_NAME = (
+    r"(?:token|secret|passw(?:or)?d|passphrase|pwd|(?:api|access|private|secret|signing|encryption|account)[_-]?key|credentials?|auth)"
+    r"(?:\\?[\"'])?\s*"
+)
 _ASSIGNED = re.compile(
-    r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)[\"']?\s*(?::|=|=>)\s*[\"']?\Z"
+    rf"(?i)(?:{_NAME}(?::|=|=>|:=)\s*(?:\\?[\"'`])?|authorization(?:\\?[\"'])?\s*[:=]\s*(?:\\?[\"'])?(?:basic|token)\s+|\bbearer\s+)\Z"
+)
+_SEPARATOR = re.compile(b"=>|:=|[:=]")
+_NAMED = re.compile(rb"(?i)" + _NAME.encode() + rb"\Z")
+_IN_QUERY = re.compile(rb"[?&][\w.-]*\Z")
+# A quoted value without white space, or what stands up to a sign that ends a value.
+_VALUE = re.compile(rb"\s*(?:\\?\"([^\s\"\\]+)\\?\"|\\?'([^\s'\\]+)\\?'|`([^\s`]+)`|([A-Za-z0-9_+/=.\-!@#$%^*~:?|&]++)(?![(\[]))")
+# Addresses, numbers, versions and places to fill in are no secrets.
+_PLAIN = re.compile(rb"(?:[a-z]+://|[^@\s]+@[a-z0-9-]+(?:\.[a-z]+)+\Z|v?[\d.,:/+-]+\Z|.*(?:\$\{|\{\{|%\(|<))", re.I)
+_KNOWN = re.compile(
+    rb"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}"
+    rb"|[srp]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}"
+    rb"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*)\.?\Z"
 )
+_PEM = re.compile(rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----)(?:[A-Za-z0-9+/=\s:,.\-]|\\[nr]))*(-----END)?")
+_PEM_LINE = re.compile(rb"(?:\A|(?<=\s)|(?<=\\[nr]))[A-Za-z0-9+/]+={0,2}(?=\s|\\[nr]|-----|\Z)")
 _NEAR = re.compile(r"[^\W_]+")
 
 
@@ -91,12 +115,59 @@ def _counts(texts: DataFrame) -> Usual:
     return Usual(both[: 1 << 16], both[1 << 16 :])
 
 
-def _spans(data: bytes) -> list[tuple[int, int]]:
-    inside = _CHARACTERS[np.frombuffer(data, np.uint8)]
-    edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
-    starts, ends = edges[0::2], edges[1::2]
-    long = ends - starts >= SHORTEST
-    return list(zip(starts[long].tolist(), ends[long].tolist()))
+def _key_lines(data: bytes) -> list[tuple[int, int]]:
+    """The lines of private keys; a short one only at the end of a whole key."""
+    found = []
+    for block in _PEM.finditer(data) if b"PRIVATE KEY" in data else ():
+        mine = []
+        for line in _PEM_LINE.finditer(data, data.index(b"-----", block.start() + 5) + 5, block.start(1) if block[1] else block.end()):
+            long = line.end() - line.start() >= SHORTEST
+            if _random(line[0]) if long else mine and block[1]:
+                mine.append(line.span())
+        found += mine
+    return found
+
+
+def _assigned(data: bytes) -> list[tuple[int, int]]:
+    """Values assigned to names of credentials."""
+    found = []
+    for sign in _SEPARATOR.finditer(data):
+        before = data[max(sign.start() - 40, 0) : sign.start()]
+        if not _NAMED.search(before):
+            continue
+        value = _VALUE.match(data, sign.end())
+        if value:
+            start, end = value.span(value.lastindex)
+            if value.lastindex == 4 and _IN_QUERY.search(before) and b"&" in value[4]:
+                end = start + value[4].index(b"&")
+            elif value.lastindex == 4:
+                end -= len(value[4]) - len(value[4].rstrip(b"."))
+            if end - start >= SHORTEST_ASSIGNED and not (found and start < found[-1][1]):
+                found.append((start, end))
+    return found
+
+
+def _spans(data: bytes) -> list[tuple[int, int, bool]]:
+    """``(start, end, known)`` of the candidates; ``known`` ones are keys by their form or place."""
+    taken = [(*span, True) for span in _key_lines(data)]
+    keys = [span[:2] for span in taken]
+    for start, end in _assigned(data):
+        if not any(a < end and start < b for a, b in keys):
+            taken.append((start, end, bool(_KNOWN.match(data[start:end]))))
+    taken.sort()
+    out, at = [], 0
+    edges = np.flatnonzero(np.diff(_CHARACTERS[np.frombuffer(data, np.uint8)].astype(np.int8), prepend=0, append=0))
+    long = edges[1::2] - edges[0::2] >= SHORTEST - 2
+    for start, end in zip(edges[0::2][long].tolist(), edges[1::2][long].tolist()):
+        padding = _PADDING.match(data, end)
+        end = padding.end() if padding else end
+        if end - start < SHORTEST:
+            continue
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if at == len(taken) or taken[at][0] >= end:
+            out.append((start, end, bool(_KNOWN.match(data[start:end]))))
+    return sorted(taken + out)
 
 
 def _entropy(counts: np.ndarray) -> float:
@@ -108,7 +179,7 @@ def _bucket(word: str, buckets: int) -> int:
     return hashlib.blake2b(word.encode(), digest_size=4).digest()[0] % buckets
 
 
-def describe(value: bytes, before: str, after: str, path: str, usual: Usual) -> list[float]:
+def describe(value: bytes, before: str, after: str, path: str, usual: Usual, known: bool = False) -> list[float]:
     """The features of a candidate with the text before and after it."""
     data = np.frombuffer(value, np.uint8)
     kinds = _KIND[data]
@@ -125,7 +196,7 @@ def describe(value: bytes, before: str, after: str, path: str, usual: Usual) ->
         near[_bucket(word, NEAR_BUCKETS)] = 1.0
     for word in _NEAR.findall(path.lower()):
         places[_bucket(word, PATH_BUCKETS)] = 1.0
-    return out + near + places
+    return [*out, *near, *places, float(known)]
 
 
 _CANDIDATES = "doc_id long, start long, length int, value_sha256 string, features array<double>, weak_label int"
@@ -144,14 +215,15 @@ def candidates(docs: DataFrame, path_column: str | None = "source") -> DataFrame
             rows = []
             for doc, text, path in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "path"))):
                 data, last, place = text.encode(), 0, 0
-                for start, end in _spans(data):
+                for start, end, known in _spans(data):
                     # Code points before the candidate, counted on from the one before.
                     place, last = place + len(data[last:start].decode()), start
                     value = data[start:end]
                     before = data[max(start - 80, 0) : start].decode("utf-8", "ignore")
                     after = data[end : end + 40].decode("utf-8", "ignore")
-                    features = describe(value, before, after, path, shared.value)
-                    rows.append((doc, place, end - start, hashlib.sha256(value).hexdigest(), features, weak_label(value, before)))
+                    features = describe(value, before, after, path, shared.value, known)
+                    label = int(known or weak_label(value, before))
+                    rows.append((doc, place, len(value.decode()), hashlib.sha256(value).hexdigest(), features, label))
             for i in range(0, len(rows), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 5000]), kinds)], names)
 
@@ -160,8 +232,20 @@ def candidates(docs: DataFrame, path_column: str | None = "source") -> DataFrame
 
 def weak_label(value: bytes, before: str) -> int:
     """1 for a random-looking value assigned to a name of credentials, else 0."""
-    random = _entropy(np.bincount(np.frombuffer(value, np.uint8))) >= 3 and bool(re.search(rb"\d", value))
-    return int(random and bool(_ASSIGNED.search(before)))
+    return int(bool(_ASSIGNED.search(before)) and _random(value))
+
+
+def _random(value: bytes) -> bool:
+    """Whether a value is random to look at; short ones by the kinds of their characters."""
+    data = np.frombuffer(value, np.uint8)
+    entropy, digits = _entropy(np.bincount(data)), bool(re.search(rb"\d", value))
+    if _PLAIN.match(value):
+        return False
+    if len(value) >= SHORTEST:
+        return entropy >= 3 and digits
+    kinds = _KIND[data]
+    mixed = len(np.unique(kinds)) >= 3 or int((kinds[1:] != kinds[:-1]).sum()) >= 3
+    return digits and bool((kinds >= 2).any()) and mixed and entropy >= 0.8 * np.log2(len(value))
 
 
 def train_forest(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11):
