@@ -92,6 +92,30 @@ def test_furniture_by_markup():
     assert [line.text for line in html.lines(page) if line.inside] == ["T", "Body"]
 
 
+def _kept(page: str) -> list[str]:
+    return [line.text for line in html.lines(page) if not line.furniture]
+
+
+def test_names_that_only_mention_furniture():
+    for name in ('class="layout has-sidebar"', 'class="content ad-free"', 'id="search-article"', 'class="no-comments with-footer"', "class=comments-open"):
+        assert _kept(f"<div {name}><p>text</div>") == ["text"] == _kept(f"<article {name}><p>text</article>"), name
+    for name in ('class="site-header"', 'class="x ad"', 'id="cookie-notice"', 'class="ad-slot"', "class=share-buttons", 'class="comments-area"', 'id="comment-42"'):
+        assert _kept(f"<div {name}><p>other</div><p>text") == ["text"], name
+    assert _kept('<div class="menu"><main><p>text</main></div>') == ["text"]
+    assert _kept("<nav><main><p>text</main></nav>") == []
+
+
+def test_text_beside_teasers(spark):
+    teasers = "<article><p>teaser one</article><article><p>teaser two</article>"
+    page = lambda i: f"<div>Site of all</div><nav>menu</nav>{teasers}<div><p>story {i} is told in a line longer than the cards beside it</div>"
+    found = _texts(spark, [(i, f"http://h/{i}", page(i)) for i in range(3)])
+    for i in range(3):
+        assert found[i].endswith(f"story {i} is told in a line longer than the cards beside it")
+        assert "Site of all" not in found[i] and "menu" not in found[i]
+    inside = "<main><article><p>card</article><p>the text of the page</main><div>out</div>"
+    assert _kept(inside) == ["card", "the text of the page"]
+
+
 def test_broken_markup():
     for page in ["<", "<p", "a < b", "<p title='x>y'>z", "<!-- open", "<script>x", "</p></div>t", "<p>" * 3000 + "x", "&", "&#xD800;", "<article><p>a"]:
         html.lines(page)

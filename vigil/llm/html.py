@@ -7,7 +7,9 @@ neighbour whose path begins most like its own, their lines are aligned by a long
 subsequence, and lines both have are deleted: a site's pages share its furniture and not
 their articles.  Lines inside an article element are never deleted, as a mirrored article
 is still one; where a page has no such element, a pair that shares most of its text is a
-copy, and nothing is deleted for it.
+copy, and nothing is deleted for it.  Lines outside go with the furniture where the article,
+or else the main element, is at least half of the text; where it is less, as with teaser
+cards, they are aligned like any other.
 
 Sorting is by ranges, so a host with a third of all pages is spread, and only hashes of
 lines are sorted and paired.  Neighbours across two ranges meet by a gapless number.
@@ -47,7 +49,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 IMPLIED = frozenset("p li dt dd tr td th thead tbody tfoot option optgroup".split())
 FURNITURE = frozenset("nav header footer aside form menu button dialog search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words of class, id and role that say the same.
+# Names in class, id and role, or last parts of them, that say the same.
 HINTS = frozenset(
     "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu navbar nav navigation "
     "breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter "
@@ -55,6 +57,9 @@ HINTS = frozenset(
     "contentinfo complementary search login".split()
 )
 COMMENT_HINTS = frozenset("comment comments commentlist disqus respond replies discussion".split())
+# Parts of a name behind a hint that leave it one ("ad-slot"), and in front of it that do not ("has-sidebar").
+PIECES = frozenset("area bar block box button buttons container content form inner item items links list panel posts section slot top unit wrap wrapper".split())
+STATES = frozenset("has with no not non without is hide hidden show".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -69,8 +74,17 @@ class Line:
     furniture: bool
 
 
-def _words_of(attributes: str) -> set[str]:
-    return {w for value in _HINT.findall(attributes) for w in _WORD.findall(value.lower())}
+def _hints_of(attributes: str) -> set[str]:
+    """The whole names of class, id and role, and what their parts say: the last one that is no piece."""
+    out = set()
+    for value in _HINT.findall(attributes):
+        for name in value.lower().strip("\"'").split():
+            parts = _WORD.findall(name)
+            while len(parts) > 1 and parts[-1] in PIECES:
+                parts.pop()
+            if parts and not STATES.intersection(parts[:-1]):
+                out.update((name, parts[-1]))
+    return out
 
 
 def lines(page: str) -> list[Line]:
@@ -94,7 +108,7 @@ def lines(page: str) -> list[Line]:
             elif kind == "article":
                 article, furniture = True, furniture and any(k == "fixed" for _, k in stack[: stack.index((name, kind))])
             elif kind == "main":
-                main = True
+                main, furniture = True, furniture and any(k == "fixed" for _, k in stack[: stack.index((name, kind))])
             elif kind == "header":
                 furniture = furniture or not (heading and article)
         return article, main, furniture
@@ -143,7 +157,7 @@ def lines(page: str) -> list[Line]:
                 stack.pop()
         kind = "plain"
         if name not in ("html", "body"):
-            words = _words_of(token[3]) if "=" in token[3] else set()
+            words = _hints_of(token[3]) if "=" in token[3] else set()
             if words & COMMENT_HINTS:
                 kind = "comments"
             elif name == "article":
@@ -162,12 +176,17 @@ def lines(page: str) -> list[Line]:
                 flush()
             stack.append((name, kind))
     flush()
-    articles = any(article and not furniture for _, article, _, furniture in found)
-    mains = any(main and not furniture for _, _, main, furniture in found)
+    total = sum(len(text) for text, _, _, furniture in found if not furniture)
+    in_article = sum(len(text) for text, article, _, furniture in found if article and not furniture)
+    in_main = sum(len(text) for text, _, main, furniture in found if main and not furniture)
     out = []
     for text, article, main, furniture in found:
-        inside = article if articles else main if mains else False
-        out.append(Line(text, inside and not furniture, furniture or ((articles or mains) and not inside)))
+        inside = article if in_article else main
+        if in_article and 2 * in_article >= total:
+            outside = not article
+        else:
+            outside = bool(in_main) and 2 * in_main >= total and not main and not article
+        out.append(Line(text, inside and not furniture, furniture or outside))
     return out
 
 
