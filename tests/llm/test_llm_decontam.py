@@ -81,6 +81,13 @@ def test_an_edited_copy_beside_many_whole_ones(spark):
     assert set(_hits(spark, docs, [(7, " ".join(words))])) == {(i, 7) for i in [*range(30), 99]}
 
 
+def test_a_long_run_of_a_longer_item(spark):
+    words = [f"word{i}" for i in range(500)]
+    docs = documents(spark, (1, "so " + " ".join(words[150:350]) + " on"), (2, " ".join(words[20:60])), (3, "other words"))
+    assert _hits(spark, docs, [(7, " ".join(words))]) == {(1, 7): 0.4}
+    assert [r.doc_id for r in decontam.clean_documents(docs, _benchmark(spark, [(7, " ".join(words))])).orderBy("doc_id").collect()] == [2, 3]
+
+
 def test_items_whose_words_never_come_together(spark):
     docs = documents(spark, (1, " ".join(reversed(ITEM.split()))))
     assert _hits(spark, docs, [(7, ITEM)]) == {}

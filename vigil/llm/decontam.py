@@ -9,7 +9,8 @@ many items there are.  For each block:
    as a whole occurs.  Those that are the rarest of some WINDOW neighbouring ones are rare.
 3. A second pass finds the seeds in the documents.  Around each the words of the document
    are aligned with the item's by Smith-Waterman (all places of a batch at once), and the
-   best score over that of a perfect copy is the item's score in the document.  Where all
+   best score over that of a perfect copy is the item's score in the document.  It is a hit
+   from a threshold on, or from an alignment worth LONG_RUN matched words.  Where all
    seeds of a place are common ones, it is only aligned if so many words of the item are
    there at all that the score could reach the threshold.
 
@@ -42,6 +43,8 @@ WINDOW = 6
 # The share of a perfect copy's score from which a document is contaminated.
 THRESHOLD = 0.5
 MIN_WORDS = 5
+# A run worth so many matched words is a copy, whatever its share of the item.
+LONG_RUN = 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 # Texts are read in blocks of about so many bytes.
 AT_ONCE = 1 << 18
@@ -169,7 +172,11 @@ class Finder:
     def possible(self, item: int, passage: np.ndarray) -> bool:
         """Whether so many words of the item are in the passage that its score may reach the threshold."""
         there, mine = set(passage.tolist()), self.word_lists[item]
-        return sum(word in there for word in mine) / len(mine) >= self.threshold
+        return self.enough(MATCH * sum(word in there for word in mine), item)
+
+    def enough(self, score: int, item: int) -> bool:
+        """Whether an alignment's score makes the text a copy of the item or of a long run of it."""
+        return score / (MATCH * len(self.word_lists[item])) >= self.threshold or score >= MATCH * LONG_RUN
 
     def places(self, words: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
         """``(text, item, from, to)``: stretches of the texts around seeds of the item."""
@@ -211,7 +218,7 @@ class Finder:
                 for (text, item, a, _), score, end in zip(some, scores.tolist(), ends.tolist()):
                     share = score / (MATCH * len(self.items.words[item]))
                     mine = results[first + text]
-                    if share >= self.threshold and share > mine.get(item, (0.0, 0))[0]:
+                    if self.enough(score, item) and share > mine.get(item, (0.0, 0))[0]:
                         mine[item] = (share, a - int(starts[text]) + end)
         return [[(self.items.ids[item], *found) for item, found in sorted(r.items())] for r in results]
 
