@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import chat, ctw, decontam, exact, html, jaccard, packing, quality, secrets, warc
+from vigil.llm import chat, ctw, decontam, exact, html, jaccard, packing, quality, repair, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +128,102 @@ def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
 def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in the documents, without what only looks like one."""
     return secrets.scan(_table(spark, folder, "documents"))
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """What is wrong with the damaged conversations, their cheapest edits and what these make of them."""
+    turns = _table(spark, folder, "conversations")
+    return repair.report(turns, repair.damage(turns))
+
+
+# Checksums bit by bit, as tables of 256 entries; audits as texts that sort by cost first.
+_CRC_TABLE = """(SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i)
+  FROM (SELECT unnest(range(256)) AS i) b)"""
+_CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, x: xor(c >> 8, table_of[xor(c & 255, x) + 1])), 4294967295)"""
+
+
+def _more(cell: str, cost: int | str, edit: str) -> str:
+    return f"format('{{:09d}}', substr({cell}, 1, 9)::BIGINT + {cost}) || substr({cell}, 10) || '{edit}'"
+
+
+_AFTER_INSERTS = f"""v0 AS w0, v1 AS w1, least(v2, {_more('v0', 3, 'I')}, {_more('v1', 3, 'I')}, {_more('v3', 3, 'I')}) AS w2,
+    least(v3, {_more('v2', 3, 'I')}, {_more('v0', 6, 'II')}, {_more('v1', 6, 'II')}) AS w3"""
+
+
+def _step(state: int) -> str:
+    """The best way into a state by one turn, after inserts."""
+    ways = [_more(f"w{state}", 4, "D")]
+    if state == 1:
+        ways.append(f"CASE WHEN keeps AND initial = 's' THEN {_more('w0', 'extra', 'K')} END")
+    for before, role in {2: [(0, "u"), (1, "u"), (3, "u")], 3: [(2, "a")]}.get(state, []):
+        ways.append(
+            f"CASE WHEN keeps THEN CASE WHEN initial = '{role}' THEN {_more(f'w{before}', 'extra', 'K')}"
+            f" ELSE {_more(f'w{before}', '3 + extra', 'R')} END END"
+        )
+    return f"least({', '.join(ways)})"
+
+
+ORACLES["op12_conversation_repair"] = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), kinds AS (
+  SELECT *, {_CRC} % 20 AS kind FROM keyed CROSS JOIN (SELECT {_CRC_TABLE} AS table_of) c
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS occurrence
+  FROM damaged
+), faults AS (
+  SELECT *, substr(role, 1, 1) AS initial, CASE
+    WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+    WHEN occurrence > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault,
+    fault NOT IN ('blank', 'duplicate') AS keeps, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS extra
+  FROM numbered
+), paths(conv_id, i, v0, v1, v2, v3) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '000000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM faults
+  UNION ALL
+  SELECT conv_id, i, {_step(0)}, {_step(1)}, {_step(2)}, {_step(3)}
+  FROM (SELECT p.conv_id, f.i, f.keeps, f.extra, f.initial, {_AFTER_INSERTS}
+    FROM paths p JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1) q
+), ends AS (
+  SELECT conv_id, least(w0, w3) AS best FROM (
+    SELECT conv_id, {_AFTER_INSERTS} FROM paths
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1) e
+), letters AS (
+  SELECT conv_id, unnest(string_split(substr(best, 10), '')) AS edit, generate_subscripts(string_split(substr(best, 10), ''), 1) AS place
+  FROM ends WHERE length(best) > 9
+), placed AS (
+  SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS emitted
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+), turned AS (
+  SELECT p.*, f.role, f.text, max(CASE WHEN edit = 'K' AND emitted = 1 AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS led
+  FROM placed p LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i AND p.edit <> 'I'
+), repaired AS (
+  SELECT conv_id, sha256(string_agg(CASE edit WHEN 'K' THEN role
+      ELSE CASE WHEN (emitted - led) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' ||
+      CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY place)) AS repaired_sha256
+  FROM turned WHERE edit <> 'D' GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM faults) f GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(substr(best, 1, 9)::BIGINT, 0) AS cost, coalesce(substr(best, 10), '') AS audit,
+  coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
