@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import chat, ctw, decontam, exact, html, jaccard, packing, quality, repair, secrets, warc
+from vigil.llm import chat, ctw, decontam, exact, html, jaccard, packing, quality, repair, secrets, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,6 +130,12 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(_table(spark, folder, "documents"))
 
 
+@_query
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """What the files of token ids say of every document."""
+    return tokens.round_trip(_table(spark, folder, "documents"))
+
+
 @_query
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """What is wrong with the damaged conversations, their cheapest edits and what these make of them."""
@@ -183,9 +189,11 @@ WITH RECURSIVE keyed AS (
   FROM damaged
 ), faults AS (
   SELECT *, substr(role, 1, 1) AS initial, CASE
-    WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+    WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
     WHEN occurrence > 1 THEN 'duplicate'
-    WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault,
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault,
     fault NOT IN ('blank', 'duplicate') AS keeps, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS extra
   FROM numbered
 ), paths(conv_id, i, v0, v1, v2, v3) AS (
