@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import chat, ctw, decontam, exact, html, jaccard, packing, quality, repair, secrets, tokens, warc
+from vigil.llm import chat, ctw, decontam, exact, html, jaccard, packing, phrases, quality, repair, secrets, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,6 +136,50 @@ def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.round_trip(_table(spark, folder, "documents"))
 
 
+@_query
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The phrases of each language that hold together most."""
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
+ORACLES["op11_phrases"] = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, part FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part
+    FROM documents) s
+), listed AS (
+  SELECT lang, regexp_extract_all(part, '[^\x20\x09]+') AS words FROM pieces
+), grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+  FROM listed CROSS JOIN (SELECT unnest([1, 2, 3]) AS size) z WHERE len(words) >= size
+), f AS (
+  SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+), cand AS (
+  SELECT lang, size, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE size > 1 AND n >= 10
+), sides AS MATERIALIZED (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:size], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) c
+), cuts AS (
+  SELECT s.lang, s.phrase, s.a, k, l.n AS l, r.n AS r,
+    CAST(1000000::HUGEINT * a * a // (l.n::HUGEINT * r.n) AS BIGINT) AS score
+  FROM sides s JOIN f l ON l.lang = s.lang AND l.phrase = s.head JOIN f r ON r.lang = s.lang AND r.phrase = s.tail
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM cand WHERE size = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM cand WHERE size = 3) p GROUP BY ALL
+), ranked AS (
+  SELECT b.lang, b.phrase, a, l, r, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+  FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE NOT coalesce(100 * longer >= 50 * a, false)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 @_query
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """What is wrong with the damaged conversations, their cheapest edits and what these make of them."""
