@@ -149,3 +149,21 @@ def test_awkward_rows(spark):
 
 def test_no_rows(spark):
     assert html.main_text(_pages(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<p>text</p><div " + " ".join(f'a{i}="x{i}"' for i in range(200)), "<div>x" * 100_000, "<article><nav>x" * 20_000,
+        "<p a='\"" * 20_000, '<a b="' * 50_000, "<div></p>" * 50_000, "<" * 100_000,
+    ],
+)
+def test_no_page_takes_long(page):
+    started = time.process_time()
+    html.lines(page)
+    assert time.process_time() - started < 5
+
+
+def test_a_tag_cut_off_ends_the_page():
+    assert [line.text for line in html.lines('<p>one</p><p>two <a href="x" title="y')] == ["one", "two"]
+    assert [line.text for line in html.lines('<p title="a>b">one</p><p title=\'c"d\'>two</p>')] == ["one", "two"]

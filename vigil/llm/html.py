@@ -26,9 +26,10 @@ import hashlib
 import html
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -61,7 +62,12 @@ COMMENT_HINTS = frozenset("comment comments commentlist disqus respond replies d
 PIECES = frozenset("area bar block box button buttons container content form inner item items links list panel posts section slot top unit wrap wrapper".split())
 STATES = frozenset("has with no not non without is hide hidden show".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
+# A quoted value is taken in one way only, and a tag that is cut off ends with the page.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|\"(?![^\"]*+\")|'(?![^']*+'))*+)(?:>|\Z)",
+    re.S,
+)
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 _URL = re.compile(r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)([^?#]*)")
@@ -74,6 +80,31 @@ class Line:
     furniture: bool
 
 
+class _State(NamedTuple):
+    """What holds inside an element: headers are furniture unless they show an article's heading."""
+
+    article: bool = False
+    main: bool = False
+    furniture: bool = False
+    furniture_heading: bool = False
+    fixed: bool = False
+    comments: bool = False
+
+
+def _inside(around: _State, kind: str) -> _State:
+    """The state inside an element of some kind; articles and main lift hints around them."""
+    if kind == "plain" or around.comments:
+        return around
+    if kind == "comments":
+        return around._replace(furniture=True, furniture_heading=True, comments=True)
+    if kind in ("fixed", "hinted"):
+        return around._replace(furniture=True, furniture_heading=True, fixed=around.fixed or kind == "fixed")
+    if kind == "header":
+        return around._replace(furniture=True, furniture_heading=around.furniture_heading or not around.article)
+    kept = around._replace(furniture=around.furniture and around.fixed, furniture_heading=around.furniture_heading and around.fixed)
+    return kept._replace(article=True) if kind == "article" else kept._replace(main=True)
+
+
 def _hints_of(attributes: str) -> set[str]:
     """The whole names of class, id and role, and what their parts say: the last one that is no piece."""
     out = set()
@@ -90,28 +121,17 @@ def _hints_of(attributes: str) -> set[str]:
 def lines(page: str) -> list[Line]:
     """The blocks of visible text in page order."""
     found: list[tuple[str, bool, bool, bool]] = []
-    # Open elements: (name, is furniture, is part of reader comments, shows headings).
-    stack: list[tuple[str, str]] = []
+    # Open elements, each with what holds inside of it: (name, state).
+    stack: list[tuple[str, _State]] = []
+    open_names: Counter[str] = Counter()
     parts: list[str] = []
     heading = 0
 
     def state() -> tuple[bool, bool, bool]:
-        article = main = furniture = False
-        for name, kind in stack:
-            if kind == "comments":
-                furniture = True
-                break
-            if kind == "fixed":
-                furniture = True
-            elif kind == "hinted":
-                furniture = True
-            elif kind == "article":
-                article, furniture = True, furniture and any(k == "fixed" for _, k in stack[: stack.index((name, kind))])
-            elif kind == "main":
-                main, furniture = True, furniture and any(k == "fixed" for _, k in stack[: stack.index((name, kind))])
-            elif kind == "header":
-                furniture = furniture or not (heading and article)
-        return article, main, furniture
+        if not stack:
+            return False, False, False
+        now = stack[-1][1]
+        return now.article, now.main, now.furniture_heading if heading else now.furniture
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -144,17 +164,19 @@ def lines(page: str) -> list[Line]:
             if name in HEADINGS:
                 heading = 0 if closing else 1
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    flush()
-                    del stack[i:]
-                    break
+            if open_names[name]:
+                flush()
+                while True:
+                    closed, _ = stack.pop()
+                    open_names[closed] -= 1
+                    if closed == name:
+                        break
             continue
         if name in VOID or token[3].endswith("/"):
             continue
         if name in BLOCKS and name not in HEADINGS:
             while stack and stack[-1][0] in IMPLIED and (stack[-1][0] == "p" or stack[-1][0] == name):
-                stack.pop()
+                open_names[stack.pop()[0]] -= 1
         kind = "plain"
         if name not in ("html", "body"):
             words = _hints_of(token[3]) if "=" in token[3] else set()
@@ -174,7 +196,8 @@ def lines(page: str) -> list[Line]:
         if kind != "plain" or (name in BLOCKS and name not in IMPLIED and name not in HEADINGS):
             if kind != "plain" and name not in BLOCKS:
                 flush()
-            stack.append((name, kind))
+            stack.append((name, _inside(stack[-1][1] if stack else _State(), kind)))
+            open_names[name] += 1
     flush()
     total = sum(len(text) for text, _, _, furniture in found if not furniture)
     in_article = sum(len(text) for text, article, _, furniture in found if article and not furniture)
