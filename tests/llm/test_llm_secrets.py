@@ -101,3 +101,12 @@ def test_awkward_rows(spark):
 
 def test_no_rows(spark):
     assert secrets.scan(documents(spark)).collect() == []
+
+
+def test_names_inside_a_value_are_read_once():
+    started = time.process_time()
+    assert secrets._assigned(b"token=" * 300_000) == [(6, 6 * 300_000)]
+    assert secrets._assigned(b"?token=abc&" * 100_000) == []
+    assert secrets._assigned(b"token=abc" * 100_000 + b"(") == []
+    assert time.process_time() - started < 10
+    assert secrets._assigned(b'secret: "token=abcdef" pwd=hunter22.') == [(9, 21), (27, 35)]

@@ -64,8 +64,10 @@ _ASSIGNED = re.compile(
 _SEPARATOR = re.compile(b"=>|:=|[:=]")
 _NAMED = re.compile(rb"(?i)" + _NAME.encode() + rb"\Z")
 _IN_QUERY = re.compile(rb"[?&][\w.-]*\Z")
-# A quoted value without white space, or what stands up to a sign that ends a value.
-_VALUE = re.compile(rb"\s*(?:\\?\"([^\s\"\\]+)\\?\"|\\?'([^\s'\\]+)\\?'|`([^\s`]+)`|([A-Za-z0-9_+/=.\-!@#$%^*~:?|&]++)(?![(\[]))")
+# A quoted value without white space, or a run of signs up to one that ends a value.
+_BLANKS = re.compile(rb"\s*+")
+_QUOTED = re.compile(rb"\\?\"([^\s\"\\]++)\\?\"|\\?'([^\s'\\]++)\\?'|`([^\s`]++)`")
+_RUN = re.compile(rb"[A-Za-z0-9_+/=.\-!@#$%^*~:?|&]*+")
 # Addresses, numbers, versions and places to fill in are no secrets.
 _PLAIN = re.compile(rb"(?:[a-z]+://|[^@\s]+@[a-z0-9-]+(?:\.[a-z]+)+\Z|v?[\d.,:/+-]+\Z|.*(?:\$\{|\{\{|%\(|<))", re.I)
 _KNOWN = re.compile(
@@ -129,21 +131,36 @@ def _key_lines(data: bytes) -> list[tuple[int, int]]:
 
 
 def _assigned(data: bytes) -> list[tuple[int, int]]:
-    """Values assigned to names of credentials."""
-    found = []
+    """Values assigned to names of credentials.
+
+    A run of value signs is read once, however many names and separators it holds.
+    """
+    found: list[tuple[int, int]] = []
+    run = (0, 0)
     for sign in _SEPARATOR.finditer(data):
+        # Names inside of a value belong to it.
+        if found and sign.end() < found[-1][1]:
+            continue
         before = data[max(sign.start() - 40, 0) : sign.start()]
         if not _NAMED.search(before):
             continue
-        value = _VALUE.match(data, sign.end())
-        if value:
-            start, end = value.span(value.lastindex)
-            if value.lastindex == 4 and _IN_QUERY.search(before) and b"&" in value[4]:
-                end = start + value[4].index(b"&")
-            elif value.lastindex == 4:
-                end -= len(value[4]) - len(value[4].rstrip(b"."))
-            if end - start >= SHORTEST_ASSIGNED and not (found and start < found[-1][1]):
-                found.append((start, end))
+        start = _BLANKS.match(data, sign.end()).end()
+        quoted = _QUOTED.match(data, start)
+        if quoted:
+            start, end = quoted.span(quoted.lastindex)
+        else:
+            if not run[0] <= start < run[1]:
+                run = (start, _RUN.match(data, start).end())
+            end = run[1]
+            if end == start or data[end : end + 1] in (b"(", b"["):
+                continue
+            if _IN_QUERY.search(before) and data.find(b"&", start, end) >= 0:
+                end = data.find(b"&", start, end)
+            else:
+                while end > start and data[end - 1 : end] == b".":
+                    end -= 1
+        if end - start >= SHORTEST_ASSIGNED and not (found and start < found[-1][1]):
+            found.append((start, end))
     return found
 
 
