@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import time
 from html.parser import HTMLParser
 
+import pytest
 from conftest import SF
 from vigil.llm import html
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from conftest import SF
 from llm_helpers import AWKWARD, documents
