@@ -1132,7 +1132,7 @@ def _(t):
 
 @query(
     "dga_host_clients",
-    f"""select distinct p.host, p.clientip, p.username from {{v_proxy}} p
+    f"""select distinct p.host, p.clientip, p.proxyip, p.username from {{v_proxy}} p
         join ({_ENTROPY % _CANDIDATES}) e on e.domain = p.host
         where e.entropy > 3.5""",
 )
@@ -1200,7 +1200,7 @@ def _(t):
     model, _, vocabularies = _trained(t)
     flagged = settle(dga.flag_hosts(model, dga.features(dga.host_candidates(t["v_proxy"]), *vocabularies)), "flagged")
     # The plain route: all requests of the hosts first, made distinct afterwards.
-    plain = t["v_proxy"].join(flagged.withColumnRenamed("domain", "host"), "host").select("host", "clientip", "username").distinct()
+    plain = t["v_proxy"].join(flagged.withColumnRenamed("domain", "host"), "host").select("host", "clientip", "proxyip", "username").distinct()
     return _difference(dga.clients_of(flagged, t["v_proxy"]), plain)
 
 
@@ -1414,3 +1414,7 @@ def _(t):
     _file_sink(t, parse.parse_proxy(whole), f"{path}/out")
     rows = source_tables.read_table(t.spark, f"{path}/out", schemas.PROXYSG).drop("batch")
     return ranking.count_by(rows.withColumn("host", F.col("source")), "host", "date", name="n")
+
+
+# Further queries register themselves.
+from bindings import streams, users  # noqa: E402, F401

@@ -102,6 +102,20 @@ VIEWS: dict[str, str | tuple[str, str]] = {
           cast(n_nationkey as bigint) * 16777216 + 16777215 as hi,
           concat('C', cast(n_nationkey as string)) as cc
         from {nation}""",
+    # Ranges inside of ranges, some of them overlapping one another.
+    "v_geo_nested": """
+        select lo, hi, cc from {v_geo}
+        union all
+        select cast(s_nationkey as bigint) * 16777216 + (s_suppkey % 250) * 65536 + (s_suppkey % 3) * 200 as lo,
+          cast(s_nationkey as bigint) * 16777216 + (s_suppkey % 250) * 65536 + (s_suppkey % 3) * 200
+            + 100 + (s_suppkey * 911) % 200000 as hi,
+          concat('S', cast(s_suppkey % 50 as string)) as cc
+        from {supplier}
+        union all
+        select cast(c_custkey % 24 as bigint) * 16777216 + (c_custkey % 250) * 65536 + 512 + c_custkey % 3 as lo,
+          cast(c_custkey % 24 as bigint) * 16777216 + (c_custkey % 250) * 65536 + 512 + c_custkey % 3 + c_custkey % 2 as hi,
+          concat('X', cast(c_custkey % 90 as string)) as cc
+        from {customer} where c_custkey % 5 = 0""",
     "v_otx": f"""
         select {_part_ip('p_partkey')} as ip, 'Scanning Host' as reason from {{part}} where p_type = 'PROMO'
         union all

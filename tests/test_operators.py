@@ -159,7 +159,7 @@ def test_foreign_logins(spark, way, take):
         [(1 << 24, (1 << 25) - 1, "X"), (1 << 25, (1 << 25) + 255, "Z")], "lo long, hi long, cc string"
     )
     found = vpn.foreign_logins(seen, people, ranges)
-    assert [tuple(r) for r in found.collect()] == [("a", "2.0.0.1", "Z", "X", 5), ("b", "2.0.0.1", "Z", "Y", 2)]
+    assert rows_of(found) == [("a", "2.0.0.1", "Z", "X", 5), ("b", "2.0.0.1", "Z", "Y", 2)]
 
 
 def test_top_transfers_are_single_ones(spark):

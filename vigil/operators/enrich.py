@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.network import ip_to_long
 from vigil.operators.sizing import fits_broadcast
+from vigil.session import settle
 
 _BUCKET_BITS = 16
 
@@ -60,3 +61,64 @@ def with_country(df: DataFrame, ip_col: str, ranges: DataFrame, out: str = "cc")
         out,
     )
     return df.join(known, df[ip_col] == known["_addr"], "left").drop("_addr")
+
+
+# Blocks a range is cut into, as bits of their size: /8, /16, /24 and single addresses.
+_LEVELS = (24, 16, 8, 0)
+
+
+def range_blocks(ranges: DataFrame) -> DataFrame:
+    """Ranges that may overlap as ``(level, block, width, cc)``, one row a block.
+
+    Each range is cut into the largest whole blocks that it covers.  Of ranges that cover
+    the same block the narrowest stays, then the one that begins first, then the least
+    name, so the table is at most as long as the blocks there are and no address meets
+    two ranges of one level.  Ranges that end before they begin are left out.
+    """
+    last = F.col("hi") + 1
+    pieces = []
+    for above, bits in zip((None, *_LEVELS), _LEVELS):
+        size = 1 << bits
+        # Whole blocks of this size from ``first`` to before ``end``.
+        first, end = F.expr(f"((lo + {size - 1}) div {size})"), F.expr(f"((hi + 1) div {size})")
+        if above is None:
+            spans = [(first, end)]
+        else:
+            # In front of and behind the next larger blocks inside the range.
+            more = 1 << above
+            inner_first, inner_end = F.expr(f"((lo + {more - 1}) div {more}) * {more // size}"), F.expr(f"((hi + 1) div {more}) * {more // size}")
+            whole = inner_first < inner_end
+            spans = [(first, F.when(whole, inner_first).otherwise(end)), (F.when(whole, inner_end).otherwise(end), end)]
+        for start, stop in spans:
+            blocks = F.when(start < stop, F.sequence(start, stop - 1)).otherwise(F.array().cast("array<bigint>"))
+            pieces.append(F.struct(F.lit(bits).alias("level"), blocks.alias("blocks")))
+    cut = ranges.where("lo <= hi").select("lo", (last - F.col("lo")).alias("width"), "cc", F.explode(F.array(*pieces)).alias("piece"))
+    each = cut.select(F.col("piece.level").alias("level"), F.explode("piece.blocks").alias("block"), F.struct("width", "lo", "cc").alias("range"))
+    best = each.groupBy("level", "block").agg(F.min("range").alias("range"))
+    return best.select("level", "block", F.col("range.width").alias("width"), F.col("range.lo").alias("lo"), F.col("range.cc").alias("cc"))
+
+
+def _narrowest(rows: DataFrame, ip_col: str, blocks: DataFrame, out: str, hinted) -> DataFrame:
+    """``rows`` with the narrowest range of their address: one equi-join a level."""
+    found = rows.withColumn("_ip", ip_to_long(F.col(f"`{ip_col}`")))
+    for bits in _LEVELS:
+        level = hinted(blocks.where(F.col("level") == bits)).select(
+            F.col("block").alias(f"_block{bits}"), F.struct("width", "lo", "cc").alias(f"_range{bits}")
+        )
+        found = found.join(level, F.shiftright("_ip", bits) == F.col(f"_block{bits}"), "left")
+    best = F.array_min(F.array_compact(F.array(*[F.col(f"_range{bits}") for bits in _LEVELS])))
+    return found.withColumn("_best", best).select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_best.cc").alias(out))
+
+
+def with_narrowest_country(df: DataFrame, ip_col: str, ranges: DataFrame, out: str = "cc") -> DataFrame:
+    """``with_country`` for ranges that may overlap or nest: the narrowest one that holds the address.
+
+    No row is repeated.  When the blocks fit they are broadcast; otherwise the different
+    addresses are looked up and joined back.
+    """
+    blocks = settle(range_blocks(ranges), "blocks")
+    if fits_broadcast(blocks):
+        return _narrowest(df, ip_col, blocks, out, F.broadcast)
+    address = df.select(F.col(f"`{ip_col}`").alias("_addr")).where("_addr is not null").distinct()
+    known = _narrowest(address, "_addr", blocks, out, lambda b: b)
+    return df.join(known, df[ip_col] == known["_addr"], "left").drop("_addr")

@@ -43,7 +43,11 @@ def _word_stages(separator: str, size: int, seed: int, buckets: int, trainers: i
 
 
 def _fit(stages: list, df: DataFrame, trainers: int) -> PipelineModel:
-    """Fit on the rows in an order of their own, so that file layout and cores do not matter."""
+    """Fit on the rows in an order of their own.
+
+    Word vectors are still not the same each time: their trainer shuffles the sentences
+    again and meets them in the order in which blocks arrive.
+    """
     # Training passes over the rows many times; lost blocks are read again.
     rows = settle(df, "training").repartition(trainers, "command").sortWithinPartitions("command").persist()
     try:

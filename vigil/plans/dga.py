@@ -208,12 +208,11 @@ def flag_hosts(model: CrossValidatorModel | PipelineModel, hosts: DataFrame) ->
 
 
 def clients_of(hosts: DataFrame, px: DataFrame) -> DataFrame:
-    """Different (host, clientip, username) that visited the given ``domain``s.
+    """Different (host, clientip, proxyip, username) that visited the given ``domain``s.
 
     Small host lists are broadcast and filter the scan.  Otherwise visits are made
     distinct first, so a hot host brings its different clients only, and AQE splits it.
     """
     # The hosts come out of a scan and a model: computed once, then measured.
-    columns = [c for c in ("host", "clientip", "proxyip", "username") if c in px.columns]
     wanted = small(settle(hosts.select(F.col("domain").alias("host")).distinct(), "hosts"))
-    return px.select(*columns).distinct().join(wanted, "host", "left_semi")
+    return px.select("host", "clientip", "proxyip", "username").distinct().join(wanted, "host", "left_semi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators import trailing
 from vigil.operators.indicators import ioc_hits
 from vigil.operators.ranking import count_by, top
 
@@ -93,3 +94,8 @@ def dashboard(fw: DataFrame, k: int = 10) -> dict[str, DataFrame]:
         "dstip": denied_by(fw, "dstip", k),
         "srcip": denied_by(fw, "srcip", k),
     }
+
+
+def packet_deviation(fw: DataFrame, by: str = "srcip", days: int = 7) -> DataFrame:
+    """Mean packet length of each source and day against its trailing window."""
+    return trailing.moment_deviation(trailing.daily_moments(fw, by, "len"), by, days)

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.versions import version_key
 from vigil.operators.ranking import count_by, top
+from vigil.operators.sizing import small
 from vigil.schemas import SITE_PRODUCTS, SITE_REGIONS
 
 
@@ -104,3 +106,35 @@ def hosts_with(inventory: DataFrame, region: str, software: str) -> DataFrame:
         & F.col("exclude_x").isNull()
         & F.col("displayname0").like(f"%{software.capitalize()}%")
     ).select(F.col("name0").alias("host"))
+
+
+def applications(inventory: DataFrame) -> DataFrame:
+    """How many hosts have each application, and in how many versions."""
+    pairs = inventory.where("displayname0 is not null").select("displayname0", "version0", "name0").distinct()
+    return pairs.groupBy("displayname0").agg(
+        F.count_distinct("name0").alias("hosts"), F.count_distinct("version0").alias("versions")
+    )
+
+
+def outdated(inventory: DataFrame) -> DataFrame:
+    """``(host, application, version, newest)`` of hosts behind the newest version anywhere.
+
+    A host counts with its own newest version of an application.  Versions that sort
+    alike (``1.0`` and ``1-0``) are the same, and the least text names them; rows without
+    host, application or version say nothing.
+    """
+    known = inventory.select(
+        F.col("name0").alias("host"), F.col("displayname0").alias("application"), F.col("version0").alias("version")
+    ).where("host is not null and application is not null and version is not null")
+    # Few versions an application: counted before they are compared.
+    versions = known.groupBy("application", "version").agg(F.lit(1).alias("n")).drop("n").withColumn("key", version_key(F.col("version")))
+    best = versions.groupBy("application").agg(F.max("key").alias("best"))
+    named = versions.join(best, "application").groupBy("application", "best").agg(
+        F.min(F.when(F.col("key") == F.col("best"), F.col("version"))).alias("newest")
+    )
+    mine = (
+        known.distinct().withColumn("key", version_key(F.col("version")))
+        .groupBy("host", "application").agg(F.max(F.struct("key", "version")).alias("own"))
+    )
+    behind = mine.join(small(named), "application").where(F.col("own.key") < F.col("best"))
+    return behind.select("host", "application", F.col("own.version").alias("version"), "newest")

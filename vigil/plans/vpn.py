@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.dates import vpn_duration_seconds
+from vigil.operators import trailing
 from vigil.operators.enrich import with_country
 from vigil.operators.ranking import count_by
 from vigil.operators.sizing import small
@@ -52,3 +54,20 @@ def identify_user(vpn: DataFrame, ip: str, day: str) -> DataFrame:
     return vpn.filter(
         (F.col("date") == F.lit(day).cast("date")) & (F.col("remoteip") == ip)
     ).select("username")
+
+
+def session_deviation(vpn: DataFrame, times: float = 3.0, days: int = 30, least: int = 5) -> DataFrame:
+    """Sessions whose length is over ``times`` median deviations from their user's trailing median.
+
+    ``(date, time, username, seconds, trailing_n, median, deviation)``.  Only ended
+    sessions have a length; users with fewer than ``least`` sessions in the window are not
+    judged.  A window without any spread makes every other length stand out.
+    """
+    ended = vpn.select("date", "time", "username", vpn_duration_seconds(F.col("duration")).alias("seconds")).where(
+        "seconds is not null and username is not null and date is not null"
+    )
+    usual = trailing.trailing_medians(trailing.daily_histogram(ended, "username", "seconds"), "username", "seconds", days)
+    # One row a user and day; a busy day's sessions are split by AQE where this shuffles.
+    judged = ended.join(small(usual.where(F.col("trailing_n") >= least)), ["username", "date"])
+    far = F.abs(F.col("seconds") - F.col("median")) > times * F.col("deviation")
+    return judged.where(far).select("date", "time", "username", "seconds", "trailing_n", "median", "deviation")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vigil import schemas
+from vigil.operators.sizing import small
+from vigil.session import settle
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -25,8 +27,8 @@ def read_inventory_csv(
 ) -> DataFrame:
     """Wide-character CSV exports.
 
-    UTF-16 files cannot be cut at a line end, so ``multiLine`` reads each file in
-    one task: deliver many files, not one.
+    ``multiLine`` reads each file in one task, and so allows line breaks inside quotes;
+    ``read_wide_csv`` reads large files without them in many tasks.
     """
     reader = spark.read.options(
         header=True, sep=sep, encoding=encoding, multiLine=True, mode="PERMISSIVE"
@@ -63,3 +65,92 @@ def read_inventory_json(spark: SparkSession, path: str, schema: StructType = sch
 def read_site_matrix(spark: SparkSession, path: str) -> DataFrame:
     """Per-site JSON: a struct of region counts per product."""
     return spark.read.schema(schemas.SITE_MATRIX).json(path)
+
+
+# What each byte order mark says.
+_ORDERS = {b"\xff\xfe": "UTF-16LE", b"\xfe\xff": "UTF-16BE"}
+
+
+def _running(pieces: DataFrame, value: Column, name: str) -> DataFrame:
+    """``pieces`` with the sum of ``value`` over all pieces in front of each in its file.
+
+    Sums are taken by split and then over splits, so a file is still many tasks.
+    """
+    sums = settle(pieces.groupBy("file", "split").agg(F.sum(value).alias("n")), "split_sums")
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    above = sums.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("above"))
+    inside = Window.partitionBy("file", "split").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.join(small(above), ["file", "split"]).withColumn(
+        name, F.col("above") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    ).drop("above")
+
+
+def wide_lines(spark: SparkSession, path: str, mark: bytes) -> DataFrame:
+    """Lines of UTF-16 files that begin with ``mark``, from splits of any size: ``(value)``.
+
+    Spark cuts at every byte 0A, which is half a line feed, or half of another letter.  In
+    little-endian files a cut ends a line if it has an even offset and a zero follows, in
+    big-endian ones if its offset is odd and a zero is in front.  Where all pieces of a
+    file have the length and the zero that whole lines have, they are the lines, and
+    nothing is shuffled.  The pieces of other files get their offsets and are put together.
+    """
+    encoding, little = _ORDERS[mark], mark == b"\xff\xfe"
+    pieces = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("bytes"),
+    )
+    size = F.octet_length("bytes")
+    zero, first = F.lit(b"\0"), (F.col("split") == 0) & F.startswith("bytes", F.lit(mark))
+    if little:
+        half = F.startswith("bytes", zero)
+        regular = F.when(first, size % 2 == 0).otherwise(half & (size % 2 == 1))
+        text = F.when(first, F.col("bytes")).otherwise(F.substring("bytes", F.lit(2), size))
+    else:
+        half = F.endswith("bytes", zero)
+        regular = half & (size % 2 == 1)
+        text = F.substring("bytes", F.lit(1), size - 1)
+    # At most one row a file.
+    torn = small(settle(pieces.where(~regular).select("file").distinct().withColumn("torn", F.lit(True)), "torn_files"))
+    # The text depends on the join, or filters on it would decode pieces of torn lines as well.
+    sound = F.col("torn").isNull()
+    whole = pieces.join(torn, "file", "left").where(sound).select(F.when(sound, F.decode(text, encoding)).alias("value"))
+    if not torn.take(1):
+        return whole
+    placed = settle(_running(pieces.join(torn.drop("torn"), "file"), size.cast("bigint") + 1, "start"), "placed")
+    odd = F.col("start") % 2 == 1
+    if little:
+        begins = F.when(odd & half, 1).otherwise(0)
+        numbered = _running(placed, begins, "line").withColumn("line", F.col("line") + begins)
+    else:
+        numbered = _running(placed, F.when(half & ((F.col("start") + size) % 2 == 1), 1).otherwise(0), "line")
+    glued = numbered.groupBy("file", "line").agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("parts"))
+    joined = F.unhex(F.array_join(F.transform("parts", lambda part: F.hex(part["bytes"])), "0A"))
+    lines = glued.select("line", joined.alias("bytes"))
+    if little:
+        # All but the first line begin with the second byte of a line feed.
+        text = F.when(F.col("line") == 0, F.col("bytes")).otherwise(F.substring("bytes", F.lit(2), size))
+    else:
+        # A line without a line feed, at the end of a file, has an even length.
+        text = F.substring("bytes", F.lit(1), size - size % 2)
+    return whole.unionByName(lines.select(F.decode(text, encoding).alias("value")))
+
+
+def read_wide_csv(spark: SparkSession, path: str, schema: StructType, sep: str = "|") -> DataFrame:
+    """UTF-16 CSV with a header, a large file in many tasks.
+
+    ``schema`` names the columns in the order of the header.  Files begin with a byte
+    order mark, all with the same; a line break always ends a row, also inside quotes.
+    Rows with too few columns have nulls.
+    """
+    first = spark.read.option("lineSep", "\n").text(path).select(F.substring(F.col("value").cast("binary"), 1, 2).alias("mark")).first()
+    if first is None:
+        return spark.createDataFrame([], schema)
+    mark = bytes(first["mark"])
+    if mark not in _ORDERS:
+        raise ValueError("the file does not begin with a UTF-16 byte order mark")
+    text = F.regexp_replace("value", "\r$", "")
+    # Only a header begins with the mark.
+    rows = wide_lines(spark, path, mark).select(text.alias("value")).where(~F.col("value").startswith("\ufeff") & (F.col("value") != ""))
+    columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
+    parsed = F.from_csv("value", columns, {"sep": sep, "mode": "PERMISSIVE"})
+    return rows.select(parsed.alias("row")).select("row.*")

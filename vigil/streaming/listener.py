@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections import deque
 
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
 
 logger = logging.getLogger(__name__)
@@ -30,3 +31,25 @@ class BatchInfo(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         logger.info("query %s ended: %s", event.id, event.exception)
+
+
+class BatchTable(BatchInfo):
+    """Batch progress as rows of a table in a shared folder.
+
+    Progress is collected as it comes and written by ``flush``, as a listener must not
+    hold up the queries it hears of.  Only batches that read rows are kept.
+    """
+
+    SCHEMA = "query_id string, batch_id long, rows long, duration_ms long"
+
+    def flush(self, spark: SparkSession, path: str) -> int:
+        """Append what has come since the last call; returns how many batches that were."""
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        rows = []
+        while self.batches:
+            batch = self.batches.popleft()
+            if batch[2]:
+                rows.append(batch)
+        if rows:
+            spark.createDataFrame(rows, self.SCHEMA).write.mode("append").parquet(path)
+        return len(rows)
