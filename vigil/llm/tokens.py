@@ -48,7 +48,7 @@ from vigil.session import scratch_path
 END_ID = 1
 BLOCK = 2048
 # Blocks coded at once, and bytes of text a file is made for.
-TOGETHER = 4096
+TOGETHER = 2048
 FILE_BYTES = 32 << 20
 # Word forms whose ids a task remembers.
 REMEMBERED = 400_000
