@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.common import mix, text_of, word_hashes
+from vigil.session import settle
 
 # Labelled rows that are learned from, at most; chosen by a hash of the id.
 SAMPLE = 5000
@@ -132,11 +133,38 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
 
 
+Shares = tuple[np.ndarray, np.ndarray]
+
+
+def shares_of(text: str, bits: int = BITS) -> Shares:
+    """The buckets of a text and their shares of its vector."""
+    places, shares = [], []
+    for group in features([text.encode()], bits):
+        group = np.concatenate([buckets for buckets, _ in group])
+        if len(group):
+            found, counts = np.unique(group, return_counts=True)
+            places.append(found)
+            shares.append((counts / len(group)).astype(np.float32))
+    if not places:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    # Groups may share buckets, so a bucket's shares are added up.
+    found, back = np.unique(np.concatenate(places), return_inverse=True)
+    return found.astype(np.int32), np.bincount(back, np.concatenate(shares)).astype(np.float32)
+
+
 def train(
     texts: list[str], labels: list[int], bits: int = BITS, dimension: int = DIMENSION, epochs: int = EPOCHS,
     rate: float = RATE, seed: int = 7,
 ) -> Model:
     """Learn bucket vectors and softmax weights by stochastic gradient descent."""
+    return train_shares([shares_of(text, bits) for text in texts], labels, bits, dimension, epochs, rate, seed)
+
+
+def train_shares(
+    documents: list[Shares], labels: list[int], bits: int = BITS, dimension: int = DIMENSION, epochs: int = EPOCHS,
+    rate: float = RATE, seed: int = 7,
+) -> Model:
+    """``train`` from the shares of each document."""
     size = (1 << bits) + 4
     if len(set(labels)) < 2:
         return Model(np.zeros(size, np.float32), 50.0, bits)
@@ -144,21 +172,6 @@ def train(
     vectors = random.uniform(-1 / dimension, 1 / dimension, (size, dimension)).astype(np.float32)
     weights = random.normal(0, 0.5, (dimension, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    documents = []
-    for text in texts:
-        places, shares = [], []
-        for group in features([text.encode()], bits):
-            group = np.concatenate([buckets for buckets, _ in group])
-            if len(group):
-                found, counts = np.unique(group, return_counts=True)
-                places.append(found)
-                shares.append((counts / len(group)).astype(np.float32))
-        # Groups may share buckets, so a bucket's shares are added up.
-        if places:
-            found, back = np.unique(np.concatenate(places), return_inverse=True)
-            documents.append((found, np.bincount(back, np.concatenate(shares)).astype(np.float32)))
-        else:
-            documents.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in random.permutation(len(documents)):
@@ -178,7 +191,12 @@ def train(
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` labelled documents outside the held-out part."""
+    """Train on at most ``sample`` labelled documents outside the held-out part.
+
+    Tasks turn the texts into shares of buckets, at most 2 ** BITS numbers a document
+    whatever its length; one task learns from those of the sample, and the driver gets
+    the table of the model only.
+    """
     spark = docs.sparkSession
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -189,13 +207,33 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # At most ``sample`` small rows, so they are sent to where the texts are.
     chosen = spark.createDataFrame(chosen.collect(), "doc_id long, quality int")
     text = text_of()
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-        .join(F.broadcast(chosen), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
-        .collect()
-    )
-    return train([r["text"] for r in rows], [int(r["quality"] == 1) for r in rows])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    keyed = rows.select(F.xxhash64("doc_id").alias("place"), "doc_id", F.xxhash64("text").alias("tie"), "quality", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch["text"].to_pylist()):
+                places, shares = shares_of(text)
+                lists = [pa.array([places.tobytes()], pa.binary()), pa.array([shares.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch[c].slice(i, 1) for c in names), *lists], [*names, "places", "shares"]
+                )
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, marks = [], []
+        for batch in batches:
+            for quality, places, shares in zip(*(batch[c].to_pylist() for c in ("quality", "places", "shares"))):
+                documents.append((np.frombuffer(places, np.int32), np.frombuffer(shares, np.float32)))
+                marks.append(int(quality == 1))
+        model = train_shares(documents, marks)
+        yield pa.RecordBatch.from_arrays([pa.array([model.values.tobytes()], pa.binary()), pa.array([model.bias])], ["values", "bias"])
+
+    names = ["place", "doc_id", "tie", "quality"]
+    counted = settle(keyed.mapInArrow(count, "place long, doc_id long, tie long, quality int, places binary, shares binary"), "shares")
+    # A bounded sample in one task and one order.
+    learned = counted.orderBy("place", "doc_id", "tie").limit(sample).select("quality", "places", "shares")
+    model = learned.coalesce(1).mapInArrow(fit, "values binary, bias double").first()
+    return Model(np.frombuffer(model["values"], np.float32), model["bias"])
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
