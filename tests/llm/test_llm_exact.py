@@ -26,6 +26,30 @@ def test_index_remembers_earlier_batches(spark):
     assert [r.doc_id for r in exact.distinct_documents(documents(spark, (6, "b"), (7, "d")), index).collect()] == [7]
 
 
+def test_a_batch_can_be_given_again(spark):
+    docs = documents(spark, (1, "a"), (2, "a"), (2, "a"), (3, "b"), (4, "c"))
+    index = exact.new_index(spark, buckets=4)
+    exact.deduplicate(documents(spark, (9, "c")), index, "first")
+    once = sorted(map(tuple, exact.deduplicate(docs, index, "second").collect()))
+    assert [r[:4] for r in once] == [(1, 1, 3, True), (2, 1, 3, False), (2, 1, 3, False), (3, 3, 1, True), (4, 9, 1, False)]
+    # The digests are in the index, the rows of the result were not written: all again.
+    assert sorted(map(tuple, exact.deduplicate(docs.repartition(3), index, "second").collect())) == once
+    assert sorted(r.doc_id for r in exact.distinct_documents(docs, index, "second").collect()) == [1, 3]
+    assert index.read().count() == 3
+    assert not any(r.kept for r in exact.deduplicate(docs, index, "third").collect())
+
+
+def test_a_batch_that_was_added_in_part(spark):
+    docs = documents(spark, (1, "a"), (2, "b"), (3, "b"))
+    index = exact.new_index(spark, buckets=4)
+    whole = exact.digests(docs).selectExpr("*", "monotonically_increasing_id() AS __row")
+    index.append(whole.where("doc_id = 1"), "batch")
+    assert _by_id(exact.deduplicate(docs, index, "batch")) == {1: (1, 1, True), 2: (2, 2, True), 3: (2, 2, False)}
+    assert index.read().count() == 2
+    index.drop()
+    assert not spark.catalog.tableExists(index.name)
+
+
 def test_index_is_not_shuffled(spark):
     index = exact.new_index(spark, buckets=4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
