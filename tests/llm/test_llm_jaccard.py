@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from conftest import SF
 from llm_helpers import AWKWARD, documents, plain_groups, shingles
 from vigil.llm import jaccard
 
@@ -40,6 +41,35 @@ def test_large_group_of_near_copies(spark):
     assert {r.component_id for r in jaccard.near_duplicates(documents(spark, *rows)).collect()} == {0}
 
 
+def test_groups_of_the_given_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    found = jaccard.near_duplicates(docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == plain_groups(rows, 3, 90)
+
+
+def test_smallest_grams_of_windows():
+    for size in (1, 2, 15, 16, 17, 60):
+        hashes = np.random.default_rng(size).integers(0, 2**63, size).astype(np.uint64)
+        width = min(size, jaccard.WINDOW)
+        assert jaccard.smallest(hashes).tolist() == [min(hashes[i : i + width]) for i in range(size - width + 1)]
+
+
+def test_a_shared_passage_comes_last(spark):
+    rng = random.Random(9)
+    # Every word is as rare as any other, so only counts of grams tell the passage.
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(40))
+    rows = [(i, " ".join(f"a{i}x{k}" for k in range(30)) + f" {passage} " + " ".join(f"b{i}x{k}" for k in range(30))) for i in range(40)]
+    texts = documents(spark, *rows).select("text")
+    order, often = jaccard.sketch(texts, 3)
+    # As in a table so large that 40 documents do not stand out of a counter.
+    order.excess[:] = 0
+    counted = jaccard.passages(texts, order, often, 3).groupBy("gram").agg({"n": "sum"}).collect()
+    by = {r[0] % 2**64: r[1] for r in counted}
+    assert all(by.get(g) == 40 for g in jaccard.grams(passage, 3).tolist())
+    assert {r.component_id for r in jaccard.near_duplicates(documents(spark, *rows)).collect()} == set(range(40))
+
+
 @pytest.mark.parametrize("length", [1, 2, 3, 4])
 def test_similar_sets_share_enough_of_every_prefix(length):
     rng = np.random.default_rng(length)
@@ -72,7 +102,7 @@ def test_bitmaps_rule_out_no_link():
 
 def test_order_knows_frequent_grams(spark):
     rows = [(i, f"shared passage of words u{i} v{i} w{i} the") for i in range(400)]
-    order = jaccard.sketch(documents(spark, *rows).select("text"), 3)
+    order, _ = jaccard.sketch(documents(spark, *rows).select("text"), 3)
     found, expected = order.grams(rows[7][1], 3)
     by = dict(zip(found.tolist(), expected.tolist()))
     frequent = jaccard.grams("shared passage of", 3).tolist() + jaccard.grams("passage of words", 3).tolist()

@@ -8,9 +8,12 @@ grams are asked for before a pair is verified.  A pair is held to the smaller l
 
 The order is by how many documents are expected to hold a gram: the product of its words'
 shares, or its own count where that stands out.  Both come from count sketches over all
-documents (a fixed number of counters; any order gives the same result), and grams whose
-lists turn out long in a first round of prefixes come last.  Only prefixes
-are shuffled; grams that a single set has in its prefix fall out by a count.
+documents (a fixed number of counters; any order gives the same result).  A passage of rare
+words that many documents share looks rare to them.  So the smallest gram of every window
+of WINDOW grams is counted exactly, which is the same one in every copy of a passage; where
+it occurs in more than LONG_LIST documents, the grams of its window are counted too, and
+those as frequent come last in the order.  Only prefixes are shuffled; grams that a single
+set has in its prefix fall out by a count.
 
 The result is connected components, so pairs inside a component need no verification:
 
@@ -36,11 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from vigil.llm.common import BLOOM_BITS, LOWER, bloom, components, counters, join_groups, mix, text_of, word_hashes
+from vigil.llm.common import BLOOM_BITS, LOWER, bloom, components, join_groups, mix, text_of, word_hashes
 from vigil.session import drop_scratch, scratch_mark, settle
 
 WORDS = 3
@@ -51,13 +54,19 @@ LONGEST = 4
 # Grams read for the price of one list entry, when a pair is verified.
 VERIFY_SHARE = 0.25
 STARS = 2
-# A gram that more sets than this have in their first prefixes is taken for so frequent.
+# Grams in a window whose smallest is counted.
+WINDOW = 16
+# A gram of a shared passage that more documents than this have is taken for so frequent.
 LONG_LIST = 4
 FREQUENT = 1000.0
 # Hash remainders that say whether a prefix gram may be in two sets.
 SLOT_BITS = 26
 # Bits of a set's bitmap, which rules out most pairs without their grams.
 BITMAP = 2048
+# Grams that a task adds up before it gives them.
+BATCH = 1 << 20
+# Counters that travel as one row.
+COUNTERS = 1 << 15
 
 
 def _windows(words: np.ndarray, n: int) -> np.ndarray:
@@ -97,8 +106,8 @@ class Order:
     def slots(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def grams(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted distinct grams of a text, and how many documents should hold each."""
+    def by_place(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The grams of a text as they follow each other, and how many documents should hold each."""
         words = _words(text)
         hashes = _windows(words, n)
         size = min(n, len(words))
@@ -108,16 +117,33 @@ class Order:
         log = share[: len(hashes)].copy()
         for k in range(1, size):
             log += share[k : k + len(hashes)]
+        return hashes, np.maximum(np.exp2(log + self.total), self.excess[self.slots(hashes)])
+
+    def grams(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct grams of a text, and how many documents should hold each."""
+        hashes, expected = self.by_place(text, n)
         found, first = np.unique(hashes, return_index=True)
-        expected = np.exp2(log[first] + self.total)
-        expected = np.maximum(expected, self.excess[self.slots(found)])
+        expected = expected[first]
         if self.frequent is not None:
-            bit = found.view(np.int64) % BLOOM_BITS
-            held = self.frequent[bit >> 5] >> (bit & 31).astype(np.uint32) & 1
-            expected = np.where(held == 1, np.maximum(expected, FREQUENT), expected)
+            expected = np.where(_held(self.frequent, found), np.maximum(expected, FREQUENT), expected)
         return found, expected
 
 
+def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a Bloom filter may have."""
+    bit = hashes.view(np.int64) % BLOOM_BITS
+    return bits[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1) == 1
+
+
+def smallest(hashes: np.ndarray) -> np.ndarray:
+    """The smallest gram of every window of WINDOW grams; of all grams where they are fewer."""
+    out, width = hashes, 1
+    while width < WINDOW and len(out) > 1:
+        step = min(width, WINDOW - width, len(out) - 1)
+        out, width = np.minimum(out[:-step], out[step:]), width + step
+    return out
+
+
 def _set_id(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -127,17 +153,97 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def sketch(docs: DataFrame, n: int, bits: int = SKETCH_BITS) -> Order:
-    """Counts of all documents' distinct grams, and of their words, by hash remainders."""
+def sketch(docs: DataFrame, n: int, bits: int = SKETCH_BITS) -> tuple[Order, np.ndarray]:
+    """Counts of all documents' distinct grams, and of their words, by hash remainders; and
+    a Bloom filter of the smallest grams of windows that many documents have.
+
+    One pass: counters come out of a task at its end, smallest grams as it goes.
+    """
     size = 1 << bits
 
-    def count(counts: np.ndarray, text: str) -> None:
-        words = _words(text)
-        for place, hashes in ((0, np.unique(_windows(words, n))), (size, words)):
-            np.add.at(counts, (hashes >> np.uint64(64 - bits)).astype(np.int64) + place, np.uint32(1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2 * size, np.uint32)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                low = []
+                for text in batch["text"].slice(start, 1000).to_pylist():
+                    words = _words(text)
+                    hashes = _windows(words, n)
+                    for place, some in ((0, np.unique(hashes)), (size, words)):
+                        np.add.at(counts, (some >> np.uint64(64 - bits)).astype(np.int64) + place, np.uint32(1))
+                    low.append(np.unique(smallest(hashes)))
+                yield from _counted(low)
+        for i in range(0, 2 * size, COUNTERS):
+            part = counts[i : i + COUNTERS]
+            if part.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([i // COUNTERS], pa.int32()), pa.array([part.tobytes()], pa.binary())],
+                    ["gram", "n", "part", "counts"],
+                )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = np.zeros(COUNTERS, np.uint64), None
+        for batch in batches:
+            for part, counts in zip(batch["part"].to_pylist(), batch["counts"].to_pylist()):
+                total[: len(counts) // 4] += np.frombuffer(counts, np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+
+    found = settle(docs.mapInArrow(run, "gram long, n int, part int, counts binary"), "sketch")
+    out = np.zeros(max(2 * size, COUNTERS), np.uint64)
+    # A fixed number of counters, whatever the input.
+    for row in found.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+        out[row["part"] * COUNTERS : (row["part"] + 1) * COUNTERS] = np.frombuffer(row["counts"], np.uint64)
+    return Order(out[:size], out[size : 2 * size]), bloom(_often(found.where("part is null")), "gram")
+
+
+def _counted(some: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """How many of the arrays have each gram, as rows without counters."""
+    found, times = np.unique(np.concatenate(some), return_counts=True)
+    for start in range(0, len(found), 100_000):
+        part = found[start : start + 100_000].view(np.int64)
+        times_of = pa.array(times[start : start + 100_000].astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part), times_of, pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())], ["gram", "n", "part", "counts"]
+        )
 
-    out = counters(docs, 2 * size, count)
-    return Order(out[:size], out[size:])
+
+def _often(counted: DataFrame) -> DataFrame:
+    """The grams that more than LONG_LIST documents have, as a kept table."""
+    return settle(counted.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > LONG_LIST).select("gram"), "frequent")
+
+
+def passages(docs: DataFrame, order: Order, often: np.ndarray, n: int) -> DataFrame:
+    """``(gram, n)``: grams that look rare, in windows whose smallest gram many documents have.
+
+    A task adds up BATCH grams at a time, so copies that lie together bring their grams once.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((order, often))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, often = shared.value
+        some, held = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                for text in batch["text"].slice(start, 1000).to_pylist():
+                    hashes, expected = order.by_place(text, n)
+                    low = smallest(hashes)
+                    at = np.flatnonzero(_held(often, low))
+                    if not len(at):
+                        continue
+                    # +1 where a window begins, -1 behind its end.
+                    edges = np.zeros(len(hashes) + 1, np.int64)
+                    np.add.at(edges, at, 1)
+                    np.add.at(edges, at + len(hashes) - len(low) + 1, -1)
+                    inside = np.cumsum(edges[:-1]) > 0
+                    some.append(np.unique(hashes[inside & (expected <= LONG_LIST)]))
+                    held += len(some[-1])
+                    if held > BATCH:
+                        yield from _counted(some)
+                        some, held = [], 0
+        if some:
+            yield from _counted(some)
+
+    return docs.mapInArrow(run, "gram long, n int, part int, counts binary").select("gram", "n")
 
 
 def adaptive_prefix(found: np.ndarray, expected: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -239,7 +345,7 @@ def _repeated(sets: DataFrame) -> np.ndarray:
 
 
 def _lists(sets: DataFrame) -> DataFrame:
-    """``(gram, set, size, level, l)`` of the prefix grams that more than one set may have."""
+    """``(gram, set, size, place, level, l)`` of the prefix grams that more than one set may have."""
     shared = sets.sparkSession.sparkContext.broadcast(_repeated(sets.select("prefix")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,12 +363,12 @@ def _lists(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(prefix[at].view(np.int64)), pa.array(batch["set"].to_numpy()[row[at]]), pa.array(batch["size"].to_numpy()[row[at]]),
-                        pa.array(level[at].astype(np.int32)), pa.array(length[at].astype(np.int32)),
+                        pa.array(place[at].astype(np.int32)), pa.array(level[at].astype(np.int32)), pa.array(length[at].astype(np.int32)),
                     ],
-                    ["gram", "set", "size", "level", "l"],
+                    ["gram", "set", "size", "place", "level", "l"],
                 )
 
-    return sets.mapInArrow(run, "gram long, set long, size int, level int, l int")
+    return sets.mapInArrow(run, "gram long, set long, size int, place int, level int, l int")
 
 
 def _shared_lists(lists: DataFrame, by: str) -> DataFrame:
@@ -332,8 +438,21 @@ def _linked(texts: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, per
     return settle(verified(pairs, settle(sets_of(texts, wanted, words), "sets"), percent), "links")
 
 
-def _close(size_a: Column, size_b: Column, percent: int) -> Column:
-    return 100 * F.least(size_a, size_b) >= F.lit(percent) * F.greatest(size_a, size_b)
+def _ranked(lists: DataFrame) -> DataFrame:
+    """Entries with ``before``: how many grams before theirs in the prefix other prefixes have too."""
+    return lists.withColumn("before", F.row_number().over(Window.partitionBy("set").orderBy("place")) - 1)
+
+
+def _close(a: str, b: str, percent: int) -> Column:
+    """Whether sets that share a gram at these places may share enough of all grams.
+
+    ``a`` and ``b`` are the endings of the column names.  Where two sets have a gram in
+    their prefixes, whatever rarer gram they share is in both prefixes as well, so it is one
+    of those ``before`` it in either; what comes later is bounded by the shorter rest.
+    """
+    size_a, size_b = F.col(f"size{a}"), F.col(f"size{b}")
+    rest = F.least(size_a - F.col(f"place{a}"), size_b - F.col(f"place{b}"))
+    return (100 + percent) * (F.least(f"before{a}", f"before{b}") + rest) >= F.lit(percent) * (size_a + size_b)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -348,25 +467,21 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     """Documents ``(doc_id, set, size)``, and sets ``(set, root, low, copies, component_id)``."""
     spark, mark = docs.sparkSession, scratch_mark(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    order = sketch(texts, words)
-    # A passage of rare words that many documents share looks rare.  The lists of a first
-    # round of prefixes show it, and its grams go to the end of the order.
-    first = settle(prefixes(texts, order, words, percent).where("prefix is not null").select("set", "size", "l", "prefix"), "first")
-    seen = _lists(first).groupBy("gram").count().where(F.col("count") > LONG_LIST)
-    order.frequent = bloom(settle(seen.select("gram"), "frequent"), "gram")
+    order, often = sketch(texts, words)
+    order.frequent = bloom(_often(passages(texts, order, often, words)), "gram")
     drop_scratch(spark, mark)
     kept = settle(prefixes(texts, order, words, percent), "prefixes")
     members = settle(kept.where("prefix is null").select("doc_id", "set", "size"), "members")
     prefixed = kept.where("prefix is not null")
     sets = settle(prefixed.select("set", "size", "bits").dropDuplicates(["set"]), "bitmaps")
     lists = _lists(prefixed.select("set", "size", "l", "prefix"))
-    lists = settle(_shared_lists(lists, "set").distinct(), "lists")
+    lists = settle(_ranked(_shared_lists(lists, "set").distinct()), "lists")
 
     stars = None
     for star in range(STARS):
-        place = F.struct(F.xxhash64("set", F.lit(star)).alias("order"), F.col("set").alias("b"), F.col("size").alias("size_b"), F.col("l").alias("l_b"))
-        first = lists.groupBy("gram").agg(F.min(place).alias("first")).select("gram", "first.b", "first.size_b", "first.l_b")
-        pairs = lists.join(first, "gram").where((F.col("set") != F.col("b")) & _close(F.col("size"), F.col("size_b"), percent))
+        of_b = [F.col(c).alias(f"{c}_b") for c in ("size", "place", "before", "l")]
+        first = lists.groupBy("gram").agg(F.min(F.struct(F.xxhash64("set", F.lit(star)).alias("order"), F.col("set").alias("b"), *of_b)).alias("first"))
+        pairs = lists.join(first.select("gram", "first.*"), "gram").where((F.col("set") != F.col("b")) & _close("", "_b", percent))
         shares = pairs.groupBy(F.col("set").alias("a"), "b").agg(F.count("*").alias("shared"), F.min(F.least("l", "l_b")).alias("l"))
         # The partner that a set shares most lists with.
         chosen = shares.where("shared >= l").groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
@@ -374,12 +489,12 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     links = _linked(texts, sets, stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), words, percent)
     groups = components(links, "groups")
     left = settle(_shared_lists(_labelled(lists, groups), "root"), "left")
-    a = left.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("set", "size", "level", "l", "root")])
-    b = left.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("set", "size", "level", "l", "root")])
+    entry = ("set", "size", "place", "before", "level", "l", "root")
+    a, b = (left.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in entry]) for side in "ab")
     pairs = (
         a.join(b, "gram")
         .where("set_a < set_b AND root_a <> root_b AND level_a <= l_b AND level_b <= l_a")
-        .where(_close(F.col("size_a"), F.col("size_b"), percent))
+        .where(_close("_a", "_b", percent))
         .groupBy(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
         .agg(F.count("*").alias("shared"), F.min(F.least("l_a", "l_b")).alias("l"))
         .where("shared >= l")
