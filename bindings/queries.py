@@ -1417,4 +1417,4 @@ def _(t):
 
 
 # Further queries register themselves.
-from bindings import streams, users  # noqa: E402, F401
+from bindings import streams, users, wordspace  # noqa: E402, F401
