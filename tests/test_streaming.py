@@ -6,7 +6,9 @@ from conftest import rows_of
 from test_parse import FW, LOGIN, LOGOUT, PLAIN, SHELL
 from vigil import schemas
 from vigil.operators import parse
+from vigil.session import scratch_root
 from vigil.sinks import ingest as batch
+from vigil.sinks import tables
 from vigil.sources.lines import read_hosted_lines
 from vigil.sources.tables import date_slice, read_events
 from vigil.streaming import ingest
@@ -60,6 +62,15 @@ def test_repeated_batch_replaces_itself(spark, tmp_path, lines):
     assert left.count() == 1
 
 
+def test_a_batch_is_no_cache(spark, tmp_path, lines, monkeypatch):
+    held = []
+    monkeypatch.setattr(tables, "store", lambda df, path, run: held.append(len(spark.sparkContext._jsc.getPersistentRDDs())))
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    ingest.save_batch(str(tmp_path / "out"), year=2024)(lines(SHELL, LOGIN, "noise"), 1)
+    assert held == [before] * 2
+    assert not list(Path(scratch_root(spark).removeprefix("file:")).glob("micro-batch-*"))
+
+
 def test_hosted_lines(spark, tmp_path):
     land(tmp_path / "in", "x", "a.log", f"dc1-net-bc\t{PLAIN}", "no tab")
     stream = ingest.stream_hosted_lines(spark, str(tmp_path / "in" / "dt=*"))

@@ -56,14 +56,14 @@ def ingest_logs(
         tables.store_rejects(parse.rejects(split), rejects or f"{root}/rejects", run)
 
 
-def _staged(split: DataFrame) -> DataFrame:
+def _staged(split: DataFrame, path: str | None = None) -> DataFrame:
     """Routed lines cut once and kept by kind, so each table reads its own part only.
 
     A written table rather than a cache: it is a fraction of the raw text, does not
     need the cluster's memory and outlives lost executors.
     """
     spark = split.sparkSession
-    path = scratch_path(spark, "routed")
+    path = path or scratch_path(spark, "routed")
     kept = split.select(
         "kind",
         F.col("date").isNotNull().alias("read"),
