@@ -46,6 +46,20 @@ def test_generated_domains_are_told_apart(spark, material, tables, kind, grid, m
     assert clients.select("host").distinct().count() == flagged.count()
 
 
+def test_few_names_of_a_category_are_told_apart(spark):
+    # One name in 100 is legitimate, as with many generated ones; told apart by their entropy.
+    rows = spark.range(4_000).selectExpr(
+        "concat('n', id) as domain", "if(id % 100 = 0, 'legit', 'dga') as category", "24D as length",
+        "if(id % 100 = 0, 3.2D, 4D) + (conv(substr(md5(string(id)), 1, 4), 16, 10) / 65536 - 0.5) * 0.6 as entropy",
+        "0D as high_entropy", "0D as high_length", "40D as legit_grams", "1D as word_grams",
+    )
+    train, held_out = dga.split(rows)
+    found = dga.evaluate(dga.fit(train, "logistic", {"regParam": [0.05]}, folds=2), held_out).collect()
+    for category in ("dga", "legit"):
+        hits = {r["predicted"]: r["hits"] for r in found if r["category"] == category}
+        assert hits.get(category, 0) >= 0.9 * sum(hits.values())
+
+
 def test_split_does_not_depend_on_row_order(material):
     rows, _ = material
     a = {r["domain"] for r in dga.split(rows)[0].collect()}

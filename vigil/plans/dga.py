@@ -121,10 +121,26 @@ def _classifier(kind: str, seed: int):
     if kind == "forest":
         return RandomForestClassifier(seed=seed, **columns), FOREST_GRID
     if kind == "logistic":
-        return LogisticRegression(**columns), LOGISTIC_GRID
+        return LogisticRegression(weightCol="weight", **columns), LOGISTIC_GRID
     raise ValueError(f"unknown classifier {kind}")
 
 
+def _balanced(df: DataFrame) -> DataFrame:
+    """Rows with a ``weight`` by which all categories weigh the same in total.
+
+    Generated names grow with the logs and hosts hardly do: where one in a hundred names is
+    legitimate, a regularised model without weights calls them all generated.
+    """
+    # A row a category.
+    counts = df.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()
+    whole = sum(r["n"] for r in counts)
+    weight = F.lit(1.0)
+    for row in counts:
+        share = whole / (len(counts) * row["n"])
+        weight = F.when(F.col("category").eqNullSafe(F.lit(row["category"])), F.lit(share)).otherwise(weight)
+    return df.withColumn("weight", weight)
+
+
 def _evaluator(metric: str) -> Evaluator:
     if metric == "areaUnderROC":
         return BinaryClassificationEvaluator(metricName=metric, labelCol="label")
@@ -144,7 +160,8 @@ def fit(
 ) -> CrossValidatorModel:
     """Cross-validated model over the feature columns.
 
-    Labels are indexed by name, so 0 is ``dga`` whatever its frequency.
+    Labels are indexed by name, so 0 is ``dga`` whatever its frequency.  The logistic model
+    weighs rows so that each category counts as much as the other.
     """
     classifier, default_grid = _classifier(kind, seed)
     builder = ParamGridBuilder()
@@ -169,7 +186,7 @@ def fit(
     )
     # Read once per grid point, fold and iteration; lost blocks are read again.
     kept = settle(df.withColumn("fold", _share_of(seed + 1, folds)), "training")
-    ready = training_rows(kept, "domain", "category").persist()
+    ready = training_rows(_balanced(kept) if kind == "logistic" else kept, "domain", "category").persist()
     try:
         return search.fit(ready)
     finally:
