@@ -71,18 +71,72 @@ def read_site_matrix(spark: SparkSession, path: str) -> DataFrame:
 _ORDERS = {b"\xff\xfe": "UTF-16LE", b"\xfe\xff": "UTF-16BE"}
 
 
-def _running(pieces: DataFrame, value: Column, name: str) -> DataFrame:
-    """``pieces`` with the sum of ``value`` over all pieces in front of each in its file.
+# What ``_cut`` yields: whole lines, and what is left at both ends of a split.
+_LINES = "value string"
+_EDGES = "place bigint, part int, closes boolean, bytes binary"
 
-    Sums are taken by split and then over splits, so a file is still many tasks.
+
+def _cut(encoding: str, edges: bool):
+    """Lines inside of splits, or (``edges``) the bytes in front of their first and behind their last line feed.
+
+    For ``mapInArrow`` on (place, above, bytes) in the order of the file, ``place`` naming a
+    split and ``above`` being the bytes in front of it.  A split begins behind a byte 0A, so
+    half a letter in front of it is that byte.
     """
-    sums = settle(pieces.groupBy("file", "split").agg(F.sum(value).alias("n")), "split_sums")
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    above = sums.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("above"))
-    inside = Window.partitionBy("file", "split").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.join(small(above), ["file", "split"]).withColumn(
-        name, F.col("above") + F.coalesce(F.sum(value).over(inside), F.lit(0))
-    ).drop("above")
+    unit = "<u2" if encoding == "UTF-16LE" else ">u2"
+
+    def found(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def joined(pieces):
+            pieces = pieces.cast(pa.large_binary())
+            _, ends, data = pieces.buffers()
+            ends = np.frombuffer(ends, np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+            data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
+            return np.insert(data, ends[1:] - ends[0], 10).tobytes()
+
+        def out(rows):
+            if not edges:
+                return pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["value"])
+            types = (pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+            return pa.RecordBatch.from_arrays(columns, ["place", "part", "closes", "bytes"])
+
+        def tail():
+            # What is no whole letter belongs to the next split, or is behind the file.
+            return place, 1, False, held[: len(held) - len(held) % 2]
+
+        place, held, opened = None, b"", False
+        for batch in batches:
+            places, above = (batch.column(i).to_numpy() for i in range(2))
+            if not len(places):
+                continue
+            rows, cuts = [], [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), len(places)]
+            for first, end in zip(cuts, cuts[1:]):
+                if place != places[first]:
+                    if place is not None and edges:
+                        rows.append(tail())
+                    place, opened, held = int(places[first]), above[first] == 0, b"\n" if above[first] % 2 else b""
+                held += joined(batch.column(2).slice(first, end - first))
+                feeds = np.flatnonzero(np.frombuffer(held, unit, len(held) // 2) == 10)
+                if not len(feeds):
+                    continue
+                begin, last = 0, 2 * int(feeds[-1])
+                if not opened:
+                    begin = 2 * int(feeds[0]) + 2
+                    opened = True
+                    if edges:
+                        rows.append((place, 0, True, held[: begin - 2]))
+                if not edges and begin <= last:
+                    rows += held[begin:last].decode(encoding, "replace").split("\n")
+                held = held[last + 2 :]
+            if rows:
+                yield out(rows)
+        if place is not None and edges:
+            yield out([tail()])
+
+    return found
 
 
 def wide_lines(spark: SparkSession, path: str, mark: bytes) -> DataFrame:
@@ -92,7 +146,8 @@ def wide_lines(spark: SparkSession, path: str, mark: bytes) -> DataFrame:
     little-endian files a cut ends a line if it has an even offset and a zero follows, in
     big-endian ones if its offset is odd and a zero is in front.  Where all pieces of a
     file have the length and the zero that whole lines have, they are the lines, and
-    nothing is shuffled.  The pieces of other files get their offsets and are put together.
+    nothing is shuffled.  The pieces of other files are put together split by split, from the
+    sums of the bytes in front of each; only what crosses the end of a split is shuffled.
     """
     encoding, little = _ORDERS[mark], mark == b"\xff\xfe"
     pieces = spark.read.option("lineSep", "\n").text(path).select(
@@ -116,23 +171,24 @@ def wide_lines(spark: SparkSession, path: str, mark: bytes) -> DataFrame:
     whole = pieces.join(torn, "file", "left").where(sound).select(F.when(sound, F.decode(text, encoding)).alias("value"))
     if not torn.take(1):
         return whole
-    placed = settle(_running(pieces.join(torn.drop("torn"), "file"), size.cast("bigint") + 1, "start"), "placed")
-    odd = F.col("start") % 2 == 1
-    if little:
-        begins = F.when(odd & half, 1).otherwise(0)
-        numbered = _running(placed, begins, "line").withColumn("line", F.col("line") + begins)
-    else:
-        numbered = _running(placed, F.when(half & ((F.col("start") + size) % 2 == 1), 1).otherwise(0), "line")
-    glued = numbered.groupBy("file", "line").agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("parts"))
-    joined = F.unhex(F.array_join(F.transform("parts", lambda part: F.hex(part["bytes"])), "0A"))
-    lines = glued.select("line", joined.alias("bytes"))
-    if little:
-        # All but the first line begin with the second byte of a line feed.
-        text = F.when(F.col("line") == 0, F.col("bytes")).otherwise(F.substring("bytes", F.lit(2), size))
-    else:
-        # A line without a line feed, at the end of a file, has an even length.
-        text = F.substring("bytes", F.lit(1), size - size % 2)
-    return whole.unionByName(lines.select(F.decode(text, encoding).alias("value")))
+    # A row a split of 128 MB, with what lies in front of it.
+    sums = pieces.join(torn.drop("torn"), "file").groupBy("file", "split").agg(F.sum(size.cast("bigint") + 1).alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("n").over(before), F.lit(0)).alias("above")
+    above = settle(sums.select("file", "split", offset, F.monotonically_increasing_id().alias("place")), "splits")
+    # Broadcast, so that pieces stay where and in the order they were read.
+    placed = pieces.join(F.broadcast(above), ["file", "split"]).select("place", "above", "bytes")
+    lines = placed.mapInArrow(_cut(encoding, False), _LINES)
+    ends = settle(placed.mapInArrow(_cut(encoding, True), _EDGES), "split_ends").join(above.drop("above"), "place")
+    # Lines over the end of a split: what follows a line feed up to the next one that closes.
+    order = Window.partitionBy("file").orderBy("split", "part").rowsBetween(Window.unboundedPreceding, -1)
+    line = F.coalesce(F.sum(F.col("closes").cast("int")).over(order), F.lit(0))
+    glued = ends.withColumn("line", line).groupBy("file", "line").agg(
+        F.array_sort(F.collect_list(F.struct("split", "part", "bytes"))).alias("parts"), F.max("closes").alias("closes")
+    )
+    joined = F.unhex(F.array_join(F.transform("parts", lambda part: F.hex(part["bytes"])), ""))
+    crossing = glued.select("closes", joined.alias("bytes")).where("closes or octet_length(bytes) > 0")
+    return whole.unionByName(lines).unionByName(crossing.select(F.decode("bytes", encoding).alias("value")))
 
 
 def read_wide_csv(spark: SparkSession, path: str, schema: StructType, sep: str = "|") -> DataFrame:
