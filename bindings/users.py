@@ -118,7 +118,9 @@ def _(t):
     told = held_out.join(scored, held_out["user"].eqNullSafe(scored["user"])).select("risky", "risk")
     right = told.agg(F.avg(F.expr("double(risky = int(risk >= 0.5))")).alias("right"))
     whole = features.agg(F.count("*").alias("users"), F.sum("risky").alias("risky"))
-    return whole.join(F.broadcast(right)).select("users", "risky", (F.col("right") >= 0.8).alias("accurate"))
+    # One row each, put side by side without a join.
+    both = whole.unionByName(right, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("users", "risky", "right")])
+    return both.select("users", "risky", (F.col("right") >= 0.8).alias("accurate"))
 
 
 # --- versions ---------------------------------------------------------------------
