@@ -116,3 +116,19 @@ def test_other_columns_stay(spark, bash):
     found = wordspace.assign(words, model, clash, size=4)
     assert found.columns == ["command", "username", "key", "hits", "word", "prediction"]
     assert found.filter("key <> 'k' or hits <> 2 or word <> 'w'").count() == 0
+
+
+def test_groups_do_not_change_sums(spark, bash, monkeypatch):
+    def found():
+        words = wordspace.learn(bash, size=6)
+        return rows_of(words), rows_of(wordspace.vectors(words, bash, size=6).selectExpr("key", "hits", "string(features)"))
+
+    whole = found()
+    monkeypatch.setattr(wordspace, "CELLS", 32)
+    assert found() == whole
+
+
+def test_words_too_large_for_packing_are_refused(spark, bash):
+    words = spark.createDataFrame([(1, [40_000, 0])], "word long, vector array<long>")
+    with pytest.raises(Exception, match="16 bits"):
+        wordspace.vectors(words, bash, size=2).collect()

@@ -13,8 +13,12 @@ count as often as they occur.  Sums stay exact up to 2^53, some 10^11 commands a
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +33,10 @@ WINDOW = 5
 # A weight is a logarithm in thousandths; the largest entry of a direction is UNIT.
 WEIGHT = 1_000
 UNIT = 10_000
+# Numbers of a group that are added up side by side with all vectors.
+CELLS = 1 << 22
+# Rows a partition of training, where there are more than TRAINERS times as many.
+TRAINING_ROWS = 20_000
 
 
 def bucket(word: Column, buckets: int = BUCKETS) -> Column:
@@ -86,36 +94,92 @@ def pair_weights(pairs: DataFrame) -> DataFrame:
     chance = F.col("n").cast("double") * F.lit(total) / (
         F.col("total").cast("double") * F.col("near_total").cast("double")
     )
-    return held.select("word", "near", F.floor(F.log(chance) * WEIGHT).alias("weight")).filter("weight > 0")
+    return held.select("word", "near", F.floor(F.log(chance) * WEIGHT).cast("int").alias("weight")).filter("weight > 0")
 
 
 def _directions(words: DataFrame, size: int) -> DataFrame:
-    """(word, vector): a direction of its own for each word, by the digests of its bucket and places."""
-    sign = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.when(F.substring(F.md5(F.concat_ws(":", F.col("word"), i)), 1, 1) < "8", F.lit(UNIT))
-        .otherwise(F.lit(-UNIT)).cast("bigint"),
+    """(word, packed): a direction of its own for each word, by the digests of its bucket and places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = [
+                [UNIT if md5(b"%d:%d" % (word, i)).digest()[0] < 128 else -UNIT for i in range(size)]
+                for word in batch["word"].to_pylist()
+            ]
+            yield _packed(batch["word"], np.array(signs, np.int64).reshape(-1, size))
+
+    return sizing.spread(words.select("word")).mapInArrow(run, _PACKED)
+
+
+# Vectors travel as 16-bit numbers: entries of one are at most UNIT, of a sum of three 3 * UNIT.
+_PACKED = "word long, packed binary"
+
+
+def _packed(words: pa.Array, found: np.ndarray) -> pa.RecordBatch:
+    if found.size and np.abs(found).max() > np.iinfo(np.int16).max:
+        raise ValueError("an entry of a word's vector does not fit 16 bits")
+    return pa.RecordBatch.from_arrays(
+        [words, pa.array([row.tobytes() for row in found.astype("<i2")], pa.binary())], ["word", "packed"]
     )
-    return words.select("word", sign.alias("vector"))
 
 
-def _summed(rows: DataFrame, key: str, size: int, *others: Column, times: Column | None = None) -> DataFrame:
-    """(key, vector): the sum of the vectors of a key, each taken ``times`` times."""
-    entries = [F.get("vector", F.lit(i)) for i in range(size)]
-    sums = [F.sum(e if times is None else e * times).alias(f"v{i}") for i, e in enumerate(entries)]
-    held = rows.groupBy(key).agg(*sums, *others)
-    rest = [c for c in held.columns if c == key or c not in {f"v{i}" for i in range(size)}]
-    return held.select(*rest, F.array(*[f"v{i}" for i in range(size)]).alias("vector"))
+def _unpacked(packed: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
+    """A row a vector; null stands for zeros."""
+    none = bytes(2 * size)
+    return np.frombuffer(b"".join(none if p is None else p for p in packed.to_pylist()), "<i2").reshape(-1, size)
+
+
+class _Vectors:
+    """Vectors of words, a column an entry, to add up by."""
+
+    def __init__(self, table: pa.Table, size: int):
+        words = table["word"].to_numpy()
+        order = np.argsort(words)
+        self.words, self.columns = words[order], np.ascontiguousarray(_unpacked(table["packed"], size)[order].T)
+
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words stand, and which of them do."""
+        at = np.searchsorted(self.words, words)
+        there = at < len(self.words)
+        there[there] = self.words[at[there]] == words[there]
+        return at, there
+
+    def sums(self, rows: np.ndarray, places: np.ndarray, times: np.ndarray | None, count: int) -> np.ndarray:
+        """For each of ``count`` rows the sum of its vectors; doubles are exact up to 2^53."""
+        found = np.empty((count, len(self.columns)), np.int64)
+        for i, column in enumerate(self.columns):
+            taken = column[places]
+            found[:, i] = np.bincount(rows, taken if times is None else taken * times, count)
+        return found
 
 
-def _projected(weights: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
+def _with_vectors(cells: DataFrame, key: str, n: int, packed: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run`` over groups of some ``CELLS`` of the ``n`` cells, whole by ``key``, each beside all vectors.
+
+    There is a vector a bucket at most, so a copy of them is no larger than a group's cells
+    and all copies grow with the cells.
+    """
+    cores = cells.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n // CELLS), min(cores, n // (CELLS >> 5)))
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")
+    copies = packed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
+    return cells.select(part, "*").groupBy("part").cogroup(copies.groupBy("part")).applyInArrow(run, schema)
+
+
+def _projected(weights: DataFrame, n: int, packed: DataFrame, size: int) -> DataFrame:
     """Each word's weighted sum of the vectors near it, scaled to ``UNIT``."""
-    near = weights.join(vectors.withColumnRenamed("word", "near"), "near")
-    sums = _summed(near, "word", size, times=F.col("weight"))
-    largest = "array_max(transform(vector, x -> abs(x)))"
-    return sums.selectExpr(
-        "word", f"transform(vector, x -> x * {UNIT}L div greatest({largest}, 1L)) as vector"
-    )
+
+    def run(cells: pa.Table, copies: pa.Table) -> pa.Table:
+        vectors = _Vectors(copies, size)
+        at, there = vectors.places(cells["near"].to_numpy())
+        words, rows = np.unique(cells["word"].to_numpy()[there], return_inverse=True)
+        sums = vectors.sums(rows, at[there], cells["weight"].to_numpy()[there].astype(np.float64), len(words))
+        # Division goes towards zero.
+        most = np.maximum(np.abs(sums).max(axis=1, initial=0), 1)
+        scaled = np.sign(sums) * (np.abs(sums) * UNIT // most[:, None])
+        return pa.Table.from_batches([_packed(pa.array(words, pa.int64()), scaled)])
+
+    return _with_vectors(weights, "word", n, packed, run, _PACKED)
 
 
 def learn(
@@ -126,22 +190,49 @@ def learn(
     A vector adds up the word's own direction, the directions of the words near it and of
     those near these, which is a random projection of the weights and of their square.
     """
-    rows = settle(tokens_of(bash, buckets), "tokens")
+    rows = settle(sizing.spread(tokens_of(bash, buckets)), "tokens")
     weights = settle(pair_weights(settle(pair_counts(rows, window=window), "pairs")), "weights")
+    n = weights.count()
     words = rows.select(F.explode("tokens").alias("word")).distinct()
     own = settle(_directions(words, size), "directions")
-    first = settle(_projected(weights, own, size), "projected")
-    second = _projected(weights, first, size)
-    return settle(_summed(reduce(DataFrame.unionByName, [own, first, second]), "word", size), "words")
+    first = settle(_projected(weights, n, own, size), "projected")
+    second = _projected(weights, n, first, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sum(_unpacked(batch[c], size).astype(np.int64) for c in ("own", "first", "second"))
+            vectors = pa.ListArray.from_arrays(np.arange(0, found.size + 1, size, dtype=np.int32), found.ravel())
+            yield pa.RecordBatch.from_arrays([batch["word"], vectors], ["word", "vector"])
+
+    held = [df.withColumnRenamed("packed", name) for df, name in ((own, "own"), (first, "first"), (second, "second"))]
+    every = reduce(lambda a, b: a.join(b, "word", "left"), held)
+    return settle(every.mapInArrow(run, "word long, vector array<long>"), "words")
 
 
 def vectors(words: DataFrame, bash: DataFrame, size: int = VECTOR_SIZE, buckets: int = BUCKETS) -> DataFrame:
     """(key, hits, features): the mean vector of each different command's known words."""
-    rows = tokens_of(bash, buckets).select("key", "hits", F.explode("tokens").alias("word"))
-    known = rows.join(sizing.small(words), "word", "left")
-    held = _summed(known, "key", size, F.first("hits").alias("hits"), F.count("vector").alias("known"))
-    mean = "transform(vector, x -> cast(coalesce(x div greatest(known, 1L), 0L) as double))"
-    return held.select("key", "hits", array_to_vector(F.expr(mean)).alias("features"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _packed(batch["word"], np.asarray(batch["vector"].flatten()).reshape(-1, size))
+
+    def run(cells: pa.Table, copies: pa.Table) -> pa.Table:
+        vectors = _Vectors(copies, size)
+        tokens = cells["tokens"].combine_chunks()
+        rows = np.repeat(np.arange(len(cells)), np.diff(tokens.offsets.to_numpy()))
+        at, there = vectors.places(tokens.flatten().to_numpy())
+        rows = rows[there]
+        sums = vectors.sums(rows, at[there], None, len(cells))
+        known = np.maximum(np.bincount(rows, minlength=len(cells)), 1)
+        means = (np.sign(sums) * (np.abs(sums) // known[:, None])).astype(np.float64)
+        lists = pa.ListArray.from_arrays(np.arange(0, means.size + 1, size, dtype=np.int32), means.ravel())
+        return pa.table([cells["key"], cells["hits"], lists], ["key", "hits", "mean"])
+
+    rows = settle(sizing.spread(tokens_of(bash, buckets)), "tokens")
+    n = rows.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
+    packed = words.select("word", "vector").mapInArrow(pack, _PACKED)
+    held = _with_vectors(rows, "key", n, packed, run, "key string, hits long, mean array<double>")
+    return held.select("key", "hits", array_to_vector("mean").alias("features"))
 
 
 def train(
@@ -159,6 +250,8 @@ def train(
     sums of whole numbers, so centres do not depend on the order in which tasks end.
     """
     rows = settle(vectors(words, bash, size, buckets), "training")
+    # By the rows alone, not the cores, as the first centres depend on the partitions.
+    trainers = max(trainers, -(-rows.count() // TRAINING_ROWS))
     # Training passes over the rows many times; lost blocks are read again.
     rows = rows.repartition(trainers, "key").sortWithinPartitions("key").persist()
     try:
