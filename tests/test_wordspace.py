@@ -132,3 +132,18 @@ def test_words_too_large_for_packing_are_refused(spark, bash):
     words = spark.createDataFrame([(1, [40_000, 0])], "word long, vector array<long>")
     with pytest.raises(Exception, match="16 bits"):
         wordspace.vectors(words, bash, size=2).collect()
+
+
+def test_training_partitions_grow_with_the_rows(spark, bash, monkeypatch):
+    class Seen:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, rows):
+            return rows.rdd.getNumPartitions()
+
+    monkeypatch.setattr(wordspace, "KMeans", Seen)
+    words = wordspace.learn(bash, size=2)
+    assert wordspace.train(words, bash, size=2) == wordspace.TRAINERS
+    monkeypatch.setattr(wordspace, "TRAINING_ROWS", 10)
+    assert wordspace.train(words, bash, size=2) == -(-bash.select("command").distinct().filter("command is not null").count() // 10)
