@@ -180,3 +180,21 @@ def test_blocks_are_kept_by_hash_in_many_tasks(spark):
     plan = enrich.range_blocks(ranges)._jdf.queryExecution().executedPlan().toString()
     # One task sorted all blocks where the least of a struct with a name was kept.
     assert "SortAggregate" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_trailing_medians_in_small_pieces(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice("abcdefgh"), _day(rng.randint(-40, 90)), rng.randint(1, 500)) for _ in range(3000)]
+    frame = spark.createDataFrame(rows, "user string, date date, sec long")
+    histogram = trailing.daily_histogram(frame, "user", "sec")
+    whole = rows_of(trailing.trailing_medians(histogram, "user", "sec", 7))
+    for user, day, n, median, deviation in whole:
+        before = [s for u, d, s in rows if u == user and 1 <= (day - d).days <= 7]
+        assert (n, median) == (len(before), statistics.median(before))
+        assert deviation == statistics.median(abs(s - median) for s in before)
+    monkeypatch.setattr(trailing, "_ROWS", 1)
+    monkeypatch.setattr(trailing, "_VALUES", 20)
+    assert rows_of(trailing.trailing_medians(histogram, "user", "sec", 7)) == whole
+    # Two copies a row, not one for each day of a window.
+    made = trailing.trailing_medians(histogram, "user", "sec", 7)._jdf.queryExecution().toString()
+    assert "sequence(" not in made

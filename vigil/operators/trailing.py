@@ -7,8 +7,15 @@ rows a day, and a window holds days, not events.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DoubleType, LongType, StructField, StructType
+
+from vigil.operators import sizing
 
 _WHOLE = "decimal(38,0)"
 
@@ -60,33 +67,93 @@ def daily_histogram(events: DataFrame, key: str, value: str, day: str = "date")
     return known.groupBy(key, day, value).agg(F.count("*").alias("n"))
 
 
-def _medians(counted: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """``keys``, how many values there are, and their median, from ``(keys, value, n)``."""
-    inside = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    # Values up to and with this one, and the places of the two in the middle.
-    reached = counted.withColumns({"_upto": F.sum("n").over(inside), "_all": F.sum("n").over(whole)})
-    low, high = F.expr("(_all + 1) div 2"), F.expr("_all div 2 + 1")
-    first = [F.min(F.when(F.col("_upto") >= place, F.col(value))) for place in (low, high)]
-    return reached.groupBy(*keys).agg(F.max("_all").alias("sessions"), ((first[0] + first[1]) / 2).alias(name))
+# Rows that are looked at together, and values of windows that are sorted together.
+_ROWS, _VALUES = 100_000, 1_000_000
+
+
+def _medians(of: np.ndarray, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many values each window has, and their median; ``of`` numbers the windows from 0, ascending."""
+    order = np.lexsort((values, of))
+    values, upto = values[order], np.cumsum(counts[order])
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    before = upto[first] - counts[order][first]
+    every = np.append(upto[first[1:] - 1], upto[-1]) - before
+    # The two in the middle.
+    low, high = (np.searchsorted(upto, before + place) for place in ((every + 1) // 2, every // 2 + 1))
+    return every, (values[low] + values[high]) / 2
+
+
+def _windows(group: np.ndarray, span: np.ndarray, day: np.ndarray, value: np.ndarray, n: np.ndarray, days: int):
+    """(row of a day, values before it, median, deviation) of rows in order of group and day."""
+    place = group * (1 << 32) + day + (1 << 31)
+    rows = np.flatnonzero(np.diff(place, prepend=-1))
+    rows = rows[day[rows] // days == span[rows]]
+    low, high = np.searchsorted(place, place[rows] - days), np.searchsorted(place, place[rows])
+    rows, low, high = (a[high > low] for a in (rows, low, high))
+    ends = np.cumsum(high - low)
+    begin = 0
+    while begin < len(rows):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + _VALUES, side="right")))
+        size = (high - low)[begin:end]
+        of = np.repeat(np.arange(end - begin), size)
+        at = np.repeat(low[begin:end] - (ends[begin:end] - size - done), size) + np.arange(len(of))
+        every, median = _medians(of, value[at], n[at])
+        yield rows[begin:end], every, median, _medians(of, np.abs(value[at] - median[of]), n[at])[1]
+        begin = end
 
 
 def trailing_medians(histogram: DataFrame, key: str, value: str, days: int = 30, day: str = "date") -> DataFrame:
     """``(key, day, trailing_n, median, deviation)`` over the ``days`` days before each day.
 
-    The deviation is the median distance from the median.  A value of a day is handed to
-    those of the next ``days`` days on which the key occurs, so the work is at most
-    ``days`` times the histogram; a key's window is split by day.
+    The deviation is the median distance from the median; values are taken as doubles.
+    Days are cut into spans as long as a window.  A key's rows of a span go to it and to
+    the next one, so each travels twice, and a task holds two spans of a key at most.
     """
-    ahead = F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, days)))
-    wanted = histogram.select(key, F.col(day).alias("_on")).distinct()
-    merged = (
-        histogram.select(key, value, "n", ahead.alias("_on"))
-        .groupBy(key, "_on", value).agg(F.sum("n").alias("n"))
-        .join(wanted, [key, "_on"], "left_semi")
+    names = [key, day, "trailing_n", "median", "deviation"]
+    schema = StructType([
+        histogram.schema[key], StructField(day, DateType()), StructField("trailing_n", LongType()),
+        StructField("median", DoubleType()), StructField("deviation", DoubleType()),
+    ])
+
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = [table[c].to_numpy() for c in ("span", "day", "value", "n")]
+        for rows, every, median, spread in _windows(_numbers(table), *columns, days):
+            held = pa.table(
+                [table["key"].take(rows), table["day"].take(rows).cast(pa.int32()).cast(pa.date32()), every, median, spread], names
+            )
+            yield from held.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, wanted = 0, _ROWS
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= wanted:
+                # The last group may go on.
+                table = pa.Table.from_batches(held)
+                numbers = _numbers(table)
+                cut = int(np.searchsorted(numbers, numbers[-1]))
+                if cut:
+                    yield from found(table.slice(0, cut))
+                held, size = table.slice(cut).to_batches(), size - cut
+                wanted = max(_ROWS, 2 * size)
+        if size:
+            yield from found(pa.Table.from_batches(held))
+
+    number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).cast("long")
+    span = F.floor(number / days)
+    rows = histogram.select(
+        F.col(key).alias("key"), F.explode(F.array(span, span + 1)).alias("span"), number.alias("day"),
+        F.col(value).cast("double").alias("value"), "n",
     )
-    middle = _medians(merged, [key, "_on"], value, "median")
-    apart = merged.join(middle, [key, "_on"]).select(key, "_on", F.abs(F.col(value) - F.col("median")).alias("_apart"), "n")
-    spread = _medians(apart.groupBy(key, "_on", "_apart").agg(F.sum("n").alias("n")), [key, "_on"], "_apart", "deviation")
-    both = middle.join(spread.drop("sessions"), [key, "_on"])
-    return both.select(key, F.col("_on").alias(day), F.col("sessions").alias("trailing_n"), "median", "deviation")
+    rows = sizing.spread(rows, "key", "span").sortWithinPartitions("key", "span", "day")
+    return rows.mapInArrow(run, schema)
+
+
+def _numbers(table: pa.Table) -> np.ndarray:
+    """The groups (key, span) of a table in their order, numbered."""
+    keys = table["key"].combine_chunks().dictionary_encode().indices.to_numpy()
+    other = (np.diff(keys, prepend=keys[:1]) != 0) | (np.diff(table["span"].to_numpy(), prepend=table["span"][0].as_py()) != 0)
+    return np.cumsum(other)

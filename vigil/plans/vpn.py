@@ -10,6 +10,7 @@ from vigil.operators import trailing
 from vigil.operators.enrich import with_country
 from vigil.operators.ranking import count_by
 from vigil.operators.sizing import small
+from vigil.session import settle
 
 
 def logins(vpn: DataFrame, user: str) -> DataFrame:
@@ -68,6 +69,6 @@ def session_deviation(vpn: DataFrame, times: float = 3.0, days: int = 30, least:
     )
     usual = trailing.trailing_medians(trailing.daily_histogram(ended, "username", "seconds"), "username", "seconds", days)
     # One row a user and day; a busy day's sessions are split by AQE where this shuffles.
-    judged = ended.join(small(usual.where(F.col("trailing_n") >= least)), ["username", "date"])
+    judged = ended.join(small(settle(usual.where(F.col("trailing_n") >= least), "usual")), ["username", "date"])
     far = F.abs(F.col("seconds") - F.col("median")) > times * F.col("deviation")
     return judged.where(far).select("date", "time", "username", "seconds", "trailing_n", "median", "deviation")
