@@ -198,3 +198,13 @@ def test_trailing_medians_in_small_pieces(spark, monkeypatch):
     # Two copies a row, not one for each day of a window.
     made = trailing.trailing_medians(histogram, "user", "sec", 7)._jdf.queryExecution().toString()
     assert "sequence(" not in made
+
+
+def test_outdated_compares_each_version_once(spark):
+    rows = [(f"h{i}", "app", f"{i % 3}.0") for i in range(600)] + [("h9", "app", "2-0")]
+    frame = spark.createDataFrame(rows, "name0 string, displayname0 string, version0 string")
+    found = patch.outdated(frame)
+    assert len(found.collect()) == 399 and set(r.newest for r in found.collect()) == {"2-0"}
+    # Hosts are reduced to a number, without the version's pattern or a sort.
+    plan = found._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
