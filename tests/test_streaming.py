@@ -153,3 +153,19 @@ def test_keyed_records(spark):
         "key", "value", "timestamp'2024-01-05 10:00:00' AS timestamp"
     )
     assert [tuple(r)[:1] + tuple(r)[2:] for r in ingest.keyed_lines(records).collect()] == [("gw", "line")]
+
+
+def test_routed_lines_land_packed(spark):
+    from pathlib import Path
+
+    from bindings.queries import QUERIES
+    from conftest import SF
+    from vigil.session import scratch_root
+
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    before = set(root.glob("routed-*"))
+    found = QUERIES["stream_route_parse"](spark, SF)
+    assert found.count() == spark.read.parquet(f"{SF}/conversations.parquet").count()
+    (made,) = set(root.glob("routed-*")) - before
+    files = list((made / "raw").glob("part-*"))
+    assert files and all(f.suffix == ".lz4" for f in files)
