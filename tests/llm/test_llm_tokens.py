@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import struct
 import sys
 import zlib
 from pathlib import Path
@@ -123,3 +124,10 @@ def test_awkward_rows(spark, tokenizer):
 
 def test_empty_table(spark):
     assert tokens.round_trip(documents(spark, (1, "x")).limit(0)).collect() == []
+
+
+def test_word_forms_are_remembered_once():
+    ids = tokens.WordIds(tokens.default_tokenizer_file())
+    text = "plain words, plain Words and don't"
+    assert ids(text) == struct.pack("<%dH" % len(found := ids.tokenizer.encode(text, add_special_tokens=False).ids), *found)
+    assert {"plain", "words,", "and"} <= set(ids.known) and not {"plain", "and"} & set(ids.merged)

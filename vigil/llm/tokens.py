@@ -50,8 +50,9 @@ BLOCK = 2048
 # Blocks coded at once, and bytes of text a file is made for.
 TOGETHER = 2048
 FILE_BYTES = 32 << 20
-# Word forms whose ids a task remembers.
+# Word forms whose ids a task remembers, and texts it holds beside their batch.
 REMEMBERED = 400_000
+TEXTS = 256
 
 _TOTAL_BITS = 15
 _TOTAL = 1 << _TOTAL_BITS
@@ -86,18 +87,19 @@ class WordIds:
             raise ValueError("ids of 65,536 and more do not fit the format")
         return struct.pack(f"<{len(ids)}H", *ids)
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str, part: str) -> bytes:
         ids = self.merged.get(piece)
         if ids is None:
             letters = piece.encode().decode("latin-1").translate(_LETTERS)
             ids = self._packed([token.id for token in self.tokenizer.model.tokenize(letters)])
-            if len(piece) <= 64:
+            # A piece that is the whole part is remembered as that.
+            if len(piece) <= 64 and len(piece) < len(part):
                 self.merged[piece] = ids
         return ids
 
     def _part(self, part: str) -> bytes:
         if self.plain(part):
-            return b"".join(map(self._piece, self.cut(part.lower())))
+            return b"".join([self._piece(piece, part) for piece in self.cut(part.lower())])
         return self._packed(self.tokenizer.encode(part, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
@@ -311,6 +313,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
         word = coder.low >> np.uint64(shift)
         out[every, at] = word if shift == 32 else word & np.uint64(0xFFFF)
         at += 1
+    # Room that was not needed takes no part in the carries.
+    out = out[:, : int(at.max())]
     while True:
         over = out >> 16
         if not over.any():
@@ -436,8 +440,11 @@ def write_files(
 
         def rows() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
-                for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                    yield doc, ids_of(text) + end
+                # A batch may be megabytes of texts; they become Python's a few at a time.
+                for at in range(0, len(batch), TEXTS):
+                    some = batch.slice(at, TEXTS)
+                    for doc, text in zip(some["doc_id"].to_pylist(), some["text"].to_pylist()):
+                        yield doc, ids_of(text) + end
 
         for made in _coded(rows(), block, together):
             yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["block"])
