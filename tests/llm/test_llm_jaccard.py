@@ -41,6 +41,47 @@ def test_large_group_of_near_copies(spark):
     assert {r.component_id for r in jaccard.near_duplicates(documents(spark, *rows)).collect()} == {0}
 
 
+@pytest.mark.parametrize("words, percent", [(3, 90), (5, 80)])
+def test_pairs_of_a_group_of_near_copies_are_not_made(spark, monkeypatch, words, percent):
+    rng = random.Random(words)
+    # Nearly all of two texts is the same, but most pairs are not linked; a few texts share edits.
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for i in range(400):
+        text = list(base)
+        for place in rng.sample(range(150), rng.choice([2, 3, 4, 5])):
+            text[place] = f"x{rng.randrange(400)}"
+        rows.append((i, " ".join(text)))
+        if i % 20 == 0:
+            text[rng.randrange(150)] = f"y{i}"
+            rows.append((1000 + i, " ".join(text)))
+    counts = []
+
+    def counted(function):
+        def run(*given):
+            found = jaccard.settle(function(*given), "counted")
+            counts.append(found.count())
+            return found
+
+        return run
+
+    pairs = jaccard._possible
+    monkeypatch.setattr(jaccard, "_possible", lambda given, *more: pairs(counted(lambda: given)(), *more))
+    monkeypatch.setattr(jaccard, "_differing", counted(jaccard._differing), raising=False)
+    found = jaccard.near_duplicates(documents(spark, *rows), words, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == plain_groups(rows, words, percent)
+    assert sum(counts) < 10 * len(rows)
+
+
+@pytest.mark.parametrize("words, percent, seed", [(3, 90, 1), (5, 80, 3), (2, 60, 4)])
+def test_all_links_are_found_by_differences(spark, monkeypatch, words, percent, seed):
+    monkeypatch.setattr(jaccard, "LONG", 1)
+    monkeypatch.setattr(jaccard, "STARS", 1)
+    rows = _corpus(seed)
+    found = jaccard.near_duplicates(documents(spark, *rows), words, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == plain_groups(rows, words, percent)
+
+
 def test_groups_of_the_given_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]

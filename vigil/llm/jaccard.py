@@ -19,12 +19,17 @@ The result is connected components, so pairs inside a component need no verifica
 
 1. For each of STARS orders every set is verified against one partner, the first member of
    most of the lists it is in, which is linear in the lists however large a group is.
-2. Lists whose members are by then in one component are done.  Of the others all pairs
-   from different components that share enough prefix grams are verified.
-
-Both give exact links; together they miss none between components.  What is verified is
-gathered through a fixed-size Bloom filter, so sets without a candidate are not moved,
-and bitmaps of the sets rule out most pairs before.
+2. Lists whose members are by then in one component are done.  Of the others up to LONG
+   entries all pairs from different components that share enough prefix grams are verified.
+3. Longer lists are of groups of near copies, whose pairs are not made.  Each set is taken as
+   what sets it apart from the grams that most of a sample of the group have; two sets differ
+   by what they do not share of that.  Sets whose differences are few enough in sum are linked,
+   each with the one nearest to the group's grams; any other link needs common differences, and
+   those are joined by prefixes as the grams were.  The sample decides the work, no result.
+
+All give exact links; together they miss none between components.  What is verified is
+gathered through a fixed-size Bloom filter of text hashes, so sets without a candidate are
+neither cut into grams again nor moved, and bitmaps of the sets rule out most pairs before.
 
 Sets and grams are known by 64-bit hashes.  Defined cases: null text is empty; without
 words a set is empty and linked with nothing; with fewer words than a gram the whole
@@ -36,6 +41,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +60,10 @@ LONGEST = 4
 # Grams read for the price of one list entry, when a pair is verified.
 VERIFY_SHARE = 0.25
 STARS = 2
+# Entries of a list whose pairs are joined; longer ones are joined by differences.
+LONG = 32
+# Members of a family, about, that say which grams most have.
+SAMPLE = 16
 # Grams in a window whose smallest is counted.
 WINDOW = 16
 # A gram of a shared passage that more documents than this have is taken for so frequent.
@@ -266,33 +276,38 @@ def adaptive_prefix(found: np.ndarray, expected: np.ndarray, percent: int) -> tu
 
 
 def prefixes(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
-    """Two kinds of rows: documents ``(doc_id, set, size)``, and sets ``(set, size, l, prefix, bits)``.
+    """Two kinds of rows: documents ``(doc_id, set, size)``, and sets ``(set, size, l, prefix, bits, hash)``.
 
-    A prefix is its grams as 64-bit integers, rarest first; bits are all grams hashed
+    The hash is of one text of the set, by which ``sets_of`` finds it.  A prefix is its grams as 64-bit integers, rarest first; bits are all grams hashed
     into BITMAP bits.  A task gives a set once, however many copies of it the task meets.
     """
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64())
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
             for start in range(0, len(ids), 1000):
                 rows = []
-                for doc, text in zip(ids[start : start + 1000], batch["text"].slice(start, 1000).to_pylist()):
+                texts, hashes = (batch[c].slice(start, 1000).to_pylist() for c in ("text", "hash"))
+                for doc, text, hashed in zip(ids[start : start + 1000], texts, hashes):
                     found, expected = shared.value.grams(text, n)
                     which = _set_id(found) if len(found) else None
-                    rows.append((doc, which, len(found), None, None, None))
+                    rows.append((doc, which, len(found), None, None, None, None))
                     if which is not None and which not in given:
                         if len(given) > 1_000_000:
                             given.clear()
                         given.add(which)
                         prefix, length = adaptive_prefix(found, expected, percent)
-                        rows.append((None, which, len(found), length, prefix.tobytes(), _bitmap(found)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "set", "size", "l", "prefix", "bits"])
+                        rows.append((None, which, len(found), length, prefix.tobytes(), _bitmap(found), hashed))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "set", "size", "l", "prefix", "bits", "hash"])
+
+    return _hashed(docs, "doc_id").mapInArrow(run, "doc_id long, set long, size int, l int, prefix binary, bits array<long>, hash long")
+
 
-    return docs.mapInArrow(run, "doc_id long, set long, size int, l int, prefix binary, bits array<long>")
+def _hashed(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(*columns, "text", F.xxhash64("text").alias("hash"))
 
 
 def _bitmap(found: np.ndarray) -> np.ndarray:
@@ -377,24 +392,29 @@ def _shared_lists(lists: DataFrame, by: str) -> DataFrame:
     return lists.join(mixed, "gram", "left_semi")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``(set, grams)`` of the wanted sets, each once."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "set"))
+def sets_of(docs: DataFrame, wanted: DataFrame, order: Order, n: int) -> DataFrame:
+    """``(set, grams)`` of the wanted sets ``(set, hash)``, each once; grams in the common order.
+
+    Only texts whose hash may be wanted are cut into grams.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((bloom(wanted, "hash"), order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, given = shared.value, set()
+        (bits, order), given = shared.value, set()
         for batch in batches:
             which, found = [], []
-            for text in batch["text"].to_pylist():
-                mine = grams(text, n)
-                name = _set_id(mine)
-                bit = name % BLOOM_BITS
-                if len(mine) and name not in given and bits[bit >> 5] >> np.uint32(bit & 31) & 1:
-                    if len(given) > 1_000_000:
-                        given.clear()
-                    given.add(name)
-                    which.append(name)
-                    found.append(mine.view(np.int64))
+            hashes = batch["hash"].to_numpy()
+            at = np.flatnonzero(_held(bits, hashes))
+            for hashed, text in zip(hashes[at].tolist(), batch["text"].take(pa.array(at)).to_pylist()):
+                if hashed in given:
+                    continue
+                if len(given) > 1_000_000:
+                    given.clear()
+                given.add(hashed)
+                mine, expected = order.grams(text, n)
+                if len(mine):
+                    which.append(_set_id(mine))
+                    found.append(mine[np.argsort(expected, kind="stable")].view(np.int64))
             for start in range(0, len(which), 200):
                 some = found[start : start + 200]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int32)
@@ -402,7 +422,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     [pa.array(which[start : start + 200], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(some)))], ["set", "grams"]
                 )
 
-    found = docs.mapInArrow(run, "set long, grams array<long>")
+    found = _hashed(docs).mapInArrow(run, "set long, grams array<long>")
     # Exactly the wanted ones, and each from one of the tasks that gave it.
     return found.join(wanted.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"])
 
@@ -431,11 +451,95 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where((100 + percent) * apart <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
 
 
-def _linked(texts: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs those that are linked, as a kept table."""
-    pairs = settle(_possible(pairs, sets, percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct()
-    return settle(verified(pairs, settle(sets_of(texts, wanted, words), "sets"), percent), "links")
+def _wanted(sets: DataFrame, *names: DataFrame) -> DataFrame:
+    """``(set, hash)`` of the sets that any of the tables has in any column."""
+    every = [table.select(F.col(c).alias("set")) for table in names for c in table.columns]
+    return sets.select("set", "hash").join(reduce(DataFrame.unionAll, every).distinct(), "set", "left_semi")
+
+
+def _families(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of lists up to LONG; and of the longer ones ``(family, set, size, root)``, as a kept table.
+
+    Lists with the same first member are a family, as those of a group mostly are.
+    """
+    first = F.min(F.struct(F.xxhash64("set").alias("order"), "set")).alias("first")
+    long = left.groupBy("gram").agg(F.count("*").alias("n"), first).where(F.col("n") > LONG)
+    long = settle(long.select("gram", F.col("first.set").alias("family")), "long")
+    members = left.join(long, "gram").select("family", "set", "size", "root").distinct()
+    return left.join(long, "gram", "left_anti"), settle(members, "families")
+
+
+def _bases(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(family, n, base)``: its size, and the grams that most of about SAMPLE members have."""
+    sizes = settle(members.groupBy("family").agg(F.count("*").alias("n")), "sizes")
+    share = F.pmod(F.xxhash64("set", F.lit(STARS)), F.lit(1 << 20))
+    chosen = join_groups(members.select("family", "set"), sizes, "family", "n").where(share * F.col("n") < F.lit(SAMPLE << 20))
+
+    def most(table: pa.Table) -> pa.Table:
+        found, times = np.unique(table["grams"].combine_chunks().flatten().to_numpy(), return_counts=True)
+        base = pa.array([found[2 * times > len(table)]], pa.list_(pa.int64()))
+        return pa.table([table["family"][:1], base], ["family", "base"])
+
+    bases = chosen.select("family", "set").join(sets, "set").groupBy("family").applyInArrow(most, "family long, base array<long>")
+    return sizes.join(bases, "family", "left").withColumn("base", F.coalesce("base", F.array().cast("array<long>")))
+
+
+def _apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members with ``delta``, the grams that only they or only their family's base have.
+
+    Two members differ by what one of their deltas has and the other has not.  With
+    ``over = (100 + percent) * |delta| - (100 - percent) * size`` they are linked if and only if
+    ``over_a + over_b <= 2 * (100 + percent) * |delta_a and delta_b|``.  ``least`` is the smallest
+    ``over`` of the family, ``nearest`` a member that has it.  Grams that the base has
+    not come first, rarest first.
+    """
+    bases = settle(_bases(members, sets), "bases")
+    rows = join_groups(members.join(sets, "set"), bases, "family", "n")
+    rows = rows.withColumn("delta", F.concat(F.array_except("grams", "base"), F.array_except("base", "grams")))
+    over = ((100 + percent) * F.size("delta").cast("long") - (100 - percent) * F.col("size").cast("long")).alias("over")
+    bits = [
+        F.aggregate(
+            F.filter("delta", lambda x: F.pmod(x, F.lit(4)) == k),
+            F.lit(0).cast("long"),
+            lambda so_far, x: so_far.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x, 2), F.lit(64)).cast("int"))),
+        ).alias(f"bits{k}")
+        for k in range(4)
+    ]
+    rows = settle(rows.select("family", "set", "size", "root", "delta", over, *bits), "deltas")
+    least = rows.groupBy("family").agg(F.count("*").alias("n"), F.min(F.struct("over", "set")).alias("least"))
+    least = settle(least.select("family", "n", F.col("least.over").alias("least"), F.col("least.set").alias("nearest")), "least")
+    return join_groups(rows, least, "family", "n").drop("n")
+
+
+def _differing(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of members from different components that may be linked, but for those both linked with the nearest.
+
+    A link shares ``needs`` grams of the deltas at least, so it shares one of the first ones.  Its
+    other end is ``least`` over or more, and more than ``-least`` where this one is linked with the
+    nearest; and it differs by ``(100 - percent) / percent`` of this one's grams at most.
+    """
+    near = F.col("over") + F.col("least") <= 0
+    length = F.size("delta")
+    other = F.when(near, 1 - F.col("least")).otherwise(F.col("least"))
+    needs = F.greatest(
+        F.lit(1).cast("long"),
+        F.ceil((F.col("over") + other) / F.lit(2 * (100 + percent))),
+        length - F.floor(F.col("size") * F.lit(100 - percent) / F.lit(percent)),
+    )
+    rows = apart.withColumn("near", near).withColumn("kept", (length - needs + 1).cast("int")).where("kept > 0")
+    bits = [f"bits{k}" for k in range(4)]
+    rows = rows.select("family", F.explode(F.slice("delta", F.lit(1), F.col("kept"))).alias("gram"), "set", "size", "root", "near", *bits)
+    rows = settle(rows, "differences")
+    a, b = (rows.select("family", "gram", *[F.col(c).alias(f"{c}_{side}") for c in ("set", "size", "root", "near", *bits)]) for side in "ab")
+    # Bits that differ are grams that only one of the two has.
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits))
+    return (
+        a.join(b, ["family", "gram"])
+        .where("set_a < set_b AND root_a <> root_b AND NOT (near_a AND near_b)")
+        .where((100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b")))
+        .select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+        .distinct()
+    )
 
 
 def _ranked(lists: DataFrame) -> DataFrame:
@@ -473,7 +577,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     kept = settle(prefixes(texts, order, words, percent), "prefixes")
     members = settle(kept.where("prefix is null").select("doc_id", "set", "size"), "members")
     prefixed = kept.where("prefix is not null")
-    sets = settle(prefixed.select("set", "size", "bits").dropDuplicates(["set"]), "bitmaps")
+    sets = settle(prefixed.select("set", "size", "bits", "hash").dropDuplicates(["set"]), "bitmaps")
     lists = _lists(prefixed.select("set", "size", "l", "prefix"))
     lists = settle(_ranked(_shared_lists(lists, "set").distinct()), "lists")
 
@@ -486,11 +590,13 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         # The partner that a set shares most lists with.
         chosen = shares.where("shared >= l").groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
         stars = chosen if stars is None else stars.unionByName(chosen)
-    links = _linked(texts, sets, stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), words, percent)
+    pairs = settle(_possible(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent), "pairs")
+    links = settle(verified(pairs, settle(sets_of(texts, _wanted(sets, pairs), order, words), "sets"), percent), "links")
     groups = components(links, "groups")
     left = settle(_shared_lists(_labelled(lists, groups), "root"), "left")
+    short, families = _families(left)
     entry = ("set", "size", "place", "before", "level", "l", "root")
-    a, b = (left.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in entry]) for side in "ab")
+    a, b = (short.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in entry]) for side in "ab")
     pairs = (
         a.join(b, "gram")
         .where("set_a < set_b AND root_a <> root_b AND level_a <= l_b AND level_b <= l_a")
@@ -499,7 +605,15 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         .agg(F.count("*").alias("shared"), F.min(F.least("l_a", "l_b")).alias("l"))
         .where("shared >= l")
     )
-    found = _linked(texts, sets, pairs.select("a", "b"), words, percent)
+    # A pair that has too few grams in short lists alone has another in a long one, and so a family.
+    pairs = settle(_possible(pairs.select("a", "b"), sets, percent), "pairs")
+    kept = settle(sets_of(texts, _wanted(sets, pairs, families.select("set")), order, words), "sets")
+    found = verified(pairs, kept, percent)
+    if families.take(1):
+        apart = settle(_apart(families, kept, percent), "apart")
+        near = apart.where("over + least <= 0 AND set <> nearest").select(F.col("set").alias("a"), F.col("nearest").alias("b"))
+        found = found.unionAll(verified(_differing(apart, percent), kept, percent)).unionAll(near).distinct()
+    found = settle(found, "links")
     if found.take(1):
         groups = components(links.unionByName(found), "groups")
     # A class for each set, however many documents have it, before documents are joined.
