@@ -168,3 +168,15 @@ def test_sets_are_those_of_the_words():
 def test_no_rows(spark):
     assert jaccard.near_duplicates(documents(spark)).collect() == []
     assert jaccard.one_of_each(documents(spark)).collect() == []
+
+
+def test_texts_are_not_moved_for_the_few_that_go(spark):
+    rows = _corpus(6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = jaccard.one_of_each(documents(spark, *rows), 5, 80)
+        assert {r.doc_id for r in found.collect()} == {low for _, low in plain_groups(rows, 5, 80).values()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan.replace("BroadcastExchange", "")

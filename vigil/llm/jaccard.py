@@ -50,6 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from vigil.llm.common import BLOOM_BITS, LOWER, bloom, components, join_groups, mix, text_of, word_hashes
+from vigil.operators import sizing
 from vigil.session import drop_scratch, scratch_mark, settle
 
 WORDS = 3
@@ -448,13 +449,22 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda so_far, n: so_far + n
     )
     joined = pairs.join(left, "a").join(right, "b")
-    return joined.where((100 + percent) * apart <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+    return joined.where((100 + percent) * apart <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select(*pairs.columns)
+
+
+def _named(*names: DataFrame) -> DataFrame:
+    """``set``: all that any of the tables has in any column."""
+    return reduce(DataFrame.unionAll, [table.select(F.col(c).alias("set")) for table in names for c in table.columns]).distinct()
 
 
 def _wanted(sets: DataFrame, *names: DataFrame) -> DataFrame:
     """``(set, hash)`` of the sets that any of the tables has in any column."""
-    every = [table.select(F.col(c).alias("set")) for table in names for c in table.columns]
-    return sets.select("set", "hash").join(reduce(DataFrame.unionAll, every).distinct(), "set", "left_semi")
+    return sets.select("set", "hash").join(_named(*names), "set", "left_semi")
+
+
+def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of the kept ``pairs``; where they are few, the grams of all others stay where they are."""
+    return sets.join(sizing.small(_named(pairs)), "set", "left_semi")
 
 
 def _families(left: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -474,13 +484,14 @@ def _bases(members: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = settle(members.groupBy("family").agg(F.count("*").alias("n")), "sizes")
     share = F.pmod(F.xxhash64("set", F.lit(STARS)), F.lit(1 << 20))
     chosen = join_groups(members.select("family", "set"), sizes, "family", "n").where(share * F.col("n") < F.lit(SAMPLE << 20))
+    chosen = sizing.small(settle(chosen.select("family", "set"), "chosen"))
 
     def most(table: pa.Table) -> pa.Table:
         found, times = np.unique(table["grams"].combine_chunks().flatten().to_numpy(), return_counts=True)
         base = pa.array([found[2 * times > len(table)]], pa.list_(pa.int64()))
         return pa.table([table["family"][:1], base], ["family", "base"])
 
-    bases = chosen.select("family", "set").join(sets, "set").groupBy("family").applyInArrow(most, "family long, base array<long>")
+    bases = sets.join(chosen, "set").groupBy("family").applyInArrow(most, "family long, base array<long>")
     return sizes.join(bases, "family", "left").withColumn("base", F.coalesce("base", F.array().cast("array<long>")))
 
 
@@ -494,7 +505,7 @@ def _apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     not come first, rarest first.
     """
     bases = settle(_bases(members, sets), "bases")
-    rows = join_groups(members.join(sets, "set"), bases, "family", "n")
+    rows = join_groups(sets.join(sizing.small(members), "set"), bases, "family", "n")
     rows = rows.withColumn("delta", F.concat(F.array_except("grams", "base"), F.array_except("base", "grams")))
     over = ((100 + percent) * F.size("delta").cast("long") - (100 - percent) * F.col("size").cast("long")).alias("over")
     bits = [
@@ -512,7 +523,7 @@ def _apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _differing(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of members from different components that may be linked, but for those both linked with the nearest.
+    """Pairs ``(a, b, family)`` of members from different components that may be linked, but for those both linked with the nearest.
 
     A link shares ``needs`` grams of the deltas at least, so it shares one of the first ones.  Its
     other end is ``least`` over or more, and more than ``-least`` where this one is linked with the
@@ -537,11 +548,20 @@ def _differing(apart: DataFrame, percent: int) -> DataFrame:
         a.join(b, ["family", "gram"])
         .where("set_a < set_b AND root_a <> root_b AND NOT (near_a AND near_b)")
         .where((100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b")))
-        .select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
-        .distinct()
+        .groupBy(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+        .agg(F.min("family").alias("family"))
     )
 
 
+def _linked(pairs: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """Of the kept pairs ``(a, b, family)`` those that are linked, by their deltas, which are shorter than the sets."""
+    asked = _only(apart, pairs.select("a", "b"))
+    left, right = (asked.select("family", F.col("set").alias(c), F.col("over").alias(f"over_{c}"), F.col("delta").alias(f"of_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    joined = pairs.join(left, ["family", "a"]).join(right, ["family", "b"])
+    return joined.where(F.col("over_a") + F.col("over_b") <= F.lit(2 * (100 + percent)) * both).select("a", "b")
+
+
 def _ranked(lists: DataFrame) -> DataFrame:
     """Entries with ``before``: how many grams before theirs in the prefix other prefixes have too."""
     return lists.withColumn("before", F.row_number().over(Window.partitionBy("set").orderBy("place")) - 1)
@@ -581,15 +601,15 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     lists = _lists(prefixed.select("set", "size", "l", "prefix"))
     lists = settle(_ranked(_shared_lists(lists, "set").distinct()), "lists")
 
-    stars = None
-    for star in range(STARS):
-        of_b = [F.col(c).alias(f"{c}_b") for c in ("size", "place", "before", "l")]
-        first = lists.groupBy("gram").agg(F.min(F.struct(F.xxhash64("set", F.lit(star)).alias("order"), F.col("set").alias("b"), *of_b)).alias("first"))
-        pairs = lists.join(first.select("gram", "first.*"), "gram").where((F.col("set") != F.col("b")) & _close("", "_b", percent))
-        shares = pairs.groupBy(F.col("set").alias("a"), "b").agg(F.count("*").alias("shared"), F.min(F.least("l", "l_b")).alias("l"))
-        # The partner that a set shares most lists with.
-        chosen = shares.where("shared >= l").groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
-        stars = chosen if stars is None else stars.unionByName(chosen)
+    of_b = [F.col(c).alias(f"{c}_b") for c in ("size", "place", "before", "l")]
+    firsts = [F.min(F.struct(F.xxhash64("set", F.lit(star)).alias("order"), F.col("set").alias("b"), *of_b)).alias(f"first{star}") for star in range(STARS)]
+    # The first members of a list in all orders come out of one pass over the lists.
+    first = lists.join(lists.groupBy("gram").agg(*firsts), "gram")
+    first = first.select(*lists.columns, F.posexplode(F.array(*[f"first{star}" for star in range(STARS)])).alias("star", "first"))
+    pairs = first.select(*lists.columns, "star", "first.*").where((F.col("set") != F.col("b")) & _close("", "_b", percent))
+    shares = pairs.groupBy("star", F.col("set").alias("a"), "b").agg(F.count("*").alias("shared"), F.min(F.least("l", "l_b")).alias("l"))
+    # The partner that a set shares most lists with.
+    stars = shares.where("shared >= l").groupBy("star", "a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
     pairs = settle(_possible(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent), "pairs")
     links = settle(verified(pairs, settle(sets_of(texts, _wanted(sets, pairs), order, words), "sets"), percent), "links")
     groups = components(links, "groups")
@@ -608,11 +628,13 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     # A pair that has too few grams in short lists alone has another in a long one, and so a family.
     pairs = settle(_possible(pairs.select("a", "b"), sets, percent), "pairs")
     kept = settle(sets_of(texts, _wanted(sets, pairs, families.select("set")), order, words), "sets")
-    found = verified(pairs, kept, percent)
+    found = verified(pairs, _only(kept, pairs), percent)
     if families.take(1):
         apart = settle(_apart(families, kept, percent), "apart")
         near = apart.where("over + least <= 0 AND set <> nearest").select(F.col("set").alias("a"), F.col("nearest").alias("b"))
-        found = found.unionAll(verified(_differing(apart, percent), kept, percent)).unionAll(near).distinct()
+        differing = settle(_differing(apart, percent), "differing")
+        differing = settle(_possible(differing, _only(sets, differing.select("a", "b")), percent), "differing")
+        found = found.unionAll(_linked(differing, apart, percent)).unionAll(near).distinct()
     found = settle(found, "links")
     if found.take(1):
         groups = components(links.unionByName(found), "groups")
@@ -637,9 +659,13 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     Rows without words are in no group and stay.
     """
-    _, classes = _classes(docs, words, percent)
+    members, classes = _classes(docs, words, percent)
     first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "set")).alias("first")
-    stays = settle(classes.groupBy("root").agg(first).select(F.col("first.low").alias("__low"), F.col("first.set").alias("__stays")), "stays")
+    stays = classes.groupBy("root").agg(first).select(F.col("first.low").alias("__low"), F.col("first.set").alias("__stays"))
+    same = (F.col("set") == F.col("__stays")) & F.col("doc_id").eqNullSafe(F.col("__low"))
+    # Few rows go beside those that stay, so these are the ones to look for; texts are not moved for them.
+    goes = members.where("set is not null").select("doc_id", "set").distinct().join(stays, same, "left_anti")
+    goes = settle(goes.select(F.col("doc_id").alias("__goes"), F.col("set").alias("__from")), "goes")
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -651,5 +677,5 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     some_word = text_of().rlike(r"[^\x20\x09-\x0D]")
     named = docs.where(some_word).mapInArrow(run, fields)
     # The id is part of the key, so many documents with one set are not one task.
-    same = (F.col("__set") == F.col("__stays")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__low"))
-    return named.join(stays, same, "left_semi").drop("__set").unionByName(docs.where(~some_word))
+    same = (F.col("__set") == F.col("__from")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__goes"))
+    return named.join(sizing.small(goes), same, "left_anti").drop("__set").unionByName(docs.where(~some_word))
