@@ -61,10 +61,12 @@ _CLUSTERS = 25
 def _assigned(t, bash):
     """Cluster of each row, through a saved and loaded model."""
     words = wordspace.learn(bash)
+    # Trained on and assigned, so kept.
+    points = settle(wordspace.vectors(words, bash), "points")
     path = scratch_path(t.spark, "wordspace")
-    wordspace.save(words, wordspace.train(words, bash, k=_CLUSTERS), path)
+    wordspace.save(words, wordspace.train(words, bash, k=_CLUSTERS, points=points), path)
     words, model = wordspace.load(t.spark, path)
-    return words, model, settle(wordspace.assign(words, model, bash), "assigned")
+    return words, model, settle(wordspace.assign(words, model, bash, points=points), "assigned")
 
 
 @query(

@@ -147,3 +147,12 @@ def test_training_partitions_grow_with_the_rows(spark, bash, monkeypatch):
     assert wordspace.train(words, bash, size=2) == wordspace.TRAINERS
     monkeypatch.setattr(wordspace, "TRAINING_ROWS", 10)
     assert wordspace.train(words, bash, size=2) == -(-bash.select("command").distinct().filter("command is not null").count() // 10)
+
+
+def test_kept_vectors_are_not_made_again(spark, bash, monkeypatch):
+    words = wordspace.learn(bash, size=4)
+    plain = wordspace.assign(words, wordspace.train(words, bash, k=3, size=4), bash, size=4)
+    points = wordspace.settle(wordspace.vectors(words, bash, size=4), "points")
+    monkeypatch.delattr(wordspace, "vectors")
+    model = wordspace.train(words, bash, k=3, size=4, points=points)
+    assert rows_of(wordspace.assign(words, model, bash, size=4, points=points)) == rows_of(plain)

@@ -243,13 +243,16 @@ def train(
     buckets: int = BUCKETS,
     seed: int = SEED,
     trainers: int = TRAINERS,
+    points: DataFrame | None = None,
 ) -> KMeansModel:
     """K-means over the different commands, weighted by how often they occur.
 
+    ``points`` are the ``vectors`` of ``bash``, where they are kept already.
+
     Partitions hold the same commands in the same order each time, and cluster sums are
     sums of whole numbers, so centres do not depend on the order in which tasks end.
     """
-    rows = settle(vectors(words, bash, size, buckets), "training")
+    rows = settle(vectors(words, bash, size, buckets), "training") if points is None else points
     # By the rows alone, not the cores, as the first centres depend on the partitions.
     trainers = max(trainers, -(-rows.count() // TRAINING_ROWS))
     # Training passes over the rows many times; lost blocks are read again.
@@ -264,10 +267,16 @@ def train(
 
 
 def assign(
-    words: DataFrame, model: KMeansModel, bash: DataFrame, size: int = VECTOR_SIZE, buckets: int = BUCKETS
+    words: DataFrame,
+    model: KMeansModel,
+    bash: DataFrame,
+    size: int = VECTOR_SIZE,
+    buckets: int = BUCKETS,
+    points: DataFrame | None = None,
 ) -> DataFrame:
-    """``bash`` with its cluster (``prediction``), without null commands."""
-    found = settle(model.transform(vectors(words, bash, size, buckets)).select("key", "prediction"), "clusters")
+    """``bash`` with its cluster (``prediction``), without null commands; ``points`` as in ``train``."""
+    points = vectors(words, bash, size, buckets) if points is None else points
+    found = settle(model.transform(points).select("key", "prediction"), "clusters")
     rows = bash.drop("prediction").filter(F.col("command").isNotNull())
     # A name that no column of the rows has.
     digest = max(rows.columns, key=len) + "_digest"
