@@ -169,3 +169,41 @@ def test_routed_lines_land_packed(spark):
     (made,) = set(root.glob("routed-*")) - before
     files = list((made / "raw").glob("part-*"))
     assert files and all(f.suffix == ".lz4" for f in files)
+
+
+def test_logs_land_packed_and_batches_are_bounded(spark, monkeypatch):
+    from bindings import queries
+    from conftest import SF
+
+    monkeypatch.setattr(queries, "_BATCH_FILES", 2)
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    before = {name: set(root.glob(f"{name}-*")) for name in ("landed", "streamed")}
+    found = queries.QUERIES["stream_ingest"](spark, SF).groupBy("kind").sum("n").collect()
+    size = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("lineitem", "events", "conversations")}
+    assert {tuple(r) for r in found} == {
+        ("fw", size["lineitem"]), ("proxysg", size["events"]), ("ciscovpn", size["events"]), ("bash", size["conversations"])
+    }
+    (landed,), (stored,) = (set(root.glob(f"{name}-*")) - before[name] for name in ("landed", "streamed"))
+    files = list(landed.glob("dt=*/part-*"))
+    assert files and all(f.suffix == ".gz" for f in files)
+    assert len({f.name for f in stored.glob("*/date=*/batch=*")}) == -(-len(files) // 2) > 1
+
+
+def _shuffled(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_shuffles_go_with_the_write(spark, tmp_path, lines):
+    import time
+
+    before = _shuffled(spark)
+    ingest.save_batch(str(tmp_path / "out"), year=2024)(lines(SHELL, LOGIN, FW, "noise"), 3)
+    # Files are deleted behind the write; garbage would be collected much later.
+    end = time.time() + 10
+    while (left := _shuffled(spark) - before) and time.time() < end:
+        time.sleep(0.1)
+    assert not left
+    assert read_events(spark, str(tmp_path / "out"), "bash").count() == 1
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(name, None) in (None, "false")

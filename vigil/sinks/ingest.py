@@ -71,7 +71,8 @@ def _staged(split: DataFrame, path: str | None = None) -> DataFrame:
         "fields",
         F.when(F.col("date").isNull(), F.col("value")).alias("value"),
     )
-    kept.write.partitionBy("kind", "read").parquet(path)
+    # Read once or twice and dropped, so the smaller codec pays.
+    kept.write.option("compression", "zstd").partitionBy("kind", "read").parquet(path)
     schema = StructType([f for f in kept.schema if f.name not in ("kind", "read")])
     schema = schema.add("kind", "string").add("read", "boolean")
     return spark.read.schema(schema).parquet(path)
