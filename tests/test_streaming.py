@@ -199,11 +199,14 @@ def test_shuffles_go_with_the_write(spark, tmp_path, lines):
 
     before = _shuffled(spark)
     ingest.save_batch(str(tmp_path / "out"), year=2024)(lines(SHELL, LOGIN, FW, "noise"), 3)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text(f"{SHELL}\n{LOGIN}\n")
+    batch.ingest_logs(spark, batch.ALL, str(tmp_path / "in"), str(tmp_path / "out"), year=2024)
     # Files are deleted behind the write; garbage would be collected much later.
     end = time.time() + 10
     while (left := _shuffled(spark) - before) and time.time() < end:
         time.sleep(0.1)
     assert not left
-    assert read_events(spark, str(tmp_path / "out"), "bash").count() == 1
+    assert read_events(spark, str(tmp_path / "out"), "bash").count() == 2
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     assert spark.conf.get(name, None) in (None, "false")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vigil.operators import parse
-from vigil.session import scratch, scratch_path
+from vigil.session import scratch, scratch_path, short_shuffles
 from vigil.sinks import tables
 from vigil.sources import feeds
 from vigil.sources.lines import read_lines
@@ -49,7 +49,7 @@ def ingest_logs(
     lines = read_lines(spark, path)
     chosen = ROUTED if kind == ALL else (LOG_KINDS[kind],)
     split = parse.split_routed(lines, asof, year) if kind == ALL else parse.split_as(lines, chosen[0], asof, year)
-    with scratch(spark):
+    with scratch(spark), short_shuffles(spark):
         split = _staged(split)
         for table in chosen:
             tables.store(parse.events_of(split, table), f"{root}/{table}", run, by_day)
