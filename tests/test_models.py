@@ -140,3 +140,16 @@ def test_whole_lines_as_words(spark):
     _, clustered = commands.cluster_lines(rows, k=2)
     held = commands.members(clustered)
     assert {(r["command"], r["hits"]) for r in held.collect()} == {("a b", 20), ("c d", 20), ("x", 10)}
+
+
+def test_outliers_are_sought_among_all_clusters(spark):
+    from bindings import queries
+
+    rows = spark.range(240).selectExpr(
+        "date'2024-01-01' as date", "concat('run', id % 120, ' --n ', id % 120) as command", "concat('u', id % 3) as username"
+    )
+    found = queries._clustered({"v_bash": rows})
+    # Fewer different commands than clusters, but far more clusters than a model of 25 has.
+    assert found.count() == 240 and 100 < found.select("prediction").distinct().count() <= 120
+    lines = commands.outlier_lines(commands.outliers(found.drop("size")))
+    assert lines.count() > 100
